@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagelode.llm import chunking, contamination, mixing
 from pagelode.llm import group_split as gs
 from pagelode.session import table
 
@@ -22,6 +23,26 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gs.split_report(p5_splits(spark, sf_dir), table(spark, sf_dir, "split_plan"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_items"))
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.clean_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_items"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(p9_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "chunk_limits"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit()}
 
