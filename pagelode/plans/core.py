@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelode.operators import schema_drift
 from pagelode.session import table
 
 
@@ -14,8 +15,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "release_pages").groupBy("split").agg(F.count("*").alias("n"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.changes(table(spark, sf_dir, "page_files"))
+
+
+def p7_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.consistent_table(table(spark, sf_dir, "page_files"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p7_found": p7_found, "p7_table": p7_table}
 
 
 def oracle_sql() -> dict[str, str]:
