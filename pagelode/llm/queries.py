@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelode.llm import chunking, contamination, mixing
+from pagelode.llm import chunking, contamination, cross_split, mixing
 from pagelode.llm import group_split as gs
 from pagelode.session import table
 
@@ -23,6 +23,14 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gs.split_report(p5_splits(spark, sf_dir), table(spark, sf_dir, "split_plan"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_split.cross_split_pairs(table(spark, sf_dir, "release_pages"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_split.overlap_report(p6_found(spark, sf_dir), table(spark, sf_dir, "release_pages"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_items"))
 
