@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelode.llm import chunking, contamination, cross_split, mixing
+from pagelode.llm import chunking, contamination, cross_split, language, mixing
 from pagelode.llm import group_split as gs
 from pagelode.session import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.label_corrections(table(spark, sf_dir, "release_pages")).select("page_id", "seg_no", "lang")
+
+
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.page_languages(table(spark, sf_dir, "release_pages"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gs.related_groups(table(spark, sf_dir, "crawl_pages"), table(spark, sf_dir, "target_aliases"))
 
