@@ -109,7 +109,7 @@ def page_signatures(pages: DataFrame, id_col: str = "page_id", split_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ids, pa.binary()), pa.array(counts, pa.int32()), pa.array(words_of, pa.list_(pa.int32())), pa.array(keys_of, pa.list_(pa.int64()))], names=["page_id", "train", "text_id", "n_words", "words", "keys"])
 
     rows = pages.where(F.col(id_col).isNotNull() & F.col(split_col).isNotNull() & F.col(html_col).isNotNull())
-    rows = rows.select(F.col(id_col).cast("bigint"), (F.lower(F.trim(split_col)) == train).alias("train"), html_col)
+    rows = rows.select(F.col(id_col).cast("bigint").alias("page_id"), (F.lower(F.trim(split_col)) == train).alias("train"), F.col(html_col).alias("html"))
     return rows.mapInArrow(sign, "page_id bigint, train boolean, text_id binary, n_words int, words array<int>, keys array<bigint>")
 
 

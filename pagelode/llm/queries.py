@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelode.llm import chunking, contamination, cross_split, language, mixing
+from pagelode.llm import chunking, contamination, cross_split, language, mixing, residue
 from pagelode.llm import group_split as gs
 from pagelode.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_rows(table(spark, sf_dir, "crawl_pages"))
+
+
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.without_residue(table(spark, sf_dir, "crawl_pages"), p3_found(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label_corrections(table(spark, sf_dir, "release_pages")).select("page_id", "seg_no", "lang")
 
