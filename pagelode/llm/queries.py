@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelode.llm import chunking, contamination, cross_split, language, mixing, residue
+from pagelode.llm import chunking, contamination, cross_split, language, mixing, pii, residue
 from pagelode.llm import group_split as gs
 from pagelode.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_places(table(spark, sf_dir, "release_pages")).select("page_id", "field", "kind", "nth")
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "release_pages"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue_rows(table(spark, sf_dir, "crawl_pages"))
 
