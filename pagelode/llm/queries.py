@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelode.llm import chunking, contamination, cross_split, language, mixing, pii, residue
+from pagelode.llm import chunking, contamination, cross_split, diverse_subset, language, mixing, pii, residue
 from pagelode.llm import group_split as gs
 from pagelode.session import table
 
 
+def p1_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {
+        "crawl_pages": (table(spark, sf_dir, "crawl_pages"), "crawl_id", "html_content", "target"),
+        "release_pages": (table(spark, sf_dir, "release_pages"), "page_id", "html", "target"),
+    }
+    return diverse_subset.choose_subsets(tables, table(spark, sf_dir, "subset_plan"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_places(table(spark, sf_dir, "release_pages")).select("page_id", "field", "kind", "nth")
 
