@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pagelode.functions.text import json_field
 
@@ -43,7 +44,7 @@ def with_model(rows: DataFrame, column: str, answer: Callable[[list[str]], list[
 
     `answer` runs on the executors and must be importable there. This is the one place where a model plugs in.
     """
-    schema = rows.schema.add(out, "string")
+    schema = StructType([*rows.schema.fields, StructField(out, StringType())])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +13,11 @@ from pyspark.sql.functions import pandas_udf
 BUSINESS_WORDS = ("hair", "shop", "store", "gmbh", "restaurant")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` evaluated once per row, also where a lambda inside `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def byte_length(text: Column) -> Column:
     """STR-07: length in UTF-8 bytes."""
     return F.octet_length(text)

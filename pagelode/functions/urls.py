@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagelode.functions.text import let
+
 HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://)?(?:[^/?#@\s]*@)?(\[[^\]/?#]*\]|[^/?#:\s]*)"
 SCHEME = r"^\s*([A-Za-z][A-Za-z0-9+.\-]*)://"
 
@@ -88,9 +90,11 @@ def _suffix_start(labels: Column, suffixes: tuple[str, ...]) -> Column:
 
 def registered_domain(url: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """STR-04: the label before the longest public suffix with that suffix; the last label alone where none matches."""
-    labels = _labels(url)
-    start = _suffix_start(labels, suffixes)
-    return F.when(start > 1, F.array_join(F.slice(labels, F.greatest(start - 1, F.lit(1)), F.size(labels)), ".")).otherwise(F.array_join(labels, "."))
+
+    def name(labels: Column) -> Column:
+        return let(_suffix_start(labels, suffixes), lambda start: F.array_join(F.slice(labels, F.greatest(start - 1, F.lit(1)), F.size(labels)), "."))
+
+    return let(_labels(url), name)
 
 
 def url_features(url: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
@@ -99,12 +103,15 @@ def url_features(url: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     `domain_len` counts domain, a dot and suffix, the dot also where there is no suffix; `path_len` leaves out query,
     fragment and the `;parameters` of the last segment.
     """
-    labels = _labels(url)
-    start, n = _suffix_start(labels, suffixes), F.size(labels)
-    suffix = F.when(start <= n, F.array_join(F.slice(labels, F.least(start, n), n), ".")).otherwise("")
-    domain = F.when(start > 1, F.get(labels, start - 2)).otherwise("")
-    sub = F.when(start > 2, F.array_join(F.slice(labels, F.lit(1), F.greatest(start - 2, F.lit(0))), ".")).otherwise("")
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
     path = F.regexp_replace(path, r";[^/]*$", "")
-    sized = F.struct(F.length(url).alias("url_len"), (F.length(domain) + 1 + F.length(suffix)).alias("domain_len"), F.length(sub).alias("subdomain_len"), F.length(path).alias("path_len"))
-    return F.when(url.isNotNull(), sized)
+
+    def sized(labels: Column, start: Column) -> Column:
+        n = F.size(labels)
+        suffix = F.when(start <= n, F.array_join(F.slice(labels, F.least(start, n), n), ".")).otherwise("")
+        domain = F.when(start > 1, F.get(labels, start - 2)).otherwise("")
+        sub = F.when(start > 2, F.array_join(F.slice(labels, F.lit(1), F.greatest(start - 2, F.lit(0))), ".")).otherwise("")
+        return F.struct(F.length(url).alias("url_len"), (F.length(domain) + 1 + F.length(suffix)).alias("domain_len"), F.length(sub).alias("subdomain_len"), F.length(path).alias("path_len"))
+
+    found = let(_labels(url), lambda labels: let(_suffix_start(labels, suffixes), lambda start: sized(labels, start)))
+    return F.when(url.isNotNull(), found)

@@ -155,11 +155,10 @@ def review(pages: DataFrame, edges: DataFrame, decide: Callable[[DataFrame], str
 
 def add_index(pages: DataFrame, order_by: list[str], name: str = "index") -> DataFrame:
     """PRJ-02: 0-based position in the given order, by sums over order ranges rather than one global window."""
-    ordered = pages.orderBy(*order_by)
-    counted = ordered.withColumn("__p", F.spark_partition_id())
-    w = Window.partitionBy("__p").orderBy(*order_by)
-    counted = counted.withColumn("__i", F.row_number().over(w))
-    before = counted.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    total = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offset = before.select("__p", F.coalesce(F.sum("__n").over(total), F.lit(0)).alias("__o"))
-    return counted.join(F.broadcast(offset), "__p").withColumn(name, F.col("__i") - 1 + F.col("__o")).drop("__p", "__i", "__o")
+    ordered = pages.orderBy(*order_by).withColumn("__part", F.spark_partition_id())
+    counted = ordered.withColumn("__pos", F.row_number().over(Window.partitionBy("__part").orderBy(*order_by)))
+    sizes = counted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    total = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.select("__part", F.coalesce(F.sum("__n").over(total), F.lit(0)).alias("__off"))
+    placed = counted.join(F.broadcast(offset), "__part")  # one row a partition
+    return placed.withColumn("__pos", F.col("__pos") - 1 + F.col("__off")).drop("__part", "__off").withColumnRenamed("__pos", name)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelode.functions.text import indel_ratio, length_match
+from pagelode.functions.text import indel_ratio, length_match, let
 from pagelode.session import broadcast_if_small, stored
 
 # Words left out before word n-grams.
@@ -19,21 +19,19 @@ MASKS = 300
 def word_terms(text: Column, n: int = 3, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """VEC-01: lower-case words of two letters or more without stop words, then their 1- to n-grams, with repeats."""
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop_words))
-    grams = [words]
-    for k in range(2, n + 1):
-        at = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(F.expr("cast(array() as array<int>)"))
-        grams.append(F.transform(at, lambda i, k=k: F.array_join(F.slice(words, i, k), " ")))
-    return F.concat(*grams)
+    return let(words, lambda x: F.concat(x, *[_windows(x, F.size(x), k, lambda x, i, n: F.array_join(F.slice(x, i, n), " ")) for k in range(2, n + 1)]))
+
+
+def _windows(x: Column, length: Column, k: int, cut) -> Column:
+    """Consecutive pieces of k elements of `x`, none if it is shorter."""
+    at = F.when(length >= k, F.sequence(F.lit(1), length - (k - 1))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(at, lambda i: cut(x, i, k))
 
 
 def char_terms(text: Column, n: int = 3) -> Column:
     """VEC-03: character 1- to n-grams of a short text in lower case, with repeats."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    parts = []
-    for k in range(1, n + 1):
-        at = F.when(F.length(low) >= k, F.sequence(F.lit(1), F.length(low) - (k - 1))).otherwise(F.expr("cast(array() as array<int>)"))
-        parts.append(F.transform(at, lambda i, k=k: F.substring(low, i, k)))
-    return F.concat(*parts)
+    return let(low, lambda x: F.concat(*[_windows(x, F.length(x), k, lambda x, i, n: F.substring(x, i, n)) for k in range(1, n + 1)]))
 
 
 def fit_idf(docs: DataFrame, id_col: str, terms: Column, max_features: int | None = None) -> DataFrame:

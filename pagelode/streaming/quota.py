@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def last_ids(pages: DataFrame, source_col: str = "feed_source", id_col: str = "source_id", order_col: str = "ingested_at") -> DataFrame:
@@ -36,7 +37,7 @@ def simulate_limits(requests: DataFrame, group: str, order_by: str, tokens_col:
     """STM-07: when each request of a group may start, in seconds: a window is reset 60 s after it began; a request that
     would pass either limit waits until 61 s after the window's start. Requests come one after another in order.
     """
-    schema = requests.schema.add("start_s", "double")
+    schema = StructType([*requests.schema.fields, StructField("start_s", DoubleType())])
     most_t, most_r = int(tokens_per_minute * token_share), int(requests_per_minute * request_share)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
