@@ -86,15 +86,18 @@ class Counter:
         return byte if self.byte_of is None else int(np.searchsorted(self.byte_of, byte, side="right")) - 1
 
     def aligned(self, p: int) -> int:
-        """A cut before the blank that belongs to the next word."""
+        """The next place between two pre-tokens: after a run of white space, before the blank that begins a word."""
         text = self.text
-        if 0 < p < len(text) and text[p - 1] == " " and not text[p].isspace():
-            p -= 1
-        return p
+        while p < len(text) and text[p].isspace():
+            p += 1
+        return p - 1 if 0 < p < len(text) and text[p - 1] == " " else p
 
 
 def natural_spans(counter: Counter, limit: int) -> list[tuple[int, int, bool]]:
-    """Consecutive stretches `(start, stop, natural)` of at most `limit` tokens that make up the whole text."""
+    """Consecutive stretches `(start, stop, natural)` of at most `limit` tokens that make up the whole text.
+
+    Both ends of a natural stretch surely lie between pre-tokens, so its tokens are those of the whole text.
+    """
     text, upto = counter.text, counter.upto
 
     def pack(a: int, b: int, na: int, nb: int, level: int) -> list[tuple[int, int, int, int, bool]]:
@@ -132,9 +135,10 @@ def natural_spans(counter: Counter, limit: int) -> list[tuple[int, int, bool]]:
                 p = a + 1
             out.append((a, p, upto(a), upto(p), False))
             a = p
-        return [*out, (a, b, upto(a), upto(b), False)]
+        return [*out, (a, b, upto(a), upto(b), False)] if a < b else out
 
-    return [(a, b, natural) for a, b, _, _, natural in pack(0, len(text), 0, counter.total, 0)]
+    between = lambda p: p in (0, len(text)) or text[p].isspace() or text[p - 1].isspace()
+    return [(a, b, natural and between(a) and between(b)) for a, b, _, _, natural in pack(0, len(text), 0, counter.total, 0)]
 
 
 def cut(text: str, max_tokens: int, overlap: int, encode, lengths: np.ndarray, counter: Counter | None = None) -> list[tuple[int, int, int, int]]:
@@ -185,8 +189,9 @@ def cut(text: str, max_tokens: int, overlap: int, encode, lengths: np.ndarray, c
                 p = max(a + 1, min(b - 1, counter.char_at(max(0, counter.upto(b) - (n - max_tokens)))))
                 todo += [(p, b, False), (a, p, False)]
                 continue
-            start = a
-            n = len(encode(text[start:b]))
+            while start < a and n > max_tokens:  # one character of many tokens: less overlap
+                start += 1
+                n = len(encode(text[start:b]))
         out.append((start, a, b, n))
     return out
 
