@@ -84,7 +84,9 @@ def _suffix_start(labels: Column, suffixes: tuple[str, ...]) -> Column:
     never = F.array(*[F.lit(s[1:]) for s in suffixes if s[0] == "!"] or [F.lit("-")])
     n = F.size(labels)
     joined = lambda i: F.array_join(F.slice(labels, i, n), ".")
-    hit = lambda i: (F.array_contains(exact, joined(i)) | ((i < n) & F.array_contains(wild, joined(i + 1)))) & ~F.array_contains(never, joined(i))
+    excepted = lambda i: F.array_contains(never, joined(i))
+    wildcard = lambda i: (i < n) & F.array_contains(wild, joined(i + 1)) & ~excepted(i)
+    hit = lambda i: F.array_contains(exact, joined(i)) | wildcard(i) | ((i > 1) & excepted(F.greatest(i - 1, F.lit(1))))
     return F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), n), hit)), n + 1)
 
 

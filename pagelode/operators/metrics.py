@@ -14,49 +14,49 @@ def _curve(rows: DataFrame, gt: str, score: str, group: list[str]) -> DataFrame:
 
     Scores are counted first. Running sums go over ranges of scores, so that no task holds all distinct scores.
     """
-    counted = rows.where(F.col(score).isNotNull() & F.col(gt).isNotNull()).groupBy(*group, F.col(score).alias("s")).agg(F.count_if(F.col(gt) == 1).alias("p"), F.count_if(F.col(gt) == 0).alias("q"))
-    ranged = counted.withColumn("r", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s"))) * 1024).cast("int"))
-    sums = ranged.groupBy(*group, "r").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
-    above = Window.partitionBy(*group).orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.where(F.col(score).isNotNull() & F.col(gt).isNotNull()).groupBy(*group, F.col(score).alias("__s")).agg(F.count_if(F.col(gt) == 1).alias("__p"), F.count_if(F.col(gt) == 0).alias("__q"))
+    ranged = counted.withColumn("__r", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__s"))) * 1024).cast("int"))
+    sums = ranged.groupBy(*group, "__r").agg(F.sum("__p").alias("__sp"), F.sum("__q").alias("__sq"))
+    above = Window.partitionBy(*group).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
-    sums = sums.select(*group, "r", F.coalesce(F.sum("sp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("sq").over(above), F.lit(0)).alias("bq"), F.sum("sp").over(whole).alias("n_pos"), F.sum("sq").over(whole).alias("n_neg"))
-    inner = Window.partitionBy(*group, "r").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    ranged = ranged.withColumn("ip", F.sum("p").over(inner)).withColumn("iq", F.sum("q").over(inner))
-    on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group] + [F.col("a.r") == F.col("b.r")]
-    return ranged.alias("a").join(sums.alias("b"), on).select(*[F.col(f"a.{g}").alias(g) for g in group], "s", "p", "q", (F.col("ip") + F.col("bp")).alias("tp"), (F.col("iq") + F.col("bq")).alias("fp"), "n_pos", "n_neg")
+    sums = sums.select(*group, "__r", F.coalesce(F.sum("__sp").over(above), F.lit(0)).alias("__bp"), F.coalesce(F.sum("__sq").over(above), F.lit(0)).alias("__bq"), F.sum("__sp").over(whole).alias("__pos"), F.sum("__sq").over(whole).alias("__neg"))
+    inner = Window.partitionBy(*group, "__r").orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = ranged.withColumn("__ip", F.sum("__p").over(inner)).withColumn("__iq", F.sum("__q").over(inner))
+    on = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group] + [F.col("a.__r") == F.col("b.__r")]
+    return ranged.alias("a").join(sums.alias("b"), on).select(*[F.col(f"a.{g}").alias(g) for g in group], "__s", "__p", "__q", (F.col("__ip") + F.col("__bp")).alias("__tp"), (F.col("__iq") + F.col("__bq")).alias("__fp"), "__pos", "__neg")
 
 
 def pr_curve(rows: DataFrame, gt: str = "gt", score: str = "score", group: list[str] = ()) -> DataFrame:
     """MET-01: `(threshold, precision, recall)` at each distinct score."""
     c = _curve(rows, gt, score, [*group])
-    return c.select(*group, F.col("s").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "n_pos").alias("recall"))
+    return c.select(*group, F.col("__s").alias("threshold"), (F.col("__tp") / (F.col("__tp") + F.col("__fp"))).alias("precision"), F.try_divide("__tp", "__pos").alias("recall"))
 
 
 def average_precision(rows: DataFrame, gt: str = "gt", score: str = "score", group: list[str] = ()) -> DataFrame:
     """MET-01: sum of precision times the step in recall over distinct scores; 0 without positives."""
     c = _curve(rows, gt, score, [*group])
-    part = F.col("p") / F.greatest("n_pos", F.lit(1)) * F.col("tp") / (F.col("tp") + F.col("fp"))
+    part = F.col("__p") / F.greatest("__pos", F.lit(1)) * F.col("__tp") / (F.col("__tp") + F.col("__fp"))
     return c.groupBy(*group).agg(F.round(F.coalesce(F.sum(part), F.lit(0.0)), 6).alias("average_precision"))
 
 
 def precision_at_recall(rows: DataFrame, recall: float = 0.9, gt: str = "gt", score: str = "score", group: list[str] = ()) -> DataFrame:
     """MET-02: the best precision where the recall is reached; 0 where it never is."""
     c = _curve(rows, gt, score, [*group])
-    hit = F.when((F.col("n_pos") > 0) & (F.col("tp") >= F.lit(recall) * F.col("n_pos")), F.col("tp") / (F.col("tp") + F.col("fp")))
+    hit = F.when((F.col("__pos") > 0) & (F.col("__tp") >= F.lit(recall) * F.col("__pos")), F.col("__tp") / (F.col("__tp") + F.col("__fp")))
     return c.groupBy(*group).agg(F.round(F.coalesce(F.max(hit), F.lit(0.0)), 6).alias("precision"))
 
 
 def roc_curve(rows: DataFrame, gt: str = "gt", score: str = "score", group: list[str] = ()) -> DataFrame:
     """MET-04: `(threshold, fpr, tpr)` at each distinct score."""
     c = _curve(rows, gt, score, [*group])
-    return c.select(*group, F.col("s").alias("threshold"), F.try_divide("fp", "n_neg").alias("fpr"), F.try_divide("tp", "n_pos").alias("tpr"))
+    return c.select(*group, F.col("__s").alias("threshold"), F.try_divide("__fp", "__neg").alias("fpr"), F.try_divide("__tp", "__pos").alias("tpr"))
 
 
 def roc_auc(rows: DataFrame, gt: str = "gt", score: str = "score", group: list[str] = ()) -> DataFrame:
     """MET-04: area under the ROC curve, ties averaged; null with one class only."""
     c = _curve(rows, gt, score, [*group])
-    area = F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2.0))
-    return c.groupBy(*group).agg(F.round(F.try_divide(area, F.max("n_pos") * F.max("n_neg")), 6).alias("auc"))
+    area = F.sum(F.col("__q") * (F.col("__tp") - F.col("__p") / 2.0))
+    return c.groupBy(*group).agg(F.round(F.try_divide(area, F.max("__pos") * F.max("__neg")), 6).alias("auc"))
 
 
 def best_threshold(rows: DataFrame, gt: str = "gt", score: str = "score") -> DataFrame:

@@ -26,8 +26,9 @@ def page_json(spark: SparkSession, path: str, most: int = -1, by_presence: bool
     empty (`html_content` first). `most` keeps the first files by name. Unreadable files are in `errors` with their
     name and never fail the read; an empty folder gives typed empty tables.
     """
-    raw = spark.read.schema(RAW_PAGE).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
-    raw = raw.withColumn("filename", F.col("_metadata.file_path"))
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    parsed = F.from_json("value", RAW_PAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    raw = texts.select(parsed.alias("r"), F.col("_metadata.file_path").alias("filename")).select("r.*", "filename")
     if most > 0:
         names = raw.select("filename").distinct().orderBy("filename").limit(most)
         raw = raw.join(F.broadcast(names), "filename", "left_semi") if most <= 100_000 else raw.join(names, "filename", "left_semi")
