@@ -53,6 +53,8 @@ COMMON = {
 CODES = tuple(LANGUAGES)
 #: Most labelled pages per language that the frequencies are fitted on.
 TRAIN_PAGES = 600
+#: Longest page that may be in that sample, so that the sample is bounded in size, too.
+SAMPLE_CHARS = 100_000
 #: Most words kept per model; the rarest fall back to n-grams.
 VOCABULARY = 200_000
 #: Longest character n-gram of unseen words.
@@ -220,7 +222,7 @@ def fit(texts: list[tuple[str, str]]) -> Model:
 
 def labelled_sample(pages: DataFrame, id_col: str, html_col: str, lang_col: str, per_language: int = TRAIN_PAGES) -> list[tuple[str, str]]:
     """At most `per_language` pages of each label, chosen by hash: `(code, html)`."""
-    rows = pages.select(F.col(id_col).alias("id"), language_code(F.col(lang_col)).alias("code"), F.col(html_col).alias("html")).where("code is not null and html is not null and id is not null")
+    rows = pages.select(F.col(id_col).alias("id"), language_code(F.col(lang_col)).alias("code"), F.col(html_col).alias("html")).where(F.col("code").isNotNull() & F.col("id").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
     sizes = {r["code"]: r["n"] for r in rows.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_000)) / 1_000_000
     picked = None
