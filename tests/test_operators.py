@@ -273,3 +273,16 @@ def test_feeds_and_quotas(spark):
     assert feeds.read_pages([{"data": [{"id": 9}, {"id": 8}]}, {"data": [{"id": 7}, {"id": 1}]}, {"data": [{"id": 6}]}], 2, 5) == [{"id": 9}, {"id": 8}, {"id": 7}]
     calls = iter([[1, 2], [3], []])
     assert quota.quota_loop(lambda n: next(calls), lambda x: x != 2, 5) == 2
+
+
+def test_jobs(spark, tmp_path):
+    from pagelode.jobs import cli
+
+    pages = spark.createDataFrame([("a", "http://x.test/john-smith", "<p>red fox runs far</p>", "Welcome", "phish"), ("b", "http://x.test/john-smith", "<p>red fox runs far</p>", "404", "phish")], "sha256 string, url string, html string, title string, label string").withColumn("split", F.lit("train"))
+    pages.write.parquet(str(tmp_path / "in"))
+    for argv in (["clean", "--input", str(tmp_path / "in"), "--order", "sha256", "--output", str(tmp_path / "clean")], ["names", "--input", str(tmp_path / "in"), "--output", str(tmp_path / "names")]):
+        args = cli.parser().parse_args(argv)
+        args.run(spark, args)
+    assert spark.read.parquet(str(tmp_path / "clean")).count() == 1 and spark.read.json(str(tmp_path / "names")).count() == 2
+    near = cli.leakage(pages, pages.where("sha256 = 'a'").withColumn("sha256", F.lit("t")))
+    assert [r["query_id"] for r in near.collect()] == ["t"]
