@@ -86,11 +86,13 @@ def test_pii_candidates(text, want):
 def test_pii_in_urls_and_redaction(spark):
     pad = [f"<p>The team of Anna {('Kestova', 'Holberg', 'Lind')[k % 3]} is at anna{k}@x.test, phone +49 30 23125 9{k % 10}{k % 7}. SSN: 000-12-{1000 + k}. Logo@2x.png</p>" for k in range(40)]
     data = [(k, f"http://a{k}.test/x?email=u%40b{k}.test", h) for k, h in enumerate(pad)]
+    data += [(104, "http://anna-lind.test/x/petra_ruskander-holm/?q", "and/or anna_x"), (105, "http://x.test/hair-shop/sign-in", "")]
     data += [(100, None, None), (101, "", "  "), (102, "http://x.test/team/saskia-wexmore", "nothing <b>here</b>"), (None, "u", "a@b.test"), (103, "http://x.test", "a@b.test a@b.test")]
     df = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("kind", F.lit("clash"))
     got = pii.find_places(df).collect()
     by = Counter((r["page_id"], r["field"], r["kind"]) for r in got)
     assert by[103, "html", "email"] == 2 and by[102, "url", "name"] == 1 and by[5, "url", "email"] == 1 and not any(k[0] in (100, 101, None) for k in by)
+    assert by[104, "url", "name"] == 1 and not any(k[0] == 105 or k[:2] == (104, "html") for k in by)
     assert all(by[k, "html", kind] == 1 for k in range(40) for kind in ("email", "phone", "id_number", "name"))
     clean = {r["page_id"]: r for r in pii.redact(df).collect()}
     assert clean[102]["html"] == "nothing <b>here</b>" and clean[102]["url"].endswith("/team/[NAME]") and clean[100]["html"] is None
