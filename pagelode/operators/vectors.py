@@ -199,6 +199,7 @@ def threshold_sweep(edges: DataFrame, thresholds: list[float], keep: int = 100)
 
 def same_value_pairs(rows: DataFrame, id_col: str, column: str) -> DataFrame:
     """JON-10: per row its group of equal values and the number of others in it; no pairs are spelt out."""
+    rows = rows.select(id_col, column)
     groups = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("group_id"))
     return rows.join(groups, column).select(id_col, "group_id", (F.col("n") - 1).alias("others"))
 
