@@ -29,7 +29,7 @@ SHINGLE, ROWS, BANDS = 5, 3, 40
 #: Least share of the longer text's words that agree in order.
 AGREEMENT = 0.9
 #: Texts in one bucket beyond which it is resolved by rare words.
-HOT_BUCKET = 2_000
+HOT_BUCKET = 500
 CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿가-힯]|[^\\s぀-ヿ㐀-鿿豈-﫿가-힯]+")
 
 
