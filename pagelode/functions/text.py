@@ -120,6 +120,11 @@ def language_text(text: Column) -> Column:
     return F.when(line != "", line)
 
 
+def page_input(url: Column, html: Column, parts: str = "both") -> Column:
+    """PRJ-12: what a model reads of a page: url and html on lines of their own, or one of them; nulls are left out."""
+    return {"both": F.concat_ws("\n", url, html), "url": url, "html": html}[parts]
+
+
 def next_day(day: Column) -> Column:
     """STR-20: the day after `yyyyMMdd`, in the same form."""
     return F.date_format(F.date_add(F.to_date(day, "yyyyMMdd"), 1), "yyyyMMdd")

@@ -66,6 +66,15 @@ def best_threshold(rows: DataFrame, gt: str = "gt", score: str = "score") -> Dat
     return best.select(F.col("m.threshold").alias("threshold"), F.round("m.fpr", 6).alias("fpr"), F.round("m.tpr", 6).alias("tpr"), F.round("m.g", 6).alias("g_mean"))
 
 
+def evaluation(rows: DataFrame, gt: str = "gt", score: str = "score", recall: float = 0.9) -> DataFrame:
+    """MET-11: one row with average precision, precision at a recall, area under the ROC curve and the best threshold."""
+    parts = [average_precision(rows, gt, score), precision_at_recall(rows, recall, gt, score).withColumnRenamed("precision", "precision_at_recall"), roc_auc(rows, gt, score), best_threshold(rows, gt, score)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.crossJoin(F.broadcast(part))  # one row each
+    return out
+
+
 def confusion(rows: DataFrame, thresholds: list[float], gt: str = "gt", score: str = "score", strict: bool = True) -> DataFrame:
     """MET-06..08: counts and macro F1, accuracy, precision, recall and F1 per threshold; positive is `score > t` (or `>=`)."""
     levels = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))

@@ -175,6 +175,13 @@ def leakage_counts(url_edges: DataFrame, html_edges: DataFrame, url_limit: float
     return found.agg(F.count_if(u).alias("by_url"), F.count_if(h).alias("by_html"), F.count_if(u & h).alias("by_both"), F.count(F.lit(1)).alias("by_either"))
 
 
+def far_queries(url_edges: DataFrame, html_edges: DataFrame, limit: float) -> DataFrame:
+    """DED-07, JON-04: ids whose nearest url and nearest html both lie farther than a limit; ids need edges of both kinds."""
+    url = url_edges.groupBy("query_id").agg(F.min("distance").alias("url_distance"))
+    html = html_edges.groupBy("query_id").agg(F.min("distance").alias("html_distance"))
+    return url.join(html, "query_id").where((F.col("url_distance") > limit) & (F.col("html_distance") > limit))
+
+
 def diversity_drop(edges: DataFrame, order: DataFrame, cutoff: float = 0.02, id_col: str = "id", rank_col: str = "rank") -> DataFrame:
     """DED-06: ids dropped by the greedy pass in order: those with a neighbour within the cutoff that comes later.
 
@@ -209,7 +216,8 @@ def indel_edges(rows: DataFrame, id_col: str, text_col: str, rank_col: str, rati
 
     Equal texts are one text throughout. Lengths are compared in buckets whose neighbours cover the bound of FLT-14;
     within a bucket two texts meet only if they share one of the pieces between their edits: cut in `m` pieces, a text
-    with fewer than `m` deletions keeps one whole, which the other text then has near the same place.
+    with fewer than `m` deletions keeps one whole, which the other text then has near the same place. Made for urls and
+    other texts of some hundred characters, as every text is cut at each of its places; long texts belong to shingles.
     """
     texts = rows.where(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("t")).agg(F.max(F.struct(rank_col, id_col)).alias("last"))
     texts = texts.select("t", F.length("t").alias("n"), F.xxhash64("t").alias("h"))

@@ -275,6 +275,11 @@ def class_probability(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(text.class_probability(F.col("doc_id") % 17, F.col("doc_id") % 11), 6).alias("p"))
 
 
+@query("SELECT page_id, length(concat_ws(chr(10), url, html)) AS n FROM release_pages")
+def page_inputs(spark, sf_dir):
+    return table(spark, sf_dir, "release_pages").select("page_id", F.length(text.page_input(F.col("url"), F.col("html"))).cast("bigint").alias("n"))
+
+
 @query("SELECT doc_id, nullif(trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g')), '') AS line FROM documents")
 def language_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.language_text(F.col("text")).alias("line"))
@@ -448,6 +453,18 @@ def leakage_filter(spark, sf_dir):
     return vectors.leakage_filter(_edges(spark, sf_dir, 8, 2), _edges(spark, sf_dir, 16, 2), 0.5, 0.6)
 
 
+@query(f"""WITH u AS (SELECT query_id, min(distance) AS url_distance FROM {_edges_sql(8, 2)} GROUP BY 1), h AS (SELECT query_id, min(distance) AS html_distance FROM {_edges_sql(16, 2)} GROUP BY 1)
+ SELECT query_id, url_distance, html_distance FROM u JOIN h USING (query_id) WHERE url_distance > 0.7 AND html_distance > 0.7""")
+def far_queries(spark, sf_dir):
+    return vectors.far_queries(_edges(spark, sf_dir, 8, 2), _edges(spark, sf_dir, 16, 2), 0.7)
+
+
+@query(f"""SELECT count(*) FILTER (url_distance < 0.7) AS by_url, count(*) FILTER (html_distance < 0.8) AS by_html, count(*) FILTER (url_distance < 0.7 AND html_distance < 0.8) AS by_both, count(*) FILTER (url_distance < 0.7 OR html_distance < 0.8) AS by_either
+ FROM (SELECT query_id, min(distance) AS url_distance FROM {_edges_sql(8, 2)} GROUP BY 1) FULL JOIN (SELECT query_id, min(distance) AS html_distance FROM {_edges_sql(16, 2)} GROUP BY 1) USING (query_id)""")
+def leakage_counts(spark, sf_dir):
+    return vectors.leakage_counts(_edges(spark, sf_dir, 8, 2), _edges(spark, sf_dir, 16, 2), 0.7, 0.8)
+
+
 @query(f"SELECT DISTINCT query_id AS id FROM {_edges_sql(16, 4)} WHERE distance <= 0.6 AND cand_id > query_id")
 def diversity_drop(spark, sf_dir):
     order = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("rank"))
@@ -530,6 +547,11 @@ def best_threshold(spark, sf_dir):
     return metrics.best_threshold(pages(spark, sf_dir))
 
 
+@query()
+def evaluation(spark, sf_dir):
+    return metrics.evaluation(pages(spark, sf_dir))
+
+
 _CONF = f"(SELECT threshold, count(*) FILTER (gt = 1 AND score > threshold) AS tp, count(*) FILTER (gt = 0 AND score > threshold) AS fp, count(*) FILTER (gt = 0 AND score <= threshold) AS tn, count(*) FILTER (gt = 1 AND score <= threshold) AS fn FROM {PAGES}, (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7])::DOUBLE AS threshold) GROUP BY threshold)"
 
 

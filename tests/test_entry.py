@@ -43,3 +43,26 @@ def test_scans_prune_the_html(spark):
     plan = core.queries()["daily_collection"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     schema = plan[plan.index("ReadSchema") :]
     assert "html" not in schema
+
+
+@pytest.fixture(scope="module")
+def edge_tables(spark, tmp_path_factory):
+    """The test tables without rows, and with rows of nulls and extra columns whose names the operators use themselves."""
+    from pyspark.sql import functions as F
+
+    empty, dirty = tmp_path_factory.mktemp("empty"), tmp_path_factory.mktemp("dirty")
+    for f in DATA.iterdir():
+        t = spark.read.parquet(str(f))
+        t.limit(0).write.parquet(str(empty / f.name))
+        nulls = spark.range(2).select(*[F.lit(None).cast(x.dataType).alias(x.name) for x in t.schema])
+        more = t.unionByName(nulls)
+        for name in ("id", "key", "host", "n", "kind"):
+            more = more.withColumn(name, F.lit("clash"))
+        more.write.parquet(str(dirty / f.name))
+    return empty, dirty
+
+
+@pytest.mark.parametrize("name", sorted(core.queries()))
+def test_no_rows_nulls_and_clashing_names(spark, edge_tables, name):
+    for folder in edge_tables:
+        assert core.queries()[name](spark, str(folder)).count() >= 0
