@@ -26,8 +26,8 @@ from pagelode.session import stored
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 LABELERS = ("shape", "before", "markup", "gazetteer", "other")
-#: Pages the gazetteer of given names is grown on, and pages it must be seen on.
-GAZETTEER_PAGES, GAZETTEER_SEEN = 4_000, 3
+#: Pages a name must be seen on to enter the gazetteer of given names.
+GAZETTEER_SEEN = 3
 #: Candidates the span classifier is fitted on, at most.
 TRAIN_SPANS = 20_000
 #: Features of the classifier: votes per kind and labeler, then hashed context.
@@ -384,21 +384,20 @@ PERSON = re.compile(rf"\"name\"\s*:\s*\"({CAP})\s+{CAP}|name=\"author\"\s+conten
 PERSON_SLUG = re.compile(r"/(?:profile|team|author|people|staff)/([a-z]{2,})-[a-z]{2,}(?:-[a-z]+)?/?(?:[?#]|$)")
 
 
-def grow_gazetteer(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", most: int = GAZETTEER_PAGES, seen: int = GAZETTEER_SEEN) -> frozenset[str]:
-    """The listed given names and those that a bounded sample of pages shows in places made for persons.
+def grow_gazetteer(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", seen: int = GAZETTEER_SEEN) -> frozenset[str]:
+    """The listed given names and those that `seen` pages or more show in places made for persons.
 
-    Only names that `seen` pages of the sample have come to the driver, at most two a page of it.
+    All names of all pages are counted on the executors; only the names that are kept come to the driver.
     """
-    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"), F.col(url_col).alias("url"))
-    total = rows.select("id").count()
-    if total > most:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit("gazetteer"), "id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * most / total)))
+    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(html_col).alias("html"), F.col(url_col).alias("url"))
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for html, url in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                out += sorted({x.lower() for g in PERSON.findall(html or "") for x in g if x} | set(PERSON_SLUG.findall((url or "").lower())))[:2]
+            out: list[str] = []
+            for html, url in zip(*(c.to_pylist() for c in batch.columns)):
+                html = html or ""
+                told = PERSON.findall(html) if '"name"' in html or 'name="author"' in html else ()
+                out += {x.lower() for g in told for x in g if x} | set(PERSON_SLUG.findall((url or "").lower()))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["name"])
 
     counted = rows.mapInArrow(names, "name string").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= seen)

@@ -100,6 +100,13 @@ def test_pii_in_urls_and_redaction(spark):
     assert pii.find_places(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
 
 
+def test_gazetteer_counts_every_name_of_every_page(spark):
+    told = F.lit('{"name": "Aldobrand Lind"} {"name": "Bertrun Lind"} {"name": "Corin Lind"} {"name": "Corin Holm"}')
+    html = F.when(F.col("page_id") % 10_000 == 7, told).when(F.col("page_id") < 2, F.lit('{"name": "Zwentibold Lind"}'))
+    df = spark.range(30_000).select(F.col("id").alias("page_id"), html.alias("html"), F.lit("http://x.test").alias("url"))
+    assert pii.grow_gazetteer(df) - pii.GIVEN == {"aldobrand", "bertrun", "corin"}
+
+
 # --- p3
 
 
