@@ -93,7 +93,7 @@ NAME_OTHER = re.compile(r"(?:\bstorm|\bmodel|\bhurricane|\bcyclone|\btaif?un|\bt
 NAME_OTHER_AFTER = re.compile(r"^\s*(?:Ltd|GmbH|Inc|LLC|SA|AG|BV|Collection|Group|Bank|Cloud|Express|Insurance|Wallet|Telecom|Mail|Games|Credit|Stream|Parcel|Market|Post|Pay|Air|Office|Street|Lane|Road|Avenue|Drive|Close|Hill|Court|Row|armchair|sofa|chair)\b|^\s*(?:day\s+)?\d")
 TITLED = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Sr|Sra|Sig|Sig\.ra|Mme|Mlle|Monsieur|Madame|Dhr|Mevr|Pan|Pani)\.?"
 CAP = r"[A-ZÀ-ÖØ-ÞĀ-Ž][\w'’]*[^\W\d_]"
-SEQUENCE = re.compile("[A-ZÀ-ÖØ-ÞĀ-Ž][\\w'’\\-]*\\.?(?:,?\\s+[A-ZÀ-ÖØ-ÞĀ-Ž][\\w'’\\-]*\\.?)+")
+SEQUENCE = re.compile("(?:Sig\\.ra\\b|[A-ZÀ-ÖØ-ÞĀ-Ž][\\w'’\\-]*)\\.?(?:,?\\s+(?:Sig\\.ra\\b|[A-ZÀ-ÖØ-ÞĀ-Ž][\\w'’\\-]*)\\.?)+")
 NAME = re.compile(rf"(?<![\w@.+\-/=%])(?:(?P<t>{TITLED})\s+)?(?:(?P<g>{CAP}|[A-Z]\.)(?:\s+[A-Z]\.)?\s+)?(?P<s>{CAP}(?:-{CAP})?)(?:,\s+(?P<r>{CAP}))?(?![\w@+]|-\w)")
 WORDS = re.compile(r"[^\W\d_]+")
 SLUG = re.compile(r"(?:/(?:profile|team|author|people|staff|member|user|contact|in)/|[?&](?:name|fullname|contact|user)=)(?P<n>[A-Za-zÀ-ž]{2,}(?:[\-+ _.][A-Za-zÀ-ž]{1,}\.?){1,3})(?=[/?&#\"'<\s]|$)")
@@ -145,18 +145,30 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
         yield flat.start() if flat else a, m.end()
     done = 0
     for m in HOUSE_NUMBER.finditer(text):
-        a = max(done, m.start() - 72)
-        if m.start() < done or not (m.start() and text[m.start() - 1] in " \n.°º"):
+        stop = m.start()
+        if stop < done or not stop or not ((c := text[stop - 1]).isalnum() or c.isspace() or c in "_,:.º°№'’-"):
             continue
-        window = text[a : m.start()]
-        if any(map(window.__contains__, STREET_SIGNS)):
-            for found in ADDRESS_BY_STREET.finditer(text, a, m.end()):
-                done = found.end()
+        a, size = max(done, stop - 72), 72
+        words = text[a:stop].split()
+        while a > done and len(words) < STREET_WORDS and not OUTSIDE_STREET.search(text, a, stop):
+            size *= 2
+            a = max(done, stop - size)
+            words = text[a:stop].split()
+        window = " ".join(words)
+        if window.endswith(STREET_ENDS) or any(map(f"{window} ".__contains__, STREET_SIGNS)):
+            at = a
+            while found := ADDRESS_BY_STREET.search(text, at, m.end()):
+                found = ADDRESS_BY_STREET.match(text, found.start())  # its number may go on
+                at = done = found.end()
                 yield found.span()
 
 
-# What every address that begins with its street contains.
-STREET_SIGNS = tuple("Calle |CALLE |C/|Av|AV|Plaza |PLAZA |Paseo |PASEO |Camino |Ronda |Via |VIA |Viale |VIALE |Corso |CORSO |Piazza |PIAZZA |Vicolo |Largo |Rua |RUA |Travessa |Praça |ul.|UL.|al. |ulica |Rue |ул|проспект|Am |An de|Im |Zu|ZU|Auf de|In der |Unter den |Hinter der |Alte|Neue |AM |IM |straße |strasse |str. |STRAS|gasse |platz |allee |damm |ufer |chaussee |weg |WEG |laan |straat |plein |gracht |kade |gatan |vägen |gränd |Sok|Cad|Bulvar".split("|"))
+# What every address that begins with its street contains, white space as one blank, or ends with before its number.
+STREET_SIGNS = tuple("Calle|CALLE|C/|Av|AV|Plaza|PLAZA|Paseo|PASEO|Camino|Ronda|Via|VIA|Corso|CORSO|Piazza|PIAZZA|Vicolo|Largo|Rua|RUA|Travessa|Praça|ul.|UL.|al.|ulica|Rue|ул|проспект|Am |An de|Im |Zu|ZU|Auf de|In der |Unter den |Hinter der |Alte|Neue |AM |IM |Sok|Cad|Bulvar".split("|"))
+STREET_ENDS = tuple("straße strasse str. STRASSE STRAßE gasse platz allee damm ufer chaussee weg WEG laan straat plein gracht kade gatan vägen gränd".split())
+#: Words that stand before the house number of such an address, at most and with a broken one; characters that none has.
+STREET_WORDS = 10
+OUTSIDE_STREET = re.compile(r"[^\w\s'’.,\-/:º°№]")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 
@@ -334,7 +346,7 @@ def candidates(raw: str, is_html: bool, given: frozenset[str]) -> list[tuple[int
     return out
 
 
-TITLES = frozenset("Mr Mrs Ms Miss Dr Prof Herr Frau Sr Sra Sig Mme Mlle Monsieur Madame Dhr Mevr Pan Pani".split())
+TITLES = frozenset("Mr Mrs Ms Miss Dr Prof Herr Frau Sr Sra Sig Sig.ra Mme Mlle Monsieur Madame Dhr Mevr Pan Pani".split())
 COMPANY = frozenset("ltd gmbh inc group collection bank cloud express insurance wallet telecom games credit stream parcel market post pay air office".split())
 
 

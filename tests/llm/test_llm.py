@@ -83,6 +83,38 @@ def test_pii_candidates(text, want):
     assert sorted(places(text)[0]) == sorted(want)
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Bağdat Caddesi No:12; today", "Bağdat Caddesi No:12"),
+        ("sent to Calle Mayor,12; today", "Calle Mayor,12"),
+        ("an Hauptstraße&nbsp;12; today", "Hauptstraße&nbsp;12"),
+        ("an Hauptstraße\t12; today", "Hauptstraße\t12"),
+        ("an Hauptstraße<br>12; today", "Hauptstraße<br>12"),
+        ("en Calle<br>Mayor 5; today", "Calle<br>Mayor 5"),
+        ("ул. Ленина №7; today", "ул. Ленина №7"),
+        ("in Am\n        Alten\n        Markt 5; today", "Am\n        Alten\n        Markt 5"),
+        (f"en Calle{' ' * 90}Mayor 5; today", f"Calle{' ' * 90}Mayor 5"),
+        ("in Via A5 12; today", "Via A5 12"),
+    ],
+)
+def test_pii_streets_before_numbers(text, want):
+    assert places(text)[0] == [("address", want)]
+
+
+def test_pii_street_windows_lose_no_match():
+    parts = ["Calle", "Via", "Mayor", "de la", "Hauptstraße", "Am", "Alten", "Bağdat", "Caddesi", "No:", "n.", "№", "12", "5 B", "7a", ",", ";", "<", "x", " " * 40, "\n", "\u00a0", "ul."]
+    rng = random.Random(5)
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", " ", ""]) for _ in range(14))
+        want = {m.span() for m in pii.ADDRESS_BY_STREET.finditer(text)}
+        assert want <= set(pii._addresses(text)), text
+
+
+def test_pii_title_with_a_point_inside():
+    assert places("per la Sig.ra Wexmore, oggi")[0] == [("name", "Wexmore")]
+
+
 def test_pii_in_urls_and_redaction(spark):
     pad = [f"<p>The team of Anna {('Kestova', 'Holberg', 'Lind')[k % 3]} is at anna{k}@x.test, phone +49 30 23125 9{k % 10}{k % 7}. SSN: 000-12-{1000 + k}. Logo@2x.png</p>" for k in range(40)]
     data = [(k, f"http://a{k}.test/x?email=u%40b{k}.test", h) for k, h in enumerate(pad)]
