@@ -160,7 +160,7 @@ FILLER_SIGNS = ("サンプル", "ダミー", "ここに")
 
 
 def _speaks(words: list[str]) -> int:
-    return sum(w in COMMON_WORDS for w in words)
+    return sum(map(COMMON_WORDS.__contains__, words))
 
 
 def is_filler(sentence: str) -> bool:
@@ -168,41 +168,39 @@ def is_filler(sentence: str) -> bool:
     words = WORD.findall(sentence.lower())
     if not words:
         return False
-    signs = any(w[:5] in FILLER_STEMS for w in words) or not sentence.isascii() and any(s in sentence for s in FILLER_SIGNS)
+    stems = [w[:5] for w in words]
+    signs = not FILLER_STEMS.isdisjoint(stems) or not sentence.isascii() and any(s in sentence for s in FILLER_SIGNS)
     if signs and FILLER.search(sentence):
         return True
-    common = _speaks(words)
-    if len(words) < 3 or common * 5 > len(words):
+    if len(words) < 3:
         return False
-    latin = [w[:5] for w in words if w[:5] in LOREM]
-    if len(set(latin)) > 1 and len(latin) >= LATIN * len(words) and len(latin) > 2 * common:
+    latin = [w for w in stems if w in LOREM]
+    if len(latin) >= LATIN * len(words) and len(set(latin)) > 1 and len(latin) > 2 * _speaks(words):
         return True
-    if MASH.match(words[0]) and sum(1 for w in words if MASH.match(w)) >= 0.8 * len(words):
+    # Of words that are four fifths mash, one more than a fifth cannot all be others.
+    if any(map(MASH.match, words[: len(words) // 5 + 1])) and sum(1 for w in words if MASH.match(w)) >= 0.8 * len(words):
         return True
     return len(words) >= 4 and len(set(words)) == 1
 
 
 def is_filler_paragraph(block: str) -> bool:
     """Whether every sentence with words is filler; a paragraph of pseudo-Latin is judged as a whole, too."""
-    words = WORD.findall(block[:120].lower())
-    if _speaks(words) > 1 and not any(w[:5] in FILLER_STEMS for w in words):
-        return False  # running text
     parts = [s for s in SENTENCE.split(block) if WORD.search(s)]
     if not parts:
         return False
-    if not is_filler(parts[0]):
-        if _speaks(WORD.findall(parts[0].lower())) > 1:
-            return False
-    elif all(map(is_filler, parts[1:])):
+    if all(map(is_filler, parts)):
         return True
     words = WORD.findall(block.lower())
-    latin = [w[:5] for w in words if w[:5] in LOREM]
-    return len(words) >= 8 and len(set(latin)) > 3 and len(latin) >= LATIN * 1.25 * len(words) and len(latin) > 2 * _speaks(words)
+    latin = [w for w in [w[:5] for w in words] if w in LOREM]
+    return len(words) >= 8 and len(latin) >= LATIN * 1.25 * len(words) and len(set(latin)) > 3 and len(latin) > 2 * _speaks(words)
 
 
 def latin_words(line: str, sure: bool) -> list[str]:
     """Words of a paragraph of pseudo-Latin, or of one that may be: in small letters and without any common word."""
-    if not sure and not COMMON_WORDS.isdisjoint(WORD.findall(line[:80].lower())) or not line.isascii():
+    if not line.isascii():
+        return []
+    begins = line if len(line) <= 80 else line[:80].rpartition(" ")[0]  # whole words, to be done with most text early
+    if not sure and not COMMON_WORDS.isdisjoint(WORD.findall(begins.lower())):
         return []
     words = WORD.findall(line)
     if len(words) < 4 or sum(map(str.islower, words)) < 0.6 * len(words):

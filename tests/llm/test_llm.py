@@ -170,6 +170,26 @@ def test_residue(spark):
     assert residue.residue_rows(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "block, want",
+    [
+        ("Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas. Vestibulum tortor quam, feugiat vitae, ultricies eget, tempor sit amet.", True),
+        ("The words of this column and the lines below it are set for the layout of the page and for that of the menu, and when the site is done replace this with your own text.", True),
+        ("Morbi et augue et est, et nulla. " + "Vestibulum lacinia dolor magna feugiat luctus. " * 4, True),
+        ("well asdf qwer asdf zxcv", True),
+        ("the the the the", True),
+        ("The morning train to the coast is late. " * 5 + "Replace this with your own text.", False),
+    ],
+)
+def test_filler_is_judged_by_the_whole_paragraph(block, want):
+    assert residue.is_filler_paragraph(block) == want
+
+
+def test_latin_words_are_not_cut_at_the_first_characters():
+    line = "vivamus pretium lobortis condimentum sollicitudin pellentesque habitasse quam dedit ornare"
+    assert line[78:80] == "de" and residue.latin_words(line, False) == line.split()
+
+
 def test_weak_variables_need_evidence(spark):
     page = lambda x: f"<p>Hello dear reader of this page here.</p><p>Sent to {x} today by post.</p><p>Bye and thanks to all of you.</p>"
     alone = [(0, "http://a.test", page("%NAME%"))]
