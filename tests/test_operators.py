@@ -226,6 +226,13 @@ def test_schema_changes(spark):
     assert schema_drift.lifespans(schema_drift.catalogue(schema_drift.field_values(df), df)).where("feed = 'a' and name = 'html'").count() == 2
 
 
+def test_pages_in_long_pieces_stay_whole(spark):
+    pieces = lambda k: [f"<p>{k} {'x' * 300}</p>", f"<p>second of {k}</p>", "<p>third</p>"]
+    df = files(spark, [(1, "a", "2025-01-01", [{"html": pieces(k), "codes": [k, k + 1]} for k in range(4)] + [{"html": ["<p>one</p>"], "codes": [7]}])])
+    got = {r["line_no"]: (r["html"], r["codes"]) for r in schema_drift.consistent_table(df).collect()}
+    assert sorted(got.values()) == sorted([("".join(pieces(k)), [str(k), str(k + 1)]) for k in range(4)] + [("<p>one</p>", ["7"])])
+
+
 def test_readers_and_sinks(spark, tmp_path):
     folder = tmp_path / "phishing"
     folder.mkdir()
