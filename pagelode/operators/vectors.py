@@ -195,13 +195,23 @@ def diversity_drop(edges: DataFrame, order: DataFrame, cutoff: float = 0.02, id_
     return both.join(q, "query_id").join(c, "cand_id").where("rc > rq").select(F.col("query_id").alias(id_col)).distinct()
 
 
-def threshold_sweep(edges: DataFrame, thresholds: list[float], keep: int = 100) -> DataFrame:
-    """AGG-16, WIN-07: per threshold, the median distance of the `keep` farthest edges within it, and their number."""
+def threshold_sweep(edges: DataFrame, thresholds: list[float], keep: int = 100, texts: DataFrame | None = None, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """AGG-16, WIN-07: per threshold, the number of the `keep` farthest edges within it and the median similarity of their texts.
+
+    Similarity is SIM-02; ids are unique in `texts`, and an edge without both texts counts in the number only. Without
+    `texts` the median is that of the distances, which is not the blueprint's.
+    """
     levels = edges.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
     met = edges.crossJoin(F.broadcast(levels)).where("distance <= threshold")  # one copy per threshold, of which there are few
     order = Window.partitionBy("threshold").orderBy(F.desc("distance"), "query_id", "cand_id")
     top = met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= keep)
-    return top.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("distance", F.lit(0.5)), 6).alias("median"))
+    value = "distance"
+    if texts is not None:
+        value = "ratio"
+        q = texts.select(F.col(id_col).alias("query_id"), F.col(text_col).alias("query_text"))
+        c = texts.select(F.col(id_col).alias("cand_id"), F.col(text_col).alias("cand_text"))
+        top = top.join(q, "query_id", "left").join(c, "cand_id", "left").withColumn(value, indel_ratio()("query_text", "cand_text"))
+    return top.groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("median"))
 
 
 def same_value_pairs(rows: DataFrame, id_col: str, column: str) -> DataFrame:

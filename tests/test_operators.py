@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from pagelode.functions.text import indel_similarity
 from pagelode.operators import cleaning, eda, features, metrics, prefix, sampling, schema_drift, vectors
 from pagelode.sources import feeds, readers, sinks
 from pagelode.streaming import quota
@@ -226,6 +227,17 @@ def test_schema_changes(spark):
     assert schema_drift.lifespans(schema_drift.catalogue(schema_drift.field_values(df), df)).where("feed = 'a' and name = 'html'").count() == 2
 
 
+def test_threshold_sweep_compares_texts(spark):
+    rng = random.Random(3)
+    said = {k: "".join(rng.choice("abc") for _ in range(rng.randrange(30))) for k in range(12)}
+    edges = [(a, b, rng.randrange(10) / 10) for a in said for b in said if a != b]
+    texts = spark.createDataFrame(list(said.items()), "id long, text string")
+    got = {r["threshold"]: (r["n"], r["median"]) for r in vectors.threshold_sweep(spark.createDataFrame(edges, "query_id long, cand_id long, distance double"), [0.2, 0.5, 0.9], 20, texts).collect()}
+    for t in (0.2, 0.5, 0.9):
+        top = sorted((e for e in edges if e[2] <= t), key=lambda e: (-e[2], e[0], e[1]))[:20]
+        assert got[t] == (len(top), pytest.approx(np.median([indel_similarity(said[a], said[b]) for a, b, _ in top]), abs=1e-6))
+
+
 def test_pages_in_long_pieces_stay_whole(spark):
     pieces = lambda k: [f"<p>{k} {'x' * 300}</p>", f"<p>second of {k}</p>", "<p>third</p>"]
     df = files(spark, [(1, "a", "2025-01-01", [{"html": pieces(k), "codes": [k, k + 1]} for k in range(4)] + [{"html": ["<p>one</p>"], "codes": [7]}])])
