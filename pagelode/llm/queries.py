@@ -35,6 +35,10 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.without_residue(table(spark, sf_dir, "crawl_pages"), p3_found(spark, sf_dir))
 
 
+def p3_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.blank_slots(table(spark, sf_dir, "crawl_pages"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.label_corrections(table(spark, sf_dir, "release_pages")).select("page_id", "seg_no", "lang")
 

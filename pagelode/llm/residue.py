@@ -1,10 +1,12 @@
 """Template residue and error-page text (problem 3).
 
-Records are aligned by the lines they share: a line between the same two neighbours in several records is a slot if
-its text differs from record to record. A variable-shaped token counts as residue if its syntax leaves no doubt, if
-its slot is one of those, or if the same variable is left on pages of several hosts. Whole-page messages are pages
-without content of their own: each of their lines is a known kind of message, or recurs on such bare pages of many
-hosts and hardly anywhere else.
+Records are aligned word by word: a slot is a place between the same two words before and the same two words after
+in which aligned records differ. A variable-shaped token is residue if it stands in such a slot, where other records
+have ordinary words; or if the same token is left on pages of several hosts; the notation alone decides only for a
+token that has no aligned record, and only if it means nothing else. Default texts are paragraphs that recur in
+different surroundings or in the words that such paragraphs teach. Whole-page messages are pages without content of
+their own whose lines recur on such bare pages of several hosts; wording gives their kind, and decides alone only for
+messages that no other page repeats. Every finding names its evidence.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +25,20 @@ from pagelode.functions.html import HIDDEN, INLINE, INVISIBLE, TAG, TITLE, body_
 from pagelode.functions.urls import host_key
 from pagelode.session import broadcast_if_small, stored
 
-#: Most words of a page that can be a message instead of content.
-BARE_WORDS = 90
 #: Hosts on which a line must recur on bare pages to be taken for a message without any known wording.
 RECURS = 3
-#: Short lines beyond which a page is a list with content rather than a message.
+#: Short lines a message line may have beside it; more make the page a list with content.
 MINOR_LINES = 4
 #: Least share of pseudo-Latin in a paragraph of filler; of the words that are learnt from sure paragraphs.
 LATIN, LEARNT = 0.2, 0.6
 #: Sure paragraphs in which a word must stand to be learnt.
 LATIN_SEEN = 5
+#: Most words of another record that fill the slot of a variable.
+FILLING = 3
+#: Different fillings from which on a slot counts as one that ought not to be blank.
+FILLED = 3
+#: Bits of the filter for contexts of variables, at most (2 ** n); it only spares rows, a full one loses none.
+FILTER_BITS = 26
 
 CODE = re.compile(r"<(code|pre|kbd|samp|textarea|xmp)\b[^>]*>.*?(?:</\1\s*>|$)", re.I | re.S)
 FRAME = re.compile(r"<(nav|footer|button|select|title)\b[^>]*>.*?(?:</\1\s*>|$)", re.I | re.S)
@@ -145,12 +153,16 @@ ERRORS = re.compile(
 )
 #: Kinds of a line: possible content, script notice, error message, something short that says nothing.
 CONTENT, SCRIPT, ERROR, MINOR = 0, 1, 2, 3
-#: Content of a page that has navigation or a form: never a message of unknown wording.
-OWN = 4
-PLAIN = re.compile(r"<(?:nav|form|input|button)\b", re.I)
-
-
-# How the words begin of which every default text has one, at most five letters; and its signs in Japanese.
+#: Characters of scripts without blanks between words; a message of that many is a sentence.
+DENSE, DENSE_SENTENCE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]"), 10
+#: Markup of pages that have more to them than a message.
+OWN = re.compile(r"<(?:nav|form|input|button)\b", re.I)
+#: Words of a line, ends of lines and, in place of a variable, one mark.
+PART = re.compile("\\w+|[\n\x01]")
+TRACE = re.compile(r"^\s*(?:at\s+[\w$.<>]+\(|File\s+\".*\",\s+line\s+\d+|#\d+\s+\S+\(|[\w.]+(?:Error|Exception)\b)")
+
+# How the words begin of which every default text has one, at most five letters, and its signs in
+# Japanese. Every alternative of FILLER has such a word, so that the look at the words spares the search, and no match.
 FILLER_STEMS = frozenset(
     """sampl place dummy fille defau examp here text copy repla edit click lorem blind platz beisp muster muste füllt hier ersetz erset
     solo sólo só apena texte texto testo aquí aqui voorb opvul plaat tekst przyk tutaj wpisz wstaw exemp plats utfyl här
@@ -163,6 +175,7 @@ def _speaks(words: list[str]) -> int:
     return sum(map(COMMON_WORDS.__contains__, words))
 
 
+@lru_cache(1 << 14)
 def is_filler(sentence: str) -> bool:
     """Whether a whole sentence is filler: default text, pseudo-Latin, keyboard mash or one word over and over."""
     words = WORD.findall(sentence.lower())
@@ -177,8 +190,7 @@ def is_filler(sentence: str) -> bool:
     latin = [w for w in stems if w in LOREM]
     if len(latin) >= LATIN * len(words) and len(set(latin)) > 1 and len(latin) > 2 * _speaks(words):
         return True
-    # Of words that are four fifths mash, one more than a fifth cannot all be others.
-    if any(map(MASH.match, words[: len(words) // 5 + 1])) and sum(1 for w in words if MASH.match(w)) >= 0.8 * len(words):
+    if sum(1 for w in words if MASH.match(w)) >= 0.8 * len(words):
         return True
     return len(words) >= 4 and len(set(words)) == 1
 
@@ -199,49 +211,34 @@ def latin_words(line: str, sure: bool) -> list[str]:
     """Words of a paragraph of pseudo-Latin, or of one that may be: in small letters and without any common word."""
     if not line.isascii():
         return []
-    begins = line if len(line) <= 80 else line[:80].rpartition(" ")[0]  # whole words, to be done with most text early
-    if not sure and not COMMON_WORDS.isdisjoint(WORD.findall(begins.lower())):
-        return []
     words = WORD.findall(line)
-    if len(words) < 4 or sum(map(str.islower, words)) < 0.6 * len(words):
-        return []
     low = [w.lower() for w in words]
-    return low if sure or COMMON_WORDS.isdisjoint(low) else []
-
-
-# How the words begin of which every known message has one, at most five letters; and its signs in Japanese.
-MESSAGE_STEMS = frozenset(
-    """java javas scrip cooki skryp скрип сцена check verif valid brows human visit conne robot momen secon vérif compr überp
-    prüf prüfe prüft contr navig naveg humai
-    found exist avail acces find reach displ loade such error denie forbi unaut permi allow suspe deact parke domai expir
-    maint back right retur const unava unabl time timed timeo gatew bad answe respo reque slow try again block wrong fatal
-    trace excep warni nothi site httpd certi oops incid moved delet remov been was longe never
-    intro erreu accès indis réess gefun mehr errei verfü gesta fehle verwe gespe wartu anfra späte dispo encon pudo deneg
-    mante intén trova esist negat sospe manut erro negad gevon besch besta gewei geblo onder opges fout znale istni błąd
-    odmow zawie przer hitta finns nekad avstä under fel bulun engel hata bakım найде сущес досту ошибк запре забло приос
-    обслу""".split()
-)
-MESSAGE_SIGNS = ("スクリプト", "クッキー", "ブラウザ", "見つかりません", "存在しません", "エラー", "アクセス", "メンテナンス", "停止され", "ご利用")
+    if len(words) < 4 or not sure and not COMMON_WORDS.isdisjoint(low):
+        return []
+    return low if sum(map(str.islower, words)) >= 0.6 * len(words) else []
 
 
+@lru_cache(1 << 14)
 def _sentence_kind(text: str) -> int:
-    signs = any(w[:5] in MESSAGE_STEMS for w in WORD.findall(text.lower())) or not text.isascii() and any(s in text for s in MESSAGE_SIGNS)
-    if signs and SCRIPTS.search(text):
+    if SCRIPTS.search(text):
         return SCRIPT
-    if signs and ERRORS.search(text):
+    if ERRORS.search(text) or TRACE.match(text):
         return ERROR
-    return CONTENT if len(text.split()) > 5 or len(text) > 60 else MINOR
+    long = len(text.split()) > 5 or len(text) > 60 or not text.isascii() and len(DENSE.findall(text)) > DENSE_SENTENCE
+    return CONTENT if long else MINOR
 
 
 def line_kind(line: str) -> int:
     """Kind of a line of a bare page: of its sentences, content outweighs all; a short remark after a message does not."""
-    kinds = []
-    for part in SENTENCE.split(line):
+    kinds: list[int] = []
+    for part in [line] if TRACE.match(line) else SENTENCE.split(line):
         kind = _sentence_kind(part)
         if kind == CONTENT and kinds and kinds[-1] in (SCRIPT, ERROR) and len(part.split()) <= 8:
             kind = MINOR
+        if kind == CONTENT:
+            return CONTENT
         kinds.append(kind)
-    return next((k for k in (CONTENT, ERROR, SCRIPT) if k in kinds), MINOR)
+    return next((k for k in (ERROR, SCRIPT) if k in kinds), MINOR)
 
 
 def _mask(line: str) -> int:
@@ -268,92 +265,216 @@ def page_lines(page: str) -> tuple[str, list[str], list[str], list[str]]:
     return title, heads, [s for b in text.split("\n") if (s := " ".join(b.split()))], frame
 
 
+def _word_codes(words: list[str]) -> np.ndarray:
+    """A code per word, and 0 for the end of a line, 1 for a variable."""
+    from pandas.util import hash_array
+
+    if not words:
+        return np.zeros(0, np.int32)
+    named = np.array(words, dtype=object)
+    codes = (hash_array(named) >> np.uint64(33)).astype(np.int32)
+    codes[codes < 2] = 2
+    codes[named == "\n"] = 0
+    codes[named == "\x01"] = 1
+    return codes
+
+
+def _contexts(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the two words before and the two after every place that `size` words fill, and whether they suffice.
+
+    Place `i` is before the word `i + 2`; ends of lines come twice. Two words of the four must be words of the line
+    and the filling may not reach beyond it.
+    """
+    n = len(codes) - 3 - size
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    around = [codes[k : k + n] for k in (0, 1, size + 2, size + 3)]
+    key = np.zeros(n, np.uint64)
+    told = np.zeros(n, np.int8)
+    for part in around:
+        key = (key ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+        told += part > 1
+    fits = told >= 2
+    for k in range(size):
+        fits &= codes[k + 2 : k + 2 + n] > 1 if size > 1 else codes[k + 2 : k + 2 + n] > 0
+    return key.view(np.int64), fits
+
+
 def page_facts(pages: DataFrame, id_col: str = "crawl_id", html_col: str = "html_content", url_col: str = "url") -> DataFrame:
-    """One row per page with content, in which no text is kept.
+    """One row per page with content.
 
-    `vars`: variables with the lines around them; `filler`: whether a paragraph is filler beyond doubt; `latin`: the words
-    of paragraphs of pseudo-Latin, sure or possible; `keys`: the keys of all lines in order; `bare`: keys and kinds of
-    the lines of a page that is short enough to be a message.
+    `vars`: variables with the key of their context (null if too little stands around them); `codes`: a code per word
+    of all lines, to align them; `fill`: paragraphs of filler with the keys of their lines and neighbours; `latin`: the
+    words of paragraphs of pseudo-Latin, sure or possible; `keys`: the keys of all lines in order; `bare`: keys and
+    kinds of the lines of a page that may be a message; `plain`: whether it has nothing but text.
     """
-    names = ["crawl_id", "host", "filler", "vars", "latin", "keys", "bare"]
+    names = ["crawl_id", "host", "vars", "codes", "fill", "latin", "keys", "bare", "plain"]
     struct = lambda **k: pa.list_(pa.struct(list(k.items())))
-    kinds = [pa.int64(), pa.string(), pa.bool_(), struct(token=pa.string(), strong=pa.bool_(), prev=pa.int64(), next=pa.int64()), struct(sure=pa.bool_(), words=pa.list_(pa.string())), pa.list_(pa.int64()), struct(key=pa.int64(), kind=pa.int32())]
+    kinds = [pa.int64(), pa.string(), struct(token=pa.string(), strong=pa.bool_(), ctx=pa.int64()), pa.list_(pa.int32()), struct(key=pa.int64(), prev=pa.int64(), next=pa.int64()), struct(sure=pa.bool_(), words=pa.list_(pa.string())), pa.list_(pa.int64()), struct(key=pa.int64(), kind=pa.int32()), pa.bool_()]
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, words, ends = [], [], []
             for page_id, host, page in zip(*(c.to_pylist() for c in batch.columns)):
                 if page.isspace() or not page:
                     continue
                 title, heads, lines, frame = page_lines(page)
                 every = [title, *heads, *lines]
                 keys = [_mask(s) for s in every]
-                found = []
-                for k, line in enumerate([*every, *frame]):
+                found, marked = [], []
+                for line in [*every, *frame]:
                     if HINT.search(line):
-                        around = (keys[k - 1] if 0 < k <= len(keys) else 0, keys[k + 1] if k + 1 < len(keys) else 0)
-                        found += [{"token": m[0][:80], "strong": m["s"] is not None, "prev": around[0], "next": around[1]} for m in VARIABLE.finditer(line)]
+                        found += [{"token": m[0], "strong": m["s"] is not None} for m in VARIABLE.finditer(line)]
+                        line = VARIABLE.sub(" \x01 ", line)
+                    marked.append(line.lower())
+                words += PART.findall("\n\n" + "\n\n".join(marked) + "\n\n")
+                ends.append(len(words))
                 sure = [is_filler_paragraph(s) for s in lines]
+                first = len(keys) - len(lines)
+                fill = [{"key": keys[k], "prev": keys[k - 1] if k else 0, "next": keys[k + 1] if k + 1 < len(keys) else 0} for k, ok in enumerate(sure, first) if ok]
                 latin = [{"sure": ok, "words": w} for s, ok in zip(lines, sure) if (w := latin_words(s, ok))]
+                plain = OWN.search(page) is None
                 bare = []
-                if sum(map(len, lines)) < BARE_WORDS * 12 and sum(len(WORD.findall(s)) for s in lines) <= BARE_WORDS:
-                    plain = PLAIN.search(page) is None
-                    told = lines or [s for s in [*heads, title] if s]
-                    bare = [{"key": _mask(s), "kind": OWN if (kind := line_kind(s)) == CONTENT and not plain else kind} for s in told]
-                rows.append((page_id, host, any(sure), found, latin, keys, bare))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
+                for s in lines or [s for s in [*heads, title] if s]:
+                    bare.append({"key": _mask(s), "kind": line_kind(s)})
+                    if bare[-1]["kind"] == CONTENT and not plain:
+                        bare = []  # has content of its own
+                        break
+                rows.append([page_id, host, found, None, fill, latin, keys, bare, plain])
+            codes = _word_codes(words)
+            context, fits = _contexts(codes, 1)
+            begin = 0
+            for row, end in zip(rows, ends):
+                at = np.flatnonzero(codes[begin:end] == 1) + begin - 2
+                for v, i in zip(row[2], at.tolist()):
+                    v["ctx"] = int(context[i]) if fits[i] else None
+                row[3] = codes[begin:end]
+                begin = end
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, kinds)], names=names)
 
     rows = pages.where(F.col(id_col).isNotNull() & F.col(html_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("crawl_id"), F.coalesce(host_key(F.col(url_col)), F.lit("")).alias("host"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(facts, "crawl_id bigint, host string, filler boolean, vars array<struct<token: string, strong: boolean, prev: bigint, next: bigint>>, latin array<struct<sure: boolean, words: array<string>>>, keys array<bigint>, bare array<struct<key: bigint, kind: int>>")
+    return rows.mapInArrow(facts, "crawl_id bigint, host string, vars array<struct<token: string, strong: boolean, ctx: bigint>>, codes array<int>, fill array<struct<key: bigint, prev: bigint, next: bigint>>, latin array<struct<sure: boolean, words: array<string>>>, keys array<bigint>, bare array<struct<key: bigint, kind: int>>, plain boolean")
+
+
+def _filter_of(keys: DataFrame, col: str) -> np.ndarray:
+    """A bitmap of the distinct keys; at least 16 bits a key up to the greatest size."""
+    n = keys.count()
+    power = min(FILTER_BITS, max(10, (16 * n).bit_length()))
+    place = F.col(col).bitwiseAND(F.lit((1 << power) - 1))
+    words = keys.groupBy(F.shiftright(place, 5).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
+    out = np.zeros(1 << (power - 5), np.uint32)
+    got = words.toPandas()  # at most 2 ** (FILTER_BITS - 5) rows
+    out[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
 
 
-def _placeholders(facts: DataFrame) -> DataFrame:
-    """Ids of pages with a variable: the slot between two lines is one if records that have both differ in between."""
+def slot_fillings(facts: DataFrame) -> DataFrame:
+    """`(crawl_id, ctx, filling)`: what stands in the contexts of variables on any page; 0 if nothing, 1 a variable."""
+    wanted = stored(facts.where(F.size("vars") > 0).select(F.explode("vars.ctx").alias("ctx")).where("ctx is not null").distinct(), "variable-contexts")
+    shared = facts.sparkSession.sparkContext.broadcast(_filter_of(wanted, "ctx"))
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        mask = np.int64(len(bits) * 32 - 1)
+        for batch in batches:
+            ends = batch.column(1).value_lengths().to_numpy().cumsum()
+            codes = batch.column(1).flatten().to_numpy()
+            ids = batch.column(0).to_numpy()
+            for size in range(FILLING + 1):
+                key, fits = _contexts(codes, size)
+                place = key & mask
+                at = np.flatnonzero(fits & ((bits[place >> 5] >> (place & 31).astype(np.uint32)) & 1).astype(bool))
+                filling = np.zeros(len(at), np.int64)
+                for k in range(size):
+                    filling = (filling * np.int64(1_000_003) + codes[at + 2 + k]) & np.iinfo(np.int64).max
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.searchsorted(ends, at + 2, "right")]), pa.array(key[at]), pa.array(filling)], names=["crawl_id", "ctx", "filling"])
+
+    return facts.select("crawl_id", "codes").mapInArrow(align, "crawl_id bigint, ctx bigint, filling bigint").join(wanted, "ctx", "left_semi")
+
+
+def _placeholders(facts: DataFrame, fillings: DataFrame) -> DataFrame:
+    """`(crawl_id, evidence)` of pages with a variable: slot, recurrence or notation, whichever is the best."""
     left = facts.where(F.size("vars") > 0).select("crawl_id", "host", F.explode("vars").alias("v")).select("crawl_id", "host", "v.*")
-    unsure = left.where("not strong")
-    wanted = unsure.select("prev", "next").distinct()
-    at = facts.select("keys", F.posexplode("keys").alias("i", "key"))
-    gaps = at.select(F.when(F.col("i") > 0, F.get("keys", F.col("i") - 1)).otherwise(F.lit(0)).alias("prev"), "key", F.coalesce(F.get("keys", F.col("i") + 1), F.lit(0)).alias("next"))
-    slots = gaps.join(broadcast_if_small(wanted), ["prev", "next"], "left_semi").groupBy("prev", "next").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("prev", "next")
-    spread = unsure.groupBy("token").agg(F.min("host").alias("a"), F.max("host").alias("b")).where("a <> b").select("token")
-    in_slot, elsewhere = unsure.join(slots, ["prev", "next"], "left_semi"), unsure.join(spread, "token", "left_semi")
-    return left.where("strong").select("crawl_id").unionByName(in_slot.select("crawl_id")).unionByName(elsewhere.select("crawl_id")).distinct()
+    slots = fillings.where("filling > 1").select("ctx").distinct().select("ctx", F.lit(True).alias("slot"))
+    spread = left.groupBy("token").agg(F.min("host").alias("a"), F.max("host").alias("b")).where("a <> b").select("token", F.lit(True).alias("spread"))
+    judged = left.join(broadcast_if_small(slots), "ctx", "left").join(broadcast_if_small(spread), "token", "left")
+    rank = F.when(F.col("slot"), 0).when(F.col("spread"), 1).when(F.col("strong"), 2)
+    best = judged.groupBy("crawl_id").agg(F.min(rank).alias("r")).where("r is not null")
+    return best.select("crawl_id", F.element_at(F.array(*map(F.lit, ("slot", "recurrence", "notation"))), F.col("r") + 1).alias("evidence"))
 
 
 def _filler(facts: DataFrame) -> DataFrame:
-    """Ids of pages with filler: sure paragraphs, and possible pseudo-Latin in the words that sure paragraphs teach."""
+    """`(crawl_id, evidence)` of pages with filler.
+
+    Slot: the paragraph stands where another record has another one, or recurs between other neighbours; recurrence:
+    another host has it too; learnt: its pseudo-Latin is that of five other paragraphs; wording: none of these.
+    """
     lines = facts.where(F.size("latin") > 0).select("crawl_id", F.posexplode("latin").alias("line", "x")).select("crawl_id", "line", "x.sure", "x.words")
     learnt = lines.where("sure").select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LATIN_SEEN).select("word", F.lit(1).alias("known"))
-    words = lines.where("not sure").select("crawl_id", "line", F.explode("words").alias("word")).join(broadcast_if_small(learnt), "word", "left")
+    words = lines.select("crawl_id", "line", F.explode("words").alias("word")).join(broadcast_if_small(learnt), "word", "left")
     more = words.groupBy("crawl_id", "line").agg((F.count("known") / F.count(F.lit(1))).alias("share")).where(F.col("share") >= LEARNT)
-    return facts.where("filler").select("crawl_id").unionByName(more.select("crawl_id")).distinct()
+    fill = facts.where(F.size("fill") > 0).select("crawl_id", "host", F.explode("fill").alias("x")).select("crawl_id", "host", "x.*")
+    per = fill.groupBy("key").agg((F.min(F.struct("prev", "next")) != F.max(F.struct("prev", "next"))).alias("moves"), (F.min("host") != F.max("host")).alias("spread"))
+    gaps = broadcast_if_small(fill.select("prev", "next").distinct())
+    at = facts.select("keys", F.posexplode("keys").alias("i", "key"))
+    there = at.select(F.when(F.col("i") > 0, F.get("keys", F.col("i") - 1)).otherwise(F.lit(0)).alias("prev"), "key", F.coalesce(F.get("keys", F.col("i") + 1), F.lit(0)).alias("next"))
+    slots = there.join(gaps, ["prev", "next"], "left_semi").groupBy("prev", "next").agg((F.min("key") != F.max("key")).alias("differs"))
+    judged = fill.join(broadcast_if_small(per), "key", "left").join(broadcast_if_small(slots), ["prev", "next"], "left")
+    sure = judged.select("crawl_id", F.when(F.col("differs") | F.col("moves"), 0).when(F.col("spread"), 1).otherwise(3).alias("r"))
+    best = sure.unionByName(more.select("crawl_id", F.lit(2).alias("r"))).groupBy("crawl_id").agg(F.min("r").alias("r"))
+    return best.select("crawl_id", F.element_at(F.array(*map(F.lit, ("slot", "recurrence", "learnt", "wording"))), F.col("r") + 1).alias("evidence"))
 
 
 def _messages(facts: DataFrame, recurs: int) -> DataFrame:
-    """`(crawl_id, residue_kind)` of bare pages; unknown lines count if they recur on such pages of several hosts and on few others."""
-    bare = facts.where(F.size("bare") > 0).select("crawl_id", "host", F.explode("bare").alias("x")).select("crawl_id", "host", "x.*")
-    often = bare.where(F.col("kind") == CONTENT).groupBy("key").agg(F.countDistinct("host").alias("hosts"), F.count(F.lit(1)).alias("n")).where(F.col("hosts") >= recurs)
-    full = facts.where(F.size("bare") == 0).select(F.explode("keys").alias("key")).join(broadcast_if_small(often.select("key")), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    message = often.join(full, "key", "left").where(F.coalesce("m", F.lit(0)) * 10 <= F.col("n")).select("key", F.lit(True).alias("known"))
-    known = F.col("known").isNotNull() & (F.col("kind") == CONTENT)
-    judged = bare.join(broadcast_if_small(message), "key", "left").groupBy("crawl_id").agg(
-        F.count_if(F.col("kind").isin(CONTENT, OWN) & ~known).alias("content"),
+    """`(crawl_id, residue_kind, evidence)` of pages whose every line is that of a message.
+
+    A line is one if it recurs on plain pages of `recurs` hosts and on few pages with content, or by its wording. A page
+    all of whose lines recur on such pages is a whole-page template, whatever it says.
+    """
+    bare = facts.where(F.size("bare") > 0).select("crawl_id", "host", "plain", F.explode("bare").alias("x")).select("crawl_id", "host", "plain", "x.*")
+    hosts = bare.where((F.col("kind") != MINOR) & F.col("plain")).select("key", "host", "kind").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("hosts"), F.min("kind").alias("kind")).where(F.col("hosts") >= recurs)
+    often = stored(hosts, "message-lines")
+    unknown = often.where(F.col("kind") == CONTENT).select("key")
+    places = facts.select("crawl_id", (F.size("bare") == 0).alias("full"), F.explode("keys").alias("key")).join(broadcast_if_small(unknown), "key", "left_semi")
+    rare = places.groupBy("key").agg(F.count_if("full").alias("m"), F.count_if(~F.col("full")).alias("n")).where(F.col("m") * 10 <= F.col("n"))
+    known = rare.select("key").unionByName(often.where(F.col("kind") != CONTENT).select("key")).select("key", F.lit(True).alias("known"))
+    judged = bare.join(broadcast_if_small(known), "key", "left").groupBy("crawl_id").agg(
+        F.count_if((F.col("kind") == CONTENT) & F.col("known").isNull()).alias("content"),
         F.count_if(F.col("kind") == MINOR).alias("minor"),
         F.count_if(F.col("kind") == SCRIPT).alias("script"),
-        F.count_if((F.col("kind") == ERROR) | known).alias("error"),
+        F.count_if((F.col("kind") == ERROR) | (F.col("kind") == CONTENT) & F.col("known")).alias("error"),
+        F.count_if((F.col("kind") != MINOR) & F.col("known").isNull()).alias("alone"),
     )
     kind = F.when(F.col("error") > 0, "error").when(F.col("script") > 0, "script_notice")
-    return judged.where((F.col("content") == 0) & (F.col("minor") <= MINOR_LINES)).select("crawl_id", kind.alias("residue_kind")).where("residue_kind is not null")
+    short = (F.col("content") == 0) & (F.col("minor") <= MINOR_LINES * (F.col("error") + F.col("script")))
+    return judged.where(short).select("crawl_id", kind.alias("residue_kind"), F.when(F.col("alone") == 0, "recurrence").otherwise("wording").alias("evidence")).where("residue_kind is not null")
 
 
-def residue_rows(pages: DataFrame, id_col: str = "crawl_id", html_col: str = "html_content", url_col: str = "url", recurs: int = RECURS) -> DataFrame:
-    """`(crawl_id, residue_kind)`: placeholder, filler, error or script_notice, each kind once per row of the table.
+def residue_evidence(pages: DataFrame, id_col: str = "crawl_id", html_col: str = "html_content", url_col: str = "url", recurs: int = RECURS) -> DataFrame:
+    """`(crawl_id, residue_kind, evidence)`: placeholder, filler, error or script_notice, each kind once per row of the table.
 
     Null, empty and blank content is no case; repeated rows each count under their own id, rows with null ids do not.
     """
     facts = stored(page_facts(pages, id_col, html_col, url_col), "page-facts")
-    named = lambda df, kind: df.select("crawl_id", F.lit(kind).alias("residue_kind"))
-    return named(_placeholders(facts), "placeholder").unionByName(named(_filler(facts), "filler")).unionByName(_messages(facts, recurs))
+    named = lambda df, kind: df.select("crawl_id", F.lit(kind).alias("residue_kind"), "evidence")
+    found = named(_placeholders(facts, slot_fillings(facts)), "placeholder").unionByName(named(_filler(facts), "filler")).unionByName(_messages(facts, recurs))
+    return found.groupBy("crawl_id", "residue_kind").agg(F.min("evidence").alias("evidence"))
+
+
+def residue_rows(pages: DataFrame, id_col: str = "crawl_id", html_col: str = "html_content", url_col: str = "url", recurs: int = RECURS) -> DataFrame:
+    """`(crawl_id, residue_kind)` of `residue_evidence`."""
+    return residue_evidence(pages, id_col, html_col, url_col, recurs).select("crawl_id", "residue_kind")
+
+
+def blank_slots(pages: DataFrame, id_col: str = "crawl_id", html_col: str = "html_content", url_col: str = "url", filled: int = FILLED) -> DataFrame:
+    """`(crawl_id, n_blank)`: pages that leave a slot blank which some record fills with a variable and `filled` others in different ways.
+
+    A blank is not shown as residue, so `residue_rows` does not count it.
+    """
+    found = stored(slot_fillings(stored(page_facts(pages, id_col, html_col, url_col), "page-facts")), "slot-fillings")
+    slots = found.where("filling > 1").select("ctx", "filling").distinct().groupBy("ctx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= filled)
+    return found.where("filling = 0").join(broadcast_if_small(slots.select("ctx")), "ctx", "left_semi").groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n_blank"))
 
 
 def without_residue(pages: DataFrame, found: DataFrame, id_col: str = "crawl_id") -> DataFrame:

@@ -185,18 +185,69 @@ def test_filler_is_judged_by_the_whole_paragraph(block, want):
     assert residue.is_filler_paragraph(block) == want
 
 
-def test_latin_words_are_not_cut_at_the_first_characters():
+def test_latin_words_are_judged_by_the_whole_line():
     line = "vivamus pretium lobortis condimentum sollicitudin pellentesque habitasse quam dedit ornare"
-    assert line[78:80] == "de" and residue.latin_words(line, False) == line.split()
+    assert residue.latin_words(line, False) == line.split() and residue.latin_words(line + " the", False) == []
+
+
+@pytest.mark.parametrize(
+    "text",
+    """Sample text|placeholder heading|Your headline goes here|Heading two goes here|Add your own text here|Replace this with your own words|Text block|Edit this text|Click to edit|Lorem ipsum dolor|Blindtext|Platzhalterbild
+    Beispieltext|Hier steht ein Text|Text hier eingeben|Ersetzen Sie dies durch Ihre eigene Zeile, bitte durch eigene|Edit it for visitors|solo una muestra|apenas um exemplo|texte de remplissage|votre texte ici|Saisissez votre texte
+    texto de ejemplo|Escriba aquí su texto|su texto aquí|testo di prova|Inserisci il tuo testo|voorbeeldtekst|uw tekst hier|hier komt uw tekst|przykładowy akapit|Wpisz swój tekst|tutaj jest tekst|exempeltext|Skriv din text här|din text här
+    örnek metin|metninizi buraya|buraya metin|пример текста|введите текст|ваш текст здесь|текст-заполнитель|ダミーテキスト|ここに本文""".replace("\n", "|").split("|"),
+)
+def test_the_look_at_words_spares_no_default_text(text):
+    assert residue.FILLER.search(text) and residue.is_filler(text.strip())
+
+
+def evidence(df):
+    return {(r["crawl_id"], r["residue_kind"]): r["evidence"] for r in residue.residue_evidence(df).collect()}
+
+
+def sites(spark, pages):
+    return spark.createDataFrame([(k, f"http://h{k}.test", t) for k, t in enumerate(pages)], "crawl_id long, url string, html_content string")
 
 
 def test_weak_variables_need_evidence(spark):
     page = lambda x: f"<p>Hello dear reader of this page here.</p><p>Sent to {x} today by post.</p><p>Bye and thanks to all of you.</p>"
-    alone = [(0, "http://a.test", page("%NAME%"))]
-    df = lambda data: spark.createDataFrame(data, "crawl_id long, url string, html_content string")
-    assert rows(residue.residue_rows(df(alone))) == []
-    slot = alone + [(1, "http://a.test", page("Paul"))]
-    assert rows(residue.residue_rows(df(slot))) == [(0, "placeholder")]
+    assert evidence(sites(spark, [page("%NAME%")])) == {}
+    assert evidence(sites(spark, [page("%NAME%"), page("Paul")])) == {(0, "placeholder"): "slot"}
+    assert evidence(sites(spark, [page("%NAME%"), page("Anna Maria Lind")])) == {(0, "placeholder"): "slot"}
+    other = "<p>We keep the whole text of the office for %NAME%</p>"
+    assert evidence(sites(spark, [page("%NAME%"), other])) == {(0, "placeholder"): "recurrence", (1, "placeholder"): "recurrence"}
+    assert evidence(sites(spark, [page("{{ name }}")])) == {(0, "placeholder"): "notation"}
+
+
+def test_long_variables_stay_apart(spark):
+    page = lambda c: "<p>Some words of the office and then {{ " + "x" * 50 + c + " }} and more of the office</p>"
+    weak = lambda c: "<p>Then [Insert " + "long word " * 3 + c + "] stands at the end " + c * 3 + " of it</p>"
+    assert set(evidence(sites(spark, [page("a"), page("b")])).values()) == {"notation"}
+    assert evidence(sites(spark, [weak("a"), weak("b")])) == {}
+
+
+def test_blank_slots(spark):
+    page = lambda x: f"<p>Dear {x}, your parcel is here and the office is open.</p>"
+    df = sites(spark, [page(x) for x in ("{{ name }}", "Anna", "Bo Lind", "Carl", "")])
+    assert rows(residue.blank_slots(df)) == [(4, 1)] and evidence(df) == {(0, "placeholder"): "slot"}
+    assert residue.blank_slots(df.limit(0)).count() == 0
+
+
+def test_default_paragraphs_by_place_and_recurrence(spark):
+    page = lambda x: f"<p>The office keeps the hours of the year for all.</p><p>{x}</p><p>The parcel of the week is on the way to us.</p>"
+    assert evidence(sites(spark, [page("Replace this with your own text."), page("We are open on the day of the market.")])) == {(0, "filler"): "slot"}
+    assert evidence(sites(spark, [page("Replace this with your own text.")])) == {(0, "filler"): "wording"}
+
+
+def test_whole_page_templates(spark):
+    own = "<p>Zentrale Anfrage dieser Seite kommt gerade unerwartet ohne Antwort zurück.</p>"
+    found = evidence(sites(spark, [own] * 3 + ["<p>Please enable JavaScript to continue.</p>"]))
+    assert found == {(0, "error"): "recurrence", (1, "error"): "recurrence", (2, "error"): "recurrence", (3, "script_notice"): "wording"}
+    assert evidence(sites(spark, [own] * 2)) == {}
+    trace = "<p>Traceback (most recent call last):</p>" + "".join(f'<p>File "/srv/app/module_{k}.py", line {k}, in handle_the_next_request_of_this_site</p>' for k in range(15)) + "<p>ValueError: invalid literal</p>"
+    assert evidence(sites(spark, [trace])) == {(0, "error"): "wording"}
+    spoken = "<p>JavaScript is disabled.</p><p>会員ページは二日以内に古い港の近くで料金表を更新します。</p>"
+    assert evidence(sites(spark, [spoken])) == {}
 
 
 # --- p4
