@@ -1,23 +1,29 @@
 """Personal information inside free text (problem 2).
 
-Weak-supervision aggregation. Candidate spans come from loose patterns over the decoded field; on each, labelers
-vote for or against: the shape of the value, the words before and after it, the markup around it, gazetteers, and
-signs of something else. Expectation-maximisation over the counts of all vote patterns estimates how far each
-labeler can be trusted per kind; its posteriors train the final span classifier, a logistic regression on
-votes and context.
+Weak-supervision aggregation. Candidate spans come from loose patterns over the decoded field: any run of capitalised
+words may be a name, any group of digits a number. On each span labelers vote for or against or not at all: the shape
+of the value, the words before it, the words after it, the markup around it, gazetteers, and signs of something
+else. The gazetteer of given names grows from all pages, by how often a word opens a candidate and how often it does so
+in a place made for persons. Expectation-maximisation over the counts of all vote patterns estimates per kind how far
+each labeler can be trusted; its posteriors train the final span classifier, a logistic regression on votes and
+context, which alone decides.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from base64 import b64decode
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 from urllib.parse import unquote_to_bytes
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +31,12 @@ from pagelode.functions.html import entities
 from pagelode.session import stored
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-LABELERS = ("shape", "before", "markup", "gazetteer", "other")
-#: Pages a name must be seen on to enter the gazetteer of given names.
-GAZETTEER_SEEN = 3
-#: Candidates the span classifier is fitted on, at most.
-TRAIN_SPANS = 20_000
+LABELERS = ("shape", "before", "after", "markup", "gazetteer", "other")
+#: Places made for persons in which a word must open a name to enter the gazetteer of given names, and their least share
+#: of all its candidates; candidates from which on a word that none of these places shows is taken for no name.
+GAZETTEER_SEEN, GAZETTEER_SHARE, COMMON_SEEN = 3, 0.1, 20
+#: Candidates of each kind the span classifier is fitted on, at most.
+TRAIN_SPANS = 4_000
 #: Features of the classifier: votes per kind and labeler, then hashed context.
 HASHED = 1 << 12
 
@@ -48,9 +55,9 @@ GIVEN = frozenset(
 )
 
 # Labels and cues around values, in the languages of the corpus.
-PHONE_CUE = re.compile(r"(?:\btel[ée]?(?:f(?:on[oe]?|oon(?:nummer)?))?\b\.?|\bt[ée]l[ée]phone\b|\btel[eé]fono\b|\bphone\b|\bfax\b|\bmobile?\b|\bcell\b|\bcall\b|\bhandy\b|\bgsm\b|\bwhatsapp\b|number\s+is(?:\s+now)?|\bjoignable\b|\bau\b|\bbereikbaar\b|\berreichbar\b|\bunter\b|\btelefonicznie\b|\bkomórk\w+|\btelefonu?\b|\bringen?\b|\bтел\w*|電話)[^\w\d]{0,12}(?:\w{1,9}[\s:]{1,2})?$", re.I)
-PHONE_AFTER = re.compile(r"^\W{0,3}(?:,?\s*says\b|and\s+ask\s+for\b|erreichbar|oder\b|over\s+the\s+counter)", re.I)
-OTHER_CUE = re.compile(r"(?:\b(?:part|order|item|lot|ean|isbn|invoice|ticket|serial|tracking|sku|ref(?:erence)?|build|version|ratio|size|total|claim|parcel|sendung|colis|paquete|pacco|rating|code|updated|article|artikel|model|gate|route|batch|account|iban|customer|case|docket|receipt|bestell\w*|pedido|commande|ordine|zam[oó]wieni\w*)\b\s*(?:n[or]\.?|n[º°]\.?|number|nr\.?|#|code)?|#|[€$£])\W{0,3}$", re.I)
+PHONE_CUE = re.compile(r"(?:\btel[ée]?(?:f(?:on[oe]?|oon(?:nummer)?))?\b\.?|\bt[ée]l[ée]phone\b|\btel[eé]fono\b|\bphone\b|\bfax\b|\bmobile?\b|\bcell\b|\bcall\b|\bhandy\b|\bgsm\b|\bwhatsapp\b|\bnumber\b|\bjoignable\b|\bau\b|\bbereikbaar\b|\berreichbar\b|\bunter\b|\btelefonicznie\b|\bkomórk\w+|\btelefonu?\b|\bringen?\b|\bтел\w*|電話)[^\w\d]{0,12}(?:\w{1,9}[\s:]{1,2}){0,2}$", re.I)
+PHONE_AFTER = re.compile(r"^\W{0,3}(?:erreichbar|\(?(?:fax|mobile?|home|work|office)\b|ext\.?\s*\d)", re.I)
+OTHER_CUE = re.compile(r"(?:\b(?:part|order|item|lot|ean|isbn|invoice|ticket|serial|tracking|sku|ref(?:erence|\.)?|build|version|ratio|size|total|claim|parcel|sendung|colis|paquete|pacco|rating|code|updated|article|artikel|model|gate|route|batch|account|iban|customer|case|docket|receipt|bestell\w*|pedido|commande|ordine|zam[oó]wieni\w*)\b\s*(?:n[or]\.?|n[º°]\.?|number|nr\.?|#|code)?|#|[€$£])[^\w.!?]{0,3}$", re.I)
 ID_LABEL = re.compile(
     r"""(?:\bSSN\b|\bsocial[\s-]+security(?:[\s-]+(?:number|no\.?))?|\bnational[\s-]+insurance(?:[\s-]+(?:number|no\.?))?|\bNI[\s-]+(?:number|no\.?)|\bNINO\b
     |\bpassport(?:[\s-]+(?:number|no\.?|n[º°]))?|\bpasseport(?:\s*n[º°]\.?)?|\bpasaporte(?:\s*n[º°.]*)?|\bpassaporto?(?:\s*n[º°.]*)?|\breisepass\w*|\bpass(?:nummer|nr\.?)|\bpaspoort\w*|\bpaszport\w*|\bpasaport\w*|\bпаспорт\w*|パスポート(?:番号)?
@@ -74,46 +81,59 @@ ID_STEMS = frozenset(
 ID_SHAPE = re.compile(
     r"(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{6}\d{2}[A-EHLMPR-T]\d{2}[A-Z]\d{3}[A-Z]|\d{2}\.?\d{3}\.?\d{3}-?[A-Z]|\d \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|\d{2} \d{3} \d{3} \d{3}|\d{3}-\d{6}-\d{2}|[A-Z]\d{8}|[A-Z]\d{3}[A-Z]\d{4}|\d{11})"
 )
-ADDRESS_CUE = re.compile(r"(?:\baddress\b|\badress\w*|\bdirecci[oó]n\b|\bindirizzo\b|\bendere[cç]o\b|\bmorada\b|\badres\w*|\bgoes\s+to|\breturned\s+from|\bsen(?:d|t)\b.{0,20}\bto|\blives?\s+(?:at|in)|\ban|\bvers|\bconsegnato\s+in|\bentrega\s+en|\bnaar|\bshipped\s+to|\bdeliver\w*\s+to|\bwohnhaft|\bhabite\s+au|住所|адрес\w*|entregue\s+em|entregada\s+en|til|till|do)\W{0,12}(?:<[^>]{0,40}>\W{0,3})*$", re.I)
+ADDRESS_CUE = re.compile(r"(?:\baddress\b|\badress\w*|\bdirecci[oó]n\b|\bindirizzo\b|\bendere[cç]o\b|\bmorada\b|\badres\w*|\bto|\bfrom|\bat|\bin|\blives?\s+(?:at|in)|\ban|\bvers|\bà|\ben|\bem|\bnaar|\bwohnhaft|\bhabite\s+au|住所|адрес\w*|\btill|\bdo|\bvia)\W*$", re.I)
 ADDRESS_TAG = re.compile(r"<(?:address|td|dd)[^>]*>\s*$|\"(?:streetAddress|address|street)\"\s*:\s*\"$", re.I)
 POSTAL = re.compile(r"^\W{0,4}(?:\d[ºª°]\s?[A-Z]\W{1,4})?(?:[A-Z][\w'\-]+(?:[ \-][A-Z][\w'\-]+)?\W{1,4})?(?:[A-Z]{1,2}\d{1,2}[A-Z]? ?\d[A-Z]{2}|[A-Z]{2}[ \n]\d{4,5}|\d{4,5}(?: [A-Z]{2})? [A-Z]|[A-Z][\w'\-]+(?:[.<,\n]| [a-z]))")
 NAME_CUE = re.compile(
-    r"""(?:\bask\s+for|\breach|\bsays|\bdear|\bsigned\s+by|\bparcel\s+for|\bholder,?|\bname|\bcontact|\bauthor|\bby|\battn\.?|\battention|\bowner|\bcustomer|\baccount\s+holder|\bregards,?|\bsincerely,?|\bmr|\bmrs|\bms|\bdr
-    |\basesora?\s+es|\btitular|\bnombre|\breferente\s+[èe]|\binterlocuteur(?:trice)?\s+est|\bnom|\bpacco\s+per|\bcolis\s+de|\bpaquete\s+de|\bpakket\s+voor|\bpaket\s+f[üu]r|\bansprech(?:person|partner(?:in)?)\s+ist|\beingereicht\s+von|\bcontactpersoon\s+is|\bcontacto\s+[ée]|\bkontaktperson\w*\s+[äa]r|\bopiekun\w*\s+jest|\bentregado?\s+a|\bf[üu]r|\bvon|\bpara|\bper|\bvoor|\bdla|\bpresentado\s+por|\bd[ée]pos[ée]\s+par|\bliebe[r]?|\bestimad[oa]|\bcher|\bch[èe]re|\bbeste|\bgentile|\bherr|\bfrau|\bnaam|\bnome|\bname\s+des\s+kunden|\bсообщает|\bуважаем\w+|様)\W{0,6}(?:</?(?:td|th|dt|dd|b|i|strong|em|span)[^>]*>\W{0,3}){0,3}(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Sr|Sra|Sig|Mme|Dhr|Mevr)\.?\s+)?$""",
+    r"""(?:\bask\s+for|\breach|\bsa(?:ys|id)|\bdear|\bsigned|\bholder|\bname|\bcontact|\bauthor|\bby|\battn\.?|\battention|\bowner|\bcustomer|\bregards|\bsincerely|\bfor|\bfrom|\bwith
+    |\btitular|\bnombre|\bnom|\bnome|\bnaam|\breferente|\binterlocut\w+|\bansprech(?:person|partner(?:in)?)|\bcontactpersoon|\bcontacto|\bkontaktperson\w*|\bopiekun\w*|\basesora?
+    |\bf[üu]r|\bvon|\bpara|\bpor|\bper|\bpar|\bda|\bde|\bvoor|\bdla|\btill|\bliebe[r]?|\bestimad[oa]|\bcher|\bch[èe]re|\bbeste|\bgentile|\bуважаем\w+|様)(?:\s+(?:is|ist|est|es|è|é|är|jest|to|a))?\W*$""",
     re.I | re.X,
 )
-NAME_MARKUP = re.compile(r"(?:\"name\"\s*:\s*\"|name=\"author\"\s+content=\"|[?&](?:name|fullname|user_?name|contact)=|/(?:profile|team|author|people|staff|member|user|about)/|<td>|<dd>)$", re.I)
-# Cues that are strong enough for a name no gazetteer knows.
-STRONG_CUES = ("ask for", "can reach", "says", "dear", "signed by", "parcel for", "holder,", "holder", "name", "contact", "author", "titular", "nom", "nombre", "asesor es", "asesora es", "referente è", "interlocuteur est", "ansprechperson ist", "contactpersoon is", "contacto é", "eingereicht von", "content=", "naam", "nome")
-NAME_AFTER = re.compile(r"^,?\s+(?:ist\s+unter|on\s+behalf|your\s+request|joignable|bereikbaar|con\s+tel|telefono|através|is\s+reachable|est\s+joignable|goes\s+to|va\s+consegnato|se\s+entrega|part\s+vers|gaat\s+naar|was\s+born|at\s+\S+@)", re.I)
+NAME_MARKUP = re.compile(r"(?:\"name\"\s*:\s*\"|name=\"author\"\s+content=\"|[?&](?:name|fullname|user_?name|contact)=|/(?:profile|team|author|people|staff|member|user|about)/)$", re.I)
+#: Places that are made for persons, from which the gazetteer grows.
+PERSON = re.compile(r"(?:\"name\"\s*:\s*\"|name=\"author\"\s+content=\"|[?&](?:fullname|user_?name|contact)=|/(?:profile|team|author|people|staff)/)$", re.I)
+NAME_AFTER = re.compile(r"^,?\s+(?:on\s+behalf|was\s+born|at\s+\S+@|\(\d\d\)|and\s+I\b)", re.I)
+#: Markup of headings and controls; letters of names.
+NAME_FRAME = re.compile(r"<(?:title|h[1-6]|button|option|label|a)\b[^>]*>\s*$", re.I)
+NAME_LIKE = re.compile(r"(?:[^\W\d_]|[\s.'’\-,])+")
+#: An attribute's value or a path before the place.
+IN_LINK = re.compile(r"(?:src|href|id|class|data-\w+)=[\"'][^\"'<>\s]*$", re.I)
 # Words of paths that look like two-part names.
 NOT_NAMES = frozenset("hair shop store gmbh restaurant sale summer guide user settings profile content wp sign in up order cart help about contact us home page new old my your best top web app team news".split())
-NAME_HEAD = re.compile(r"(?:[\s:\"']|</?(?:td|th|dt|dd|b|strong|span)[^>]*>)+$")
 NAME_OTHER = re.compile(r"(?:\bstorm|\bmodel|\bhurricane|\bcyclone|\btaif?un|\btempête|\btormenta|\btempesta|\bstreet|\blane|\broute)\W{1,3}$", re.I)
-NAME_OTHER_AFTER = re.compile(r"^\s*(?:Ltd|GmbH|Inc|LLC|SA|AG|BV|Collection|Group|Bank|Cloud|Express|Insurance|Wallet|Telecom|Mail|Games|Credit|Stream|Parcel|Market|Post|Pay|Air|Office|Street|Lane|Road|Avenue|Drive|Close|Hill|Court|Row|armchair|sofa|chair)\b|^\s*(?:day\s+)?\d")
+NAME_OTHER_AFTER = re.compile(r"^\s*(?:Ltd|GmbH|Inc|LLC|SA|AG|BV|Collection|Group|Bank|Cloud|Express|Insurance|Wallet|Telecom|Mail|Games|Credit|Stream|Parcel|Market|Post|Pay|Air|Office|Street|Lane|Road|Avenue|Drive|Close|Hill|Court|Row)\b|^\s*(?:day\s+)?\d")
 TITLED = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Sr|Sra|Sig|Sig\.ra|Mme|Mlle|Monsieur|Madame|Dhr|Mevr|Pan|Pani)\.?"
-CAP = r"[A-ZÀ-ÖØ-ÞĀ-Ž][\w'’]*[^\W\d_]"
-SEQUENCE = re.compile("(?:Sig\\.ra\\b|[A-ZÀ-ÖØ-ÞĀ-Ž][\\w'’\\-]*)\\.?(?:,?\\s+(?:Sig\\.ra\\b|[A-ZÀ-ÖØ-ÞĀ-Ž][\\w'’\\-]*)\\.?)+")
-NAME = re.compile(rf"(?<![\w@.+\-/=%])(?:(?P<t>{TITLED})\s+)?(?:(?P<g>{CAP}|[A-Z]\.)(?:\s+[A-Z]\.)?\s+)?(?P<s>{CAP}(?:-{CAP})?)(?:,\s+(?P<r>{CAP}))?(?![\w@+]|-\w)")
+UPPER = "A-ZÀ-ÖØ-Þ" + "".join(filter(str.isupper, map(chr, range(0x100, 0x180))))
+CAP = rf"[{UPPER}][\w'’]*[^\W\d_]"
+SEQUENCE = re.compile(rf"(?<!\w)(?:Sig\.ra\b|[{UPPER}][\w'’\-]*)\.?(?:,?\s+(?:Sig\.ra\b|[{UPPER}][\w'’\-]*)\.?)+")
+PIECE = re.compile(rf"(?<!\w)(?:Sig\.ra\b|{CAP}(?:-{CAP})*|[{UPPER}])\.?")
 WORDS = re.compile(r"[^\W\d_]+")
-SLUG = re.compile(r"(?:/(?:profile|team|author|people|staff|member|user|contact|in)/|[?&](?:name|fullname|contact|user)=)(?P<n>[A-Za-zÀ-ž]{2,}(?:[\-+ _.][A-Za-zÀ-ž]{1,}\.?){1,3})(?=[/?&#\"'<\s]|$)")
-LOCAL = re.compile(r"(?<![\w.+\-])[A-Za-z0-9](?:[\w.+\-]*\w)?$")
+#: What context is made of: words and the beginnings of tags.
+NEAR = re.compile(r"[^\W\d_]+|</?\w+")
+SLUG = re.compile(r"[/?&](?:(?:(?<=/)(?:profile|team|author|people|staff|member|user|contact|in)/|(?<!/)(?:name|fullname|contact|user)=))(?P<n>[A-Za-zÀ-ž]{2,}(?:[\-+ _.][A-Za-zÀ-ž]{1,}\.?){1,3})(?=[/?&#\"'<\s]|$)")
 DOMAIN = re.compile(r"[A-Za-z0-9][A-Za-z0-9\-]*(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,24}(?![\w\-]|\.[A-Za-z])")
 DISGUISES = ("(at)", "[at]", "{at}", "<at>", "_at_", "( at )", "[ at ]", "(@)", "[@]", "(a)", " dot ", "[dot]", "(dot)")
 DISGUISED = re.compile(r"(?<![\w.+\-])[A-Za-z0-9](?:[\w.+\-]*\w)?\s?(?:\(\s?(?:at|a|@)\s?\)|\[\s?(?:at|@)\s?\]|\{\s?(?:at|@)\s?\}|<at>|\s(?P<w>at)\s|_at_)\s?[A-Za-z0-9][A-Za-z0-9\-]*(?:\s?(?:\(\s?dot\s?\)|\[\s?dot\s?\]|\{\s?dot\s?\}|<dot>|(?P<d>\sdot\s)|_dot_|\.)\s?[A-Za-z0-9\-]*[A-Za-z])+", re.I)
 MAIL_CUE = re.compile(r"(?:mail|correo|write to|reach|contact|\bat|\ban|à|\bto|\band|oder|\bor|:)\W*$", re.I)
-PATH_NAME = re.compile(r"(?<=[^/<]/)(?P<n>[A-Za-zÀ-ž]{2,}[\-_][A-Za-zÀ-ž]{2,}(?:[\-_][A-Za-zÀ-ž]+)?)(?=[/?#\"'\s]|$)")
+PATH_NAME = re.compile(r"/(?P<n>[A-Za-zÀ-ž]{2,}[\-_][A-Za-zÀ-ž]{2,}(?:[\-_][A-Za-zÀ-ž]+)?)(?=[/?#\"'\s]|$)")
+# Top-level domains in wide use and the reserved ones; all of two letters are countries.
+DOMAINS = frozenset("com org net info biz edu gov mil int eu app dev shop online site store club xyz name mobi test example invalid localhost".split())
 FILES = frozenset("png jpg jpeg gif svg webp ico css js json html htm php pdf zip gz mp4 woff woff2 ttf map xml txt".split())
-PHONE = re.compile(r"(?<![\w@#%.\-/+$€£,])(?:\+|\(?\d)[\d  ()./\-]{5,22}\d(?![\w@]|[.\-/]\d|%)")
+PHONE = re.compile(r"[+(\d][\d  ()./\-]{5,22}\d(?![\w@]|[.\-/]\d|%)")
 PHONE_SHAPES = re.compile(
     r"^(?:\+\d{1,3}[ .\-]?(?:\(?\d{1,4}\)?[ .\-/]?){2,6}\d+|00[1-9]\d{0,2}[ .\-/]?(?:\d{1,5}[ .\-/]?){2,5}\d+|\(\d{3}\) ?\d{3}[\-. ]\d{4}|\d{3}([\-.])\d{3}\1\d{4}|0\d(?:([ .\-])\d\d)(?:\2\d\d){3}|\(0\d{1,4}\) ?\d{3,4}[ \-]?\d{3,4}|0\d{1,4} ?/ ?\d{3,6}[ \-]?\d{1,6}|0\d{2,4}[ \-]\d{3,4}[ \-]\d{3,4})$"
 )
-NOT_PHONE = re.compile(r"^(?:\d{1,2}[./\-]\d{1,2}[./\-](?:19|20)\d\d.*|(?:19|20)\d\d-\d\d-\d\d.*|\d{1,3}(?:\.\d{1,3}){3}.*|\d{3}-\d{2}-\d{4}|\d{4}-\d{3,5}|\d{2} \d{3} \d{3} \d{3}|\d \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|\d{1,4}(?: ?[xX×] ?\d{1,4})+|\d{1,3}(?:[.,]\d{3})+(?:[.,]\d\d)?|\d{2}\.\d{3}\.\d{3}|\d{3}-\d{6}-\d{2})$")
+NOT_PHONE = re.compile(r"^(?:\d{1,2}[./\-]\d{1,2}[./\-](?:19|20)\d\d.*|(?:19|20)\d\d-\d\d-\d\d.*|(?:\d{1,3} )?\d{1,3}(?:\.\d{1,3}){3}(?:[/ ].*)?|\d{3}-\d{2}-\d{4}|\d{4}-\d{3,5}|\d{2} \d{3} \d{3} \d{3}|\d \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|\d{1,4}(?: ?[xX×] ?\d{1,4})+|\d{1,3}(?:[.,]\d{3})+(?:[.,]\d\d)?|\d{2}\.\d{3}\.\d{3}|\d{3}-\d{6}-\d{2})$")
+PHONE_LINK = re.compile(r"(?i)(?:tel:|callto:|sms:|[?&\"'](?:tel|phone|mobile|fax|whatsapp|telephone)[\"']?\s*[=:]\s*[\"']?)$")
+PLACE_OTHER = re.compile(r"(?i)(?:gate|pool|route|size|model|room|level|platform|version|lot)\s*$")
 STYLE = re.compile(r"<style\b[^>]*>.*?(?:</style\s*>|$)", re.I | re.S)
 CODED = re.compile("&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});|\\\\u[0-9a-fA-F]{4}|%[0-9A-Fa-f]{2}(?:%[0-9A-Fa-f]{2})*|[\u200b-\u200f\u00ad\u2060\ufeff]|<(?:[bB][rR]\\s*/?|/?(?:[biuBIU]|em|EM|strong|STRONG|span|SPAN|wbr|WBR|mark|small))>")
 
 _STREET_EN = "Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Close|Crescent|Court|Ct|Row|Hill|Way|Place|Pl|Square|Terrace|Gardens|Grove|Park|Boulevard|Blvd|Highway|Walk|Mews|Parade|Quay|Rise|View|Green|Alley|Circle|Parkway|Trail"
 FLAT = re.compile(r"(?:Flat|Apt\.?|Apartment|Unit|Suite|FLAT|APT|UNIT)\s*\d+\s?[A-Za-z]?\s*[,\n]\s*$")
+#: Where an address that begins with its house number may go on.
+NUMBER_FIRST = re.compile(r"\d\s?[A-Za-z]{0,6},?\s+[A-ZÀ-Žrabcipqs]")
 #: Where a house number may end an address that begins with its street.
 HOUSE_NUMBER = re.compile(r"\d{1,5}\s?[A-Za-z]?(?![\w.])")
 ADDRESS_BY_NUMBER = re.compile(
@@ -132,22 +152,37 @@ ADDRESS_BY_STREET = re.compile(
     )""",
     re.X,
 )
-ADDRESS_TAIL = re.compile(r"^(?:\s*[,\n]\s*|\s+)(?:\d{1,2}[ºª°]\s?[A-Z](?:\s*[,\n]\s*))?(?:(?:[A-Z]{1,2}\d{1,2}[A-Z]? ?\d[A-Z]{2}|\d{4,5} [A-Z][\w'\-]+|[A-Z]{2} \d{4,5}|[A-Z][\w'\-]+(?: [A-Z]{1,2}\d{1,2}[A-Z]? ?\d[A-Z]{2})?)(?:\s*[,\n]\s*|(?=\W|$))){1,3}")
+ADDRESS_TAIL = re.compile(r"(?:\s*[,\n]\s*|\s+)(?:\d{1,2}[ºª°]\s?[A-Z](?:\s*[,\n]\s*))?(?:(?:[A-Z]{1,2}\d{1,2}[A-Z]? ?\d[A-Z]{2}|\d{4,5} [A-Z][\w'\-]+|[A-Z]{2} \d{4,5}|[A-Z][\w'\-]+(?: [A-Z]{1,2}\d{1,2}[A-Z]? ?\d[A-Z]{2})?)(?:\s*[,\n]\s*|(?=\W|$))){1,3}")
+
+
+def _words_before(text: str, a: int, n: int) -> int:
+    """A place before `a` with at least `n` words in between, or the start of the text."""
+    size = 32
+    while a > size and len(text[a - size : a].split()) <= n:
+        size *= 2
+    return max(0, a - size)
 
 
 def _addresses(text: str) -> Iterator[tuple[int, int]]:
     """Spans of streets with house numbers, whichever comes first, each from its flat on."""
-    for m in ADDRESS_BY_NUMBER.finditer(text):
-        a = m.start()
-        if a and (text[a - 1].isalnum() or text[a - 1] in "_.,-/#"):
+    at = 0
+    for begin in NUMBER_FIRST.finditer(text):
+        a = begin.start()
+        while a and text[a - 1].isdigit():
+            a -= 1
+        if a < at or a and (text[a - 1].isalnum() or text[a - 1] in "_.,-/#") or not (m := ADDRESS_BY_NUMBER.match(text, a)):
             continue
-        flat = FLAT.search(text, max(0, a - 28), a)
+        at = m.end()
+        flat = FLAT.search(text, _words_before(text, a, 4), a)
         yield flat.start() if flat else a, m.end()
     done = 0
     for m in HOUSE_NUMBER.finditer(text):
         stop = m.start()
         if stop < done or not stop or not ((c := text[stop - 1]).isalnum() or c.isspace() or c in "_,:.º°№'’-"):
             continue
+        last = text[_words_before(text, stop, 1) : stop].split()
+        if last and last[-1].islower() and last[-1][-1] not in ".:º°":
+            continue  # only a capitalised word or a sign for numbers stands before the house number of a street
         a, size = max(done, stop - 72), 72
         words = text[a:stop].split()
         while a > done and len(words) < STREET_WORDS and not OUTSIDE_STREET.search(text, a, stop):
@@ -222,30 +257,103 @@ def _vote(yes: bool, no: bool = False) -> int:
     return 1 if yes and not no else -1 if no and not yes else 0
 
 
-def candidates(raw: str, is_html: bool, given: frozenset[str]) -> list[tuple[int, int, int, tuple[int, ...], tuple[str, ...]]]:
-    """`(kind, start, stop, votes, context)` of every possible place, positions in the raw field."""
+def _sign(other: bool) -> int:
+    """Vote of the labeler that looks for signs of something else: it always votes."""
+    return -1 if other else 1
+
+
+Candidate = tuple[int, int, int, list[int], str | None, bool, list[int]]
+
+
+def _local_start(text: str, at: int) -> int:
+    """Where the mailbox before the sign at `at` begins, or `at` if there is none."""
+    a = at
+    while a and (text[a - 1].isalnum() or text[a - 1] in "_.+-"):
+        a -= 1
+    while a < at and not (text[a].isascii() and text[a].isalnum()):
+        a += 1
+    return a if a < at and (text[at - 1].isalnum() or text[at - 1] == "_") else at
+
+
+def _lead(text: str, a: int) -> tuple[str, str]:
+    """What stands before `a`: the words, without the tags and blanks right before it, and those tags."""
+    end = a
+    while end:
+        c = text[end - 1]
+        if c.isspace():
+            end -= 1
+        elif c == ">" and (found := text.rfind("<", 0, end)) >= 0:
+            end = found
+        else:
+            break
+    return text[max(0, end - 64) : end], text[end:a]
+
+
+TOKEN = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}")
+MAILBOX = re.compile(r"[\w.+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+", re.A)
+
+
+def coded_mailbox(token: str) -> str | None:
+    """The e-mail address that a token spells in base 64, in hexadecimal digits or in those masked by their first byte."""
+    plain = token.rstrip("=")
+    tries = []
+    if len(plain) % 2 == 0 and set(plain) <= set("0123456789abcdefABCDEF"):
+        raw = bytes.fromhex(plain)
+        tries += [raw, bytes(c ^ raw[0] for c in raw[1:])]
+    if len(plain) % 4 != 1:
+        try:
+            tries.append(b64decode(plain.replace("-", "+").replace("_", "/") + "=" * (-len(plain) % 4), validate=True))
+        except ValueError:
+            pass
+    return next((t.decode() for t in tries if t.isascii() and b"@" in t and MAILBOX.fullmatch(t.decode())), None)
+
+
+class Places:
+    """Spans that do not overlap."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_right(self.stops, a)
+        return i == len(self.starts) or self.starts[i] >= b
+
+    def take(self, a: int, b: int) -> None:
+        if self.free(a, b):
+            insort(self.starts, a)
+            insort(self.stops, b)
+
+
+def candidates(raw: str, is_html: bool) -> list[Candidate]:
+    """`(kind, start, stop, votes, opening word of a name, in a place for persons, context)` of every possible place.
+
+    Positions are those of the raw field; spans may overlap. Votes are in the order of LABELERS; the gazetteer's vote on
+    names that are not among the listed ones is cast later.
+    """
     if not raw or raw.isspace():
         return []
     decoded = Decoded(raw, is_html)
     text = decoded.text
-    out: list[tuple[int, int, int, tuple[int, ...], tuple[str, ...]]] = []
-    taken: list[tuple[int, int]] = []
+    out: list[Candidate] = []
+    taken = Places()
 
-    def add(kind: str, a: int, b: int, votes: tuple[int, ...], shape: str) -> None:
-        before, after = text[max(0, a - 24) : a].lower().split()[-2:], text[b : b + 24].lower().split()[:1]
-        out.append((KINDS.index(kind), decoded.start(a), decoded.stop(b), votes, (f"{kind}|s|{shape}", *(f"{kind}|b|{w}" for w in before), *(f"{kind}|a|{w}" for w in after))))
+    def add(kind: str, a: int, b: int, votes: tuple[int, ...], shape: str, given: str | None = None, person: bool = False) -> None:
+        before, after = NEAR.findall(text[max(0, a - 24) : a].lower())[-2:], NEAR.findall(text[b : b + 24].lower())[:1]
+        told = [f"{kind}|s|{shape}", *(f"{kind}|b|{w}" for w in before), *(f"{kind}|a|{w}" for w in after)]
+        out.append((KINDS.index(kind), decoded.start(a), decoded.stop(b), list(votes), given, person, [crc32(c.encode("utf-8", "surrogatepass")) % HASHED for c in told]))
 
     at = text.find("@")
     while at >= 0:
-        local, host = LOCAL.search(text, max(0, at - 64), at), DOMAIN.match(text, at + 1)
-        if local and host:
-            a, b = local.start(), host.end()
+        a, host = _local_start(text, at), DOMAIN.match(text, at + 1)
+        if a < at and host:
+            b = host.end()
             tld = host[0].rpartition(".")[2].lower()
-            bad = tld in FILES
-            before = text[max(0, a - 24) : a]
-            add("email", a, b, (_vote(not bad, bad), _vote(bool(MAIL_CUE.search(before))), _vote("mailto:" in before or before.endswith(('"', "=", "<", ">"))), _vote(not bad, bad), _vote(False, bad)), tld[:6])
-            if not bad:
-                taken.append((a, b))
+            lead, tags = _lead(text, a)
+            linked = "mailto:" in text[max(0, a - 24) : a]
+            add("email", a, b, (_vote(tld not in FILES, tld in FILES), _vote(bool(MAIL_CUE.search(lead))), 0, _vote(linked or bool(tags.strip()), not linked and IN_LINK.search(lead) is not None), _vote(tld in DOMAINS or len(tld) == 2 and tld not in FILES, tld in FILES), _sign(tld in FILES)), tld[:6])
+            if tld not in FILES:
+                taken.take(a, b)
         at = text.find("@", at + 1)
     low = text.lower()
     if any(map(low.__contains__, DISGUISES)):
@@ -255,13 +363,19 @@ def candidates(raw: str, is_html: bool, given: frozenset[str]) -> list[tuple[int
             if m["w"] is not None and m["d"] is None:
                 at = m.end("w")  # the word "at"; an address may follow
                 continue
-            add("email", m.start(), m.end(), (1, _vote(bool(MAIL_CUE.search(text[max(0, m.start() - 24) : m.start()]))), 0, 1, 0), "disguised")
-            taken.append((m.start(), m.end()))
+            tld = re.split(r"\W+", m[0].lower())[-1]
+            add("email", m.start(), m.end(), (_vote(True), _vote(bool(MAIL_CUE.search(_lead(text, m.start())[0]))), 0, 0, _vote(tld in DOMAINS or len(tld) == 2), _sign(False)), "disguised")
+            taken.take(m.start(), m.end())
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
+    for m in TOKEN.finditer(text):
+        a, b = m.span()
+        if a and text[a - 1].isalnum() or m[0].islower() and m[0].isalpha() or not taken.free(a, b):
+            continue
+        if told := coded_mailbox(m[0]):
+            tld = told.rpartition(".")[2].lower()
+            add("email", a, b, (_vote(True), _vote("mail" in text[max(0, a - 16) : a].lower()), 0, 0, _vote(tld in DOMAINS or len(tld) == 2), _sign(tld in FILES)), "coded")
+            taken.take(a, b)
 
-    ids: list[tuple[int, int]] = []
     for m in ID_CANDIDATE.finditer(text):
         a, b = m.start(), m.end()
         if a and (text[a - 1].isalpha() or text[a - 1] == " "):
@@ -270,9 +384,18 @@ def candidates(raw: str, is_html: bool, given: frozenset[str]) -> list[tuple[int
         if a and (text[a - 1].isalnum() or text[a - 1] in "_@#+.-/"):
             continue
         value = text[a:b]
-        if _digits(value) < 5 or not free(a, b):
+        if _digits(value) < 5 or not taken.free(a, b):
             continue
-        before = text[max(0, a - 64) : a]
+        end = a
+        while end:
+            c = text[end - 1]
+            if c.isspace() or c in ":=#.-–(\"":
+                end -= 1
+            elif c == ">" and (found := text.rfind("<", 0, end)) >= 0:
+                end = found
+            else:
+                break
+        before = text[max(0, end - 80) : end]
         labelled = False
         if any(w[:5] in ID_STEMS for w in WORDS.findall(before.lower())[-6:]) or not before.isascii():
             for label in ID_LABEL.finditer(before):
@@ -283,162 +406,174 @@ def candidates(raw: str, is_html: bool, given: frozenset[str]) -> list[tuple[int
         else:
             shape = None
             b -= len(value) - len(re.sub(r" [A-Z]$", "", value))
-        key = ID_KEY.search(before) is not None
+        lead = text[max(0, a - 64) : a]
+        key = ID_KEY.search(lead) is not None
         if not (labelled or key or shape):
             continue
-        other = not labelled and OTHER_CUE.search(before) is not None
-        phone = not labelled and (before.endswith("tel:") or PHONE_CUE.search(before) is not None)
+        other, phone = OTHER_CUE.search(lead) is not None, lead.endswith("tel:") or PHONE_CUE.search(lead) is not None
         plain = text[a:b].isdigit()
-        add("id_number", a, b, (_vote(shape is not None and not (plain and not labelled)), _vote(labelled or key, other), _vote(key or labelled and before.endswith(">")), _vote(labelled, not labelled and not key), _vote(labelled or key, other or phone or not (labelled or key))), re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", text[a:b]))[:18])
-        if labelled or key:
-            ids.append((a, b))
+        add("id_number", a, b, (_vote(shape is not None and not plain, shape is None), _vote(labelled, other or phone), 0, _vote(key, IN_LINK.search(lead) is not None), 0, _sign(not labelled and not key and (other or phone))), re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", text[a:b]))[:18])
 
-    for m in PHONE.finditer(text):
-        a, b = m.start(), m.end()
+    at = 0
+    while m := PHONE.search(text, at):
+        a, b = m.span()
+        if a and ((c := text[a - 1]).isalnum() or c in "_@#%.-/+$€£,") or text[a] == "(" and not text[a + 1].isdigit():
+            at = a + 1
+            continue
+        at = b
         value = m[0].strip()
         n = _digits(value)
-        if not 7 <= n <= 15 or not free(a, b) or any(x < b and y > a for x, y in ids):
+        if not 7 <= n <= 15 or not taken.free(a, b):
             continue
         if value.count("(") != value.count(")"):
             if value.startswith("(") and ")" not in value:
                 a, value = a + 1, value[1:]
             else:
                 continue
-        before, after = text[max(0, a - 40) : a], text[b : b + 24]
+        lead, tags = _lead(text, a)
         shaped, wrong = bool(PHONE_SHAPES.match(value)), bool(NOT_PHONE.match(value))
-        link = bool(re.search(r"(?i)(?:tel:|callto:|sms:|[?&\"'](?:tel|phone|mobile|fax|whatsapp|telephone)[\"']?\s*[=:]\s*[\"']?)$", before))
-        other = bool(OTHER_CUE.search(before))
-        cue = bool(PHONE_CUE.search(before)) or bool(PHONE_AFTER.search(after)) or bool(re.search(r"(?i)(?:tel|phone|fax|mobile|mobil|telefon\w*|tél)\.?\s*:?\s*</\w+>\s*<\w+[^>]*>\s*$", before))
+        link = PHONE_LINK.search(text, max(0, a - 40), a) is not None
+        cue = PHONE_CUE.search(lead) is not None
         if value.isdigit() and not (link or cue):
             continue  # bare runs of digits without any sign of a telephone
-        add("phone", a, b, (_vote(shaped, wrong or not shaped and not link), _vote(cue or link, other), _vote(link or bool(re.search(r"(?i)class=\"tel\"[^>]*>$", before))), _vote(value[0] in "+(0" or link, value[0] not in "+(0" and not shaped), _vote(link or shaped and not other, other or wrong)), re.sub(r"\d+", "9", value)[:16])
+        other = OTHER_CUE.search(lead) is not None
+        add("phone", a, b, (_vote(shaped and not wrong, wrong or not shaped and not link), _vote(cue and not other, other), _vote(bool(PHONE_AFTER.match(text[b : b + 24]))), _vote(link or 'class="tel"' in tags, not link and IN_LINK.search(lead) is not None), _vote(value[0] in "+(0" and not wrong), _sign(other or wrong)), re.sub(r"\d+", "9", value)[:16])
 
     for a, b in _addresses(text):
-        if not free(a, b):
+        if not taken.free(a, b):
             continue
-        before, after = text[max(0, a - 60) : a], text[b : b + 40]
-        tail = ADDRESS_TAIL.match(text[b : b + 80])
+        lead, tags = _lead(text, a)
+        tail = ADDRESS_TAIL.match(text, b)
         stop = b + (len(tail[0].rstrip(" ,\n")) if tail else 0)
-        cue = bool(ADDRESS_CUE.search(before)) or bool(re.search(r"(?i)(?:address|adress\w*|dirección|indirizzo|morada|adres|endereço)\s*:?\s*</\w+>\s*<\w+[^>]*>\s*$", before))
-        post = bool(POSTAL.match(after))
-        other = bool(re.search(r"(?i)(?:gate|pool|route|size|model|room|level|platform|version|lot)\s*$", before))
-        add("address", a, stop, (1, _vote(cue, other), _vote(bool(ADDRESS_TAG.search(before))), _vote(post), _vote(not other, other)), re.sub(r"\d+", "9", text[a:b].split()[-1])[:10].lower())
-        taken.append((a, stop))
-
-    for m in SLUG.finditer(text):
-        a, b = m.span("n")
-        parts = re.split(r"[\-+ _.]+", m["n"].lower())
-        if len(parts) < 2 or not free(a, b):
-            continue
-        known = parts[0] in given or parts[-1] in given
-        wrong = not known and bool(NOT_NAMES.intersection(parts))
-        sure = known or "=" in text[max(0, a - 12) : a]
-        add("name", a, b, (_vote(2 <= len(parts) <= 3 and not wrong, wrong), _vote(not wrong), _vote(not wrong), _vote(known, wrong), _vote(sure, wrong)), "slug")
-        taken.append((a, b))
-    for m in PATH_NAME.finditer(text):
-        a, b = m.span("n")
-        parts = re.split(r"[\-_]", m["n"].lower())
-        if parts[0] in given and not NOT_NAMES.intersection(parts) and free(a, b):
-            add("name", a, b, (1, 0, 1, 1, 1), "path")
-            taken.append((a, b))
+        other = PLACE_OTHER.search(lead) is not None
+        add("address", a, stop, (_vote(True), _vote(ADDRESS_CUE.search(lead) is not None and not other, other), _vote(POSTAL.match(text[b : b + 40]) is not None), _vote(ADDRESS_TAG.search(text, max(0, a - 24), a) is not None or bool(tags.strip())), 0, _sign(other)), re.sub(r"\d+", "9", text[a:b].split()[-1])[:10].lower())
+        taken.take(a, stop)
+
+    for pattern, told in ((SLUG, True), (PATH_NAME, False)):
+        for m in pattern.finditer(text):
+            a, b = m.span("n")
+            if not told and (a < 2 or text[a - 2] in "/<"):
+                continue
+            parts = re.split(r"[\-+ _.]+", m["n"].lower())
+            if not 2 <= len(parts) <= 3 or not NOT_NAMES.isdisjoint(parts) or not taken.free(a, b):
+                continue
+            person = PERSON.search(text, max(0, a - 24), a) is not None
+            add("name", a, b, (0, 0, 0, _vote(told and (person or "=" in m[0]), not told and not person), _vote(parts[0] in GIVEN), _sign(False)), "slug" if told else "path", parts[0], person)
     if is_html:
-        _names(text, given, free, add, taken)
+        _names(text, taken, add)
     return out
 
 
+# Forms of address, and words that end the names of companies.
 TITLES = frozenset("Mr Mrs Ms Miss Dr Prof Herr Frau Sr Sra Sig Sig.ra Mme Mlle Monsieur Madame Dhr Mevr Pan Pani".split())
-COMPANY = frozenset("ltd gmbh inc group collection bank cloud express insurance wallet telecom games credit stream parcel market post pay air office".split())
+COMPANY = frozenset("ltd gmbh inc group collection bank cloud express insurance wallet telecom games credit stream parcel market post pay air office mail shop store online".split())
+# Words of closed classes and of greetings that open sentences, in the languages of the corpus; no name has one.
+CLOSED = frozenset(
+    """a an the this that these those our your my his her their its we you he she it they i in on at by for from to with of and or but if when as is are was were be please note dear hello hi all every each no not new how what why where who
+    der die das den dem des ein eine einen einem einer eines unser unsere ihr ihre mein meine wir sie er es und oder aber wenn als im am an auf aus bei mit nach von vor zu zum zur für in liebe lieber sehr hallo guten gut neu alle jede jeder
+    le la les l un une des du de d au aux nos notre votre vos mon ma mes son sa ses nous vous il elle ils elles et ou mais si dans par pour sur avec chez bonjour cher chère tous toutes chaque
+    el los las una unos unas del al y o pero si en con por para su sus nuestro nuestra mi tu yo hola estimado estimada cada todo todos
+    il lo gli i uno dello della dei degli delle e ma se nel nella con per su suo sua nostro nostra ciao gentile ogni
+    os as um uma do da dos das no na e mas se em com por para seu sua nosso nossa olá cada
+    het een van voor en maar als met naar bij op onze ons uw wij jullie hallo beste geachte elke
+    i w z na do od po przy dla nasz nasza twój pan pani witaj każdy
+    och men om i på av för med till vår våra din hej varje
+    ve ile bir bu için sayın merhaba her""".split()
+)
 
 
-def _names(text: str, given: frozenset[str], free, add, taken: list[tuple[int, int]]) -> None:
-    """Candidates for names of persons: a given name, a title, an initial or a clear cue with a surname."""
+def _names(text: str, taken: Places, add) -> None:
+    """Candidates for names of persons: any two capitalised words that follow each other, or a title with a surname."""
     for run in SEQUENCE.finditer(text):
-        words = run[0].replace(",", " ").split()
-        likely = any(w.lower() in given or w[-1] == "." and (len(w) == 2 or w[:-1] in TITLES) or w in TITLES for w in words)
-        if likely or NAME_HEAD.sub("", text[max(0, run.start() - 40) : run.start()].lower()).endswith(STRONG_CUES):
-            _names_in(text, run.start(), run.end(), given, free, add, taken)
-
-
-def _names_in(text: str, at: int, stop: int, given: frozenset[str], free, add, taken: list[tuple[int, int]]) -> None:
-    while m := NAME.search(text, at, stop):
-        a, b = m.start(), m.end()
-        first, last, title, trailing = m["g"], m["s"], m["t"], m["r"]
-        at = b if first is None else m.end("g")  # unless this is a name, its next word may begin one
-        if title is None and first is not None and first.rstrip(".") in TITLES:
-            title, first = first, None
-        known = first is not None and first.lower() in given
-        swapped = not known and trailing is not None and trailing.lower() in given
-        initial = first is not None and len(first) == 2 and first[1] == "."
-        if title is None and not (known or swapped or initial):
-            # Without a known name only a strong cue counts: two capitalised words after it.
-            if first is None or not NAME_HEAD.sub("", text[max(0, a - 40) : a].lower()).endswith(STRONG_CUES):
-                continue
-        if not swapped and trailing is not None:
-            b = m.end("s")
-        if swapped:
-            a = m.start("s")  # what stands before the surname is another word
-        elif title is not None:
-            a = m.start("g") if first is not None else m.start("s")
-        if last.lower() in given and first is not None and not known and title is None and not swapped:
-            continue  # the given name of the next match
-        if not free(a, b):
+        pieces = [m for m in PIECE.finditer(text, run.start(), run.end())]
+        if len(pieces) < 2:
             continue
-        before, after = text[max(0, a - 64) : a], text[b : b + 24]
-        cue, markup = NAME_CUE.search(before) is not None or NAME_AFTER.match(after) is not None, NAME_MARKUP.search(before) is not None
-        other = NAME_OTHER.search(before) is not None or NAME_OTHER_AFTER.match(after) is not None or last.lower() in COMPANY
-        strong = known or swapped or title is not None or initial and cue
-        add("name", a, b, (_vote((known or swapped or title is not None) and not other, other or not (strong or initial)), _vote(cue, other), _vote(markup), _vote(strong and not other, not (strong or cue and markup)), _vote(strong and not other, other)), "title" if title else "initial" if initial else "swapped" if swapped else "full" if known else "cue")
-        taken.append((a, b))
-        at = b
-
-
-PERSON = re.compile(rf"\"name\"\s*:\s*\"({CAP})\s+{CAP}|name=\"author\"\s+content=\"({CAP})\s+{CAP}")
-PERSON_SLUG = re.compile(r"/(?:profile|team|author|people|staff)/([a-z]{2,})-[a-z]{2,}(?:-[a-z]+)?/?(?:[?#]|$)")
-
-
-def grow_gazetteer(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", seen: int = GAZETTEER_SEEN) -> frozenset[str]:
-    """The listed given names and those that `seen` pages or more show in places made for persons.
-
-    All names of all pages are counted on the executors; only the names that are kept come to the driver.
-    """
-    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(html_col).alias("html"), F.col(url_col).alias("url"))
-
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[str] = []
-            for html, url in zip(*(c.to_pylist() for c in batch.columns)):
-                html = html or ""
-                told = PERSON.findall(html) if '"name"' in html or 'name="author"' in html else ()
-                out += {x.lower() for g in told for x in g if x} | set(PERSON_SLUG.findall((url or "").lower()))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["name"])
-
-    counted = rows.mapInArrow(names, "name string").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= seen)
-    return GIVEN | {r["name"] for r in counted.collect()}
-
-
-def reliabilities(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = 30) -> dict[tuple[int, tuple[int, ...]], float]:
+        words = [m[0] for m in pieces]
+        plain = [w.rstrip(".").lower() for w in words]
+        fit = [words[i][-1] == "." if len(w) == 1 else w not in CLOSED for i, w in enumerate(plain)]
+        for i in range(len(words) - 1):
+            if not fit[i + 1] or not (fit[i] or words[i].rstrip(".") in TITLES):
+                continue
+            gap = text[pieces[i].end() : pieces[i + 1].start()]
+            title = words[i].rstrip(".") in TITLES
+            if title:
+                j = i + 1
+                if j + 1 < len(words) and fit[j + 1] and text[pieces[j].end() : pieces[j + 1].start()].isspace() and (words[j][-1] == "." or plain[j] in GIVEN):
+                    j += 1  # a given name or an initial before the surname
+                if gap.strip() in ("", ".") and len(plain[j]) > 1:
+                    _name(text, pieces[i + 1].start(), pieces[j].end(), "title", None, plain[j], taken, add)
+            elif gap.strip() == ",":
+                if plain[i + 1] in GIVEN and len(plain[i]) > 1:
+                    _name(text, pieces[i].start(), pieces[i + 1].end(), "swapped", plain[i + 1], plain[i], taken, add)
+            elif gap.isspace() and words[i][-1] != "." or gap.isspace() and len(plain[i]) == 1:
+                j = i + 1
+                if len(plain[j]) == 1:
+                    j += 1  # an initial in the middle
+                    if j == len(words) or not fit[j] or not text[pieces[j - 1].end() : pieces[j].start()].isspace():
+                        continue
+                if len(plain[j]) > 1 and words[j].rstrip(".") not in TITLES:
+                    _name(text, pieces[i].start(), pieces[j].end(), "initial" if len(plain[i]) == 1 else "middle" if j > i + 1 else "full", plain[i] if len(plain[i]) > 1 else None, plain[j], taken, add)
+
+
+def _name(text: str, a: int, b: int, form: str, given: str | None, last: str, taken: Places, add) -> None:
+    if text[b - 1] == ".":
+        b -= 1
+    if last in COMPANY or not NAME_LIKE.fullmatch(text, a, b) or not taken.free(a, b) or a and text[a - 1] in "@.+-/=%" or b < len(text) and (text[b] in "@+" or text[b] == "-" and text[b + 1 : b + 2].isalnum()):
+        return
+    lead, tags = _lead(text, a)
+    after = text[b : b + 24]
+    place = text[max(0, a - 40) : a]
+    person = PERSON.search(place) is not None
+    company = NAME_OTHER_AFTER.match(after) is not None
+    other = NAME_OTHER.search(lead) is not None or given is not None and NAME_OTHER.search(f"{given} ") is not None
+    known = given is not None and given in GIVEN
+    upper = any(w.isupper() and len(w) > 2 or w == "ID" for w in WORDS.findall(text, a, b))
+    cue = form == "title" or NAME_CUE.search(lead) is not None
+    odd = upper or form == "full" and last in GIVEN and not known
+    add("name", a, b, (_vote(form in ("initial", "middle", "title"), odd), _vote(cue and not other, other), _vote(NAME_AFTER.match(after) is not None, company), _vote(person or NAME_MARKUP.search(place) is not None, NAME_FRAME.search(tags) is not None), _vote(known), _sign(other)), form, given, person or form == "title" or cue and bool(re.search(r"(?i)\b(?:dear|mrs?|ms|dr)\W*$", lead)))
+
+
+def name_votes(spans: DataFrame, seen: int = GAZETTEER_SEEN, share: float = GAZETTEER_SHARE, common: int = COMMON_SEEN) -> DataFrame:
+    """`(given, vote)` of the gazetteer that all pages make: each page counts once for a word and kind of place."""
+    names = spans.where("given is not null").groupBy("given", "row").agg(F.max("person").alias("person"))
+    counted = names.groupBy("given").agg(F.count(F.lit(1)).alias("n"), F.count_if("person").alias("p"))
+    vote = F.when((F.col("p") >= seen) & (F.col("p") >= share * F.col("n")), 1).when((F.col("p") == 0) & (F.col("n") >= common), -1)
+    return counted.select("given", vote.alias("vote")).where("vote is not null")
+
+
+def with_gazetteer(spans: DataFrame) -> DataFrame:
+    """The spans with the vote of the grown gazetteer where the listed names cast none."""
+    grown = spans.join(name_votes(spans), "given", "left")
+    at = LABELERS.index("gazetteer")
+    cast = F.transform("votes", lambda v, i: F.when((i == at) & (v == 0) & F.col("vote").isNotNull(), F.col("vote").cast("tinyint")).otherwise(v))
+    return grown.select("row", "page_id", "field", "kind", "start", "stop", cast.alias("votes"), "context")
+
+
+def majority(votes: np.ndarray) -> np.ndarray:
+    """Chance of a place by the balance of votes alone, in which no sign of something else counts as no vote."""
+    return 1 / (1 + np.exp(-2.0 * (votes[:, :-1].sum(axis=1) + np.minimum(votes[:, -1], 0))))
+
+
+def reliabilities(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int = 50) -> dict[tuple[int, tuple[int, ...]], float]:
     """Posterior that a span with these votes is a place of its kind, by expectation-maximisation per kind.
 
-    A labeler has its own chances of voting for, against or not at all, given a place and given none; they start
-    from the balance of votes and are smoothed by one observation each.
+    A labeler that votes is right with chances of its own, given a place and given none; not to vote says nothing. The
+    chances start from the majority of votes, and a prior of a few votes says that a labeler is more often right.
     """
     out: dict[tuple[int, tuple[int, ...]], float] = {}
     for kind in {k for k, _ in counts}:
         patterns = [(v, n) for (k, v), n in counts.items() if k == kind]
         votes, n = np.array([v for v, _ in patterns]), np.array([c for _, c in patterns], dtype=float)
-        # The balance of votes: shape and gazetteer weigh as one, signs of something else double against.
-        post = 1 / (1 + np.exp(-2.0 * (votes.sum(axis=1) + np.where(votes[:, 4] < 0, -1.5, 0.5))))
+        post = majority(votes)
         for _ in range(rounds):
-            prior = np.clip((post * n).sum() / n.sum(), 0.05, 0.95)
+            prior = ((post * n).sum() + 1) / (n.sum() + 2)
             ratio = np.full(len(n), np.log(prior / (1 - prior)))
             for j in range(votes.shape[1]):
-                for value in (-1, 0, 1):
-                    at = votes[:, j] == value
-                    good = ((post * n)[at].sum() + 1) / ((post * n).sum() + 3)
-                    bad = (((1 - post) * n)[at].sum() + 1) / (((1 - post) * n).sum() + 3)
-                    lean = np.log(good / bad)
-                    # A vote never counts against its own direction.
-                    ratio[at] += np.clip(lean, 0, None) if value > 0 else np.clip(lean, None, 0) if value < 0 else 0.5 * lean
+                yes, no = votes[:, j] > 0, votes[:, j] < 0
+                good, bad = post * n, (1 - post) * n
+                for_good = (good[yes].sum() + 4) / (good[yes | no].sum() + 5)
+                for_bad = (bad[yes].sum() + 1) / (bad[yes | no].sum() + 5)
+                ratio += np.where(yes, np.log(for_good / for_bad), np.where(no, np.log((1 - for_good) / (1 - for_bad)), 0.0))
             nxt = 1 / (1 + np.exp(-np.clip(ratio, -30, 30)))
             if np.abs(nxt - post).max() < 1e-6:
                 break
@@ -447,89 +582,125 @@ def reliabilities(counts: dict[tuple[int, tuple[int, ...]], int], rounds: int =
     return out
 
 
-def _index(kind: int, votes: tuple[int, ...], context: tuple[str, ...]) -> list[int]:
-    from zlib import crc32
+#: Features of votes: one for each kind, labeler and vote that was cast, and one for each kind.
+VOTES = len(KINDS) * len(LABELERS) * 2 + len(KINDS)
 
-    base = [kind * len(LABELERS) * 3 + j * 3 + v + 1 for j, v in enumerate(votes)]
-    width = len(KINDS) * len(LABELERS) * 3
-    return base + [width + kind] + [width + len(KINDS) + crc32(c.encode("utf-8", "surrogatepass")) % HASHED for c in context]
+
+def _index(kind: int, votes, context) -> list[int]:
+    base = [kind * len(LABELERS) * 2 + j * 2 + (v > 0) for j, v in enumerate(votes) if v]
+    return [*base, VOTES - len(KINDS) + kind, *(VOTES + c for c in context)]
 
 
 @dataclass
 class SpanModel:
-    """The final classifier and the gazetteer its features need."""
+    """The final classifier."""
 
     weights: np.ndarray
-    given: frozenset[str]
 
-    def keeps(self, found: list[tuple[int, int, int, tuple[int, ...], tuple[str, ...]]]) -> list[tuple[int, int, int]]:
-        """`(kind, start, stop)` of the places, by position; of overlapping spans the surer one, then the longer."""
+    def score(self, kind: int, votes, context) -> float:
+        return float(self.weights[_index(kind, votes, context)].sum())
+
+    def keeps(self, found: list[tuple[int, int, int, tuple[int, ...], tuple[int, ...]]]) -> list[tuple[int, int, int]]:
+        """`(kind, start, stop)` of the places, by position; of overlapping spans the surer one, then the longer.
+
+        What overlaps a sure e-mail address is part of it.
+        """
         scored = []
         for kind, a, b, votes, context in found:
-            score = float(self.weights[_index(kind, votes, context)].sum())
+            score = self.score(kind, votes, context)
             if score > 0:
-                scored.append((score if kind else score + 100, b - a, kind, a, b))
-        kept: list[tuple[int, int, int]] = []
-        for _, _, kind, a, b in sorted(scored, reverse=True):
-            if all(b <= x or a >= y for _, x, y in kept):
+                scored.append((kind == 0, score, b - a, kind, a, b))
+        kept, places = [], Places()
+        for *_, kind, a, b in sorted(scored, reverse=True):
+            if places.free(a, b):
+                places.take(a, b)
                 kept.append((kind, a, b))
         return sorted(kept, key=lambda k: (k[1], k[2]))
 
 
-def fit_spans(examples: list[tuple[int, tuple[int, ...], tuple[str, ...], float]], given: frozenset[str], rounds: int = 12, seed: int = 3) -> SpanModel:
-    """Logistic regression on the posteriors; context weights are held small, so that votes decide and context tips."""
-    width = len(KINDS) * len(LABELERS) * 3 + len(KINDS)
-    w = np.zeros(width + HASHED)
-    rows = [np.array(_index(k, v, c)) for k, v, c, _ in examples]
+def fit_spans(examples: list[tuple[int, tuple[int, ...], tuple[int, ...], float]], rounds: int = 200, decay: float = 2e-3) -> SpanModel:
+    """Logistic regression on the posteriors by whole-batch adaptive steps; all weights are held small."""
+    w = np.zeros(VOTES + HASHED)
+    if not examples:
+        return SpanModel(w)
+    rows = [_index(k, v, c) for k, v, c, _ in examples]
+    size = np.array([len(r) for r in rows])
+    at, of = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), size)
     goal = np.array([p for *_, p in examples])
-    total = np.full(len(w), 1e-6)
-    order = np.random.default_rng(seed)
+    total = np.full(len(w), 1e-9)
     for _ in range(rounds):
-        for i in order.permutation(len(rows)):
-            x = rows[i]
-            g = 1 / (1 + np.exp(-np.clip(w[x].sum(), -30, 30))) - goal[i]
-            total[x] += g * g
-            w[x] -= 0.3 * g / np.sqrt(total[x]) + np.where(x >= width, 1e-3 * w[x], 0)
-    w[width:] = np.clip(w[width:], -0.4, 0.4)
-    return SpanModel(w, given)
+        g = 1 / (1 + np.exp(-np.clip(np.bincount(of, w[at], len(rows)), -30, 30))) - goal
+        step = np.bincount(at, g[of], len(w)) + decay * len(rows) * 0.01 * w
+        total += step * step
+        w -= 0.5 * step / np.sqrt(total)
+    return SpanModel(w)
 
 
-def _spans(pages: DataFrame, given: frozenset[str], id_col: str, html_col: str, url_col: str) -> DataFrame:
-    shared = pages.sparkSession.sparkContext.broadcast(given)
-    names = ["page_id", "field", "kind", "start", "stop", "votes", "context"]
-    lists = lambda t: pa.list_(t)
-    kinds = [pa.int64(), pa.string(), lists(pa.int8()), lists(pa.int32()), lists(pa.int32()), lists(pa.list_(pa.int8())), lists(pa.list_(pa.string()))]
+def _spans(pages: DataFrame, id_col: str, html_col: str, url_col: str) -> DataFrame:
+    """One row per candidate: `(row, page_id, field, kind, start, stop, votes, given, person, context)`; `row` tells rows of the table apart."""
+    names = ["row", "page_id", "field", "kind", "start", "stop", "votes", "given", "person", "context"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int8(), pa.int32(), pa.int32(), pa.list_(pa.int8()), pa.string(), pa.bool_(), pa.list_(pa.int32())]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names_known = shared.value
+        number = count(TaskContext.get().partitionId() << 36)
         for batch in batches:
             rows = []
             for page, html, url in zip(*(c.to_pylist() for c in batch.columns)):
+                row = next(number)
                 for field, value in (("html", html), ("url", url)):
-                    found = candidates(value or "", field == "html", names_known)
-                    if found:
-                        rows.append((page, field, *map(list, zip(*found))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=names)
+                    rows += [(row, page, field, *found) for found in candidates(value or "", field == "html")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
 
     rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("page_id"), F.col(html_col).alias("html"), F.col(url_col).alias("url"))
-    return rows.mapInArrow(find, "page_id bigint, field string, kind array<tinyint>, start array<int>, stop array<int>, votes array<array<tinyint>>, context array<array<string>>")
+    return rows.mapInArrow(find, "row bigint, page_id bigint, field string, kind tinyint, start int, stop int, votes array<tinyint>, given string, person boolean, context array<int>")
+
+
+def example_threshold(most: int, total: int) -> int:
+    """Greatest 63-bit hash that draws `most` of `total` rows on average."""
+    return (1 << 63) - 1 if total <= most else ((1 << 63) * most) // total
+
 
+def fit(spans: DataFrame, most: int = TRAIN_SPANS) -> SpanModel:
+    """Aggregate the votes of all spans and train the classifier on a bounded sample of them, the same number of each kind.
 
-def fit(spans: DataFrame, given: frozenset[str], most: int = TRAIN_SPANS) -> SpanModel:
-    """Aggregate the votes of all spans and train the classifier on a bounded sample of them."""
-    each = spans.select("page_id", F.posexplode(F.arrays_zip("kind", "votes", "context")).alias("i", "x")).select("page_id", "i", "x.kind", "x.votes", "x.context")
-    rows = each.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most kinds x 3^labelers rows
+    Spans on which no labeler votes, but for the one that looks for signs of something else and finds none, teach
+    nothing: the classifier decides them by what it has learnt of contexts.
+    """
+    rows = spans.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most kinds x 3^labelers rows
     counts = {(r["kind"], tuple(r["votes"])): r["n"] for r in rows}
     if not counts:
-        return SpanModel(np.zeros(len(KINDS) * len(LABELERS) * 3 + len(KINDS) + HASHED), given)
+        return SpanModel(np.zeros(VOTES + HASHED))
     posterior = reliabilities(counts)
-    total = sum(counts.values())
-    draw = F.pmod(F.xxhash64(F.lit("spans"), "page_id", "i"), F.lit(1_000_000))
-    sample = each.where(draw < F.lit(min(1_000_000, int(1_000_000 * most / total)))).select("kind", "votes", "context").collect()
+    draw = F.xxhash64(F.lit("spans"), "row", "field", "kind", "start").bitwiseAND(F.lit((1 << 63) - 1))
+    totals = Counter()
+    told = {(k, v): n for (k, v), n in counts.items() if v[-1] < 0 or any(v[:-1])}
+    for (kind, _), n in told.items():
+        totals[kind] += n
+    wanted = F.lit(False)
+    for kind, n in totals.items():
+        wanted = wanted | (F.col("kind") == kind) & (draw <= F.lit(example_threshold(most, n)))
+    voted = (F.element_at("votes", -1) < 0) | F.exists(F.slice("votes", 1, len(LABELERS) - 1), lambda v: v != 0)
+    sample = spans.where(wanted & voted).select("kind", "votes", "context", draw.alias("draw")).orderBy("draw").limit(2 * most * len(KINDS)).collect()
     examples = [(r["kind"], tuple(r["votes"]), tuple(r["context"]), posterior[r["kind"], tuple(r["votes"])]) for r in sample]
-    # Every pattern teaches at least once, without context, in proportion to the root of its count.
-    examples += [(k, v, (), posterior[k, v]) for (k, v), n in counts.items() for _ in range(min(20, int(n**0.5) + 1))]
-    return fit_spans(sorted(examples, key=repr), given)
+    # Every pattern teaches, without context, in proportion to the root of its count.
+    examples += [(k, v, (), posterior[k, v]) for (k, v), n in sorted(told.items()) for _ in range(min(20, int(n**0.5) + 1))]
+    return fit_spans(examples)
+
+
+def _decided(pages: DataFrame, id_col: str, html_col: str, url_col: str) -> DataFrame:
+    """`(row, page_id, field, places)` with the places `(kind, start, stop)` of each field that has any."""
+    spans = stored(with_gazetteer(stored(_spans(pages, id_col, html_col, url_col), "pii-spans")), "pii-votes")
+    shared = pages.sparkSession.sparkContext.broadcast(fit(spans))
+    places = pa.list_(pa.struct([("kind", pa.int8()), ("start", pa.int64()), ("stop", pa.int64())]))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            kept = [[{"kind": k, "start": a, "stop": b} for k, a, b in m.keeps([(x["kind"], x["start"], x["stop"], x["votes"], x["context"]) for x in found])] for found in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(kept, places)], names=["row", "page_id", "field", "places"])
+
+    fields = spans.groupBy("row", "page_id", "field").agg(F.collect_list(F.struct("kind", "start", "stop", "votes", "context")).alias("found"))  # of one field of one page
+    return fields.mapInArrow(decide, "row bigint, page_id bigint, field string, places array<struct<kind: tinyint, start: bigint, stop: bigint>>").where(F.size("places") > 0)
 
 
 def find_places(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
@@ -538,55 +709,28 @@ def find_places(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     Positions are characters of the raw field. Null, empty and blank fields have no places; rows with null ids are
     left out; a value that occurs twice counts twice, and repeated pages each count.
     """
-    given = grow_gazetteer(pages, id_col, html_col, url_col)
-    spans = stored(_spans(pages, given, id_col, html_col, url_col), "pii-spans")
-    model = fit(spans, given)
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-    names = ["page_id", "field", "kind", "nth", "start", "stop"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            rows = []
-            for page, field, kind, start, stop, votes, context in zip(*(c.to_pylist() for c in batch.columns)):
-                nth: Counter[int] = Counter()
-                for k, a, b in m.keeps([(k, a, b, tuple(v), tuple(c)) for k, a, b, v, c in zip(kind, start, stop, votes, context)]):
-                    nth[k] += 1
-                    rows.append((page, field, KINDS[k], nth[k], a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
-
-    return spans.mapInArrow(decide, "page_id bigint, field string, kind string, nth bigint, start bigint, stop bigint")
+    found = _decided(pages, id_col, html_col, url_col).select("page_id", "field", F.posexplode("places").alias("i", "p"), "places")
+    nth = F.size(F.filter(F.slice("places", F.lit(1), F.col("i") + 1), lambda q: q["kind"] == F.col("p.kind")))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("p.kind") + 1)
+    return found.select("page_id", "field", kind.alias("kind"), nth.cast("bigint").alias("nth"), "p.start", "p.stop")
 
 
 def redact(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """All columns of the table, with typed placeholders in both fields and the rest of the text unchanged.
 
-    Null fields stay null. Rows with a null id are redacted too, as the fields alone decide.
+    Null fields stay null. Rows with a null id are redacted too, as the fields alone decide. Places are joined to the
+    rows by the digest of both fields, so that the text is searched once.
     """
-    given = grow_gazetteer(pages, id_col, html_col, url_col)
-    model = fit(stored(_spans(pages, given, id_col, html_col, url_col), "pii-spans"), given)
-    shared = pages.sparkSession.sparkContext.broadcast(model)
-    schema = pages.schema
-    places = {html_col: True, url_col: False}
-
-    def clean(value: str | None, is_html: bool, m: SpanModel) -> str | None:
-        if not value:
-            return value
-        out, last = [], 0
-        for kind, a, b in m.keeps(candidates(value, is_html, m.given)):
-            out += (value[last:a], PLACEHOLDER[KINDS[kind]])
-            last = b
-        return "".join([*out, value[last:]])
-
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            columns = []
-            for name, column in zip(batch.schema.names, batch.columns):
-                if name in places:
-                    column = pa.array([clean(v, places[name], m) for v in column.to_pylist()], pa.string())
-                columns.append(column)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return pages.mapInArrow(rewrite, schema)
+    digest = F.md5(F.to_json(F.struct(F.col(html_col).alias("a"), F.col(url_col).alias("b"))))
+    keyed = pages.select(F.xxhash64(digest).alias("k"), digest.alias("d"), F.col(html_col).alias("h"), F.col(url_col).alias("u"))
+    shown = _decided(keyed, "k", "h", "u").groupBy(F.col("page_id").alias("pii_key"), "field").agg(F.min_by("places", "row").alias("places"))
+    by = shown.groupBy("pii_key").agg(F.max(F.when(F.col("field") == "html", F.col("places"))).alias("in_html"), F.max(F.when(F.col("field") == "url", F.col("places"))).alias("in_url"))
+    full = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), F.xxhash64(digest).alias("pii_key")).join(by, "pii_key", "left")
+
+    def spliced(name: str, places: str):
+        text = F.col(f"page.`{name}`")
+        piece = lambda i, p: F.concat(F.substring(text, F.when(i == 0, F.lit(1)).otherwise(F.get(places, i - 1)["stop"].cast("int") + 1), p["start"].cast("int") - F.when(i == 0, F.lit(0)).otherwise(F.get(places, i - 1)["stop"].cast("int"))), F.element_at(F.array(*[F.lit(PLACEHOLDER[k]) for k in KINDS]), p["kind"] + 1))
+        rest = F.substring(text, F.element_at(places, -1)["stop"].cast("int") + 1, F.length(text))
+        return F.when(F.col(places).isNull() | text.isNull(), text).otherwise(F.concat(F.array_join(F.transform(places, lambda p, i: piece(i, p)), ""), rest))
+
+    return full.select(*[(spliced(c, "in_html") if c == html_col else spliced(c, "in_url") if c == url_col else F.col(f"page.`{c}`")).alias(c) for c in pages.columns])
