@@ -32,7 +32,7 @@ def sample_fraction(rows: DataFrame, fraction: float, id_col: str, seed: int | s
 
 def ranked(rows: DataFrame, groups: list[str], id_col: str, seed: int | str) -> DataFrame:
     """`rn`: 1-based place of each row in the hash order of its group."""
-    out = hash_running_sum(rows.withColumn("__one", F.lit(1)), groups, id_col, "__one", "rn", str(seed))
+    out = hash_running_sum(rows.withColumn("__one", F.lit(1)), groups, id_col, "__one", "rn", str(seed), rows.count())
     return out.withColumn("rn", (F.col("rn") + 1).cast("bigint")).drop("__one")
 
 
