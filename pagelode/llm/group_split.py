@@ -164,7 +164,7 @@ def split_groups(groups: DataFrame, plan: DataFrame, id_col: str = "crawl_id", s
     small = sizes.where(F.col("n") < bound)
     room = {k: max(0.0, v) for k, v in missing.items()}
     left, scale = sum(room.values()), small.agg(F.sum("n")).first()[0] or 0
-    small = hash_running_sum(small, [], "group_id", "n", "before", seed) if scale else small.withColumn("before", F.lit(0))
+    small = hash_running_sum(small, [], "group_id", "n", "before", seed, scale) if scale else small.withColumn("before", F.lit(0))
     edge, choice = 0.0, F.lit(shares[-1][0])
     marks = []
     for name, _ in shares:

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelode.functions.html import HIDDEN, INLINE, INVISIBLE, NOSCRIPT, TAG, body_of, entities
@@ -55,6 +55,8 @@ CODES = tuple(LANGUAGES)
 TRAIN_PAGES = 600
 #: Longest page that may be in that sample, so that the sample is bounded in size, too.
 SAMPLE_CHARS = 100_000
+#: Most characters of text in the sample of a language.
+TRAIN_CHARS = 4_000_000
 #: Most words kept per model; the rarest fall back to n-grams.
 VOCABULARY = 200_000
 #: Longest character n-gram of unseen words.
@@ -220,26 +222,39 @@ def fit(texts: list[tuple[str, str]]) -> Model:
     return Model(index, indexes, np.array(rows) if rows else np.zeros((1, len(CODES))))
 
 
-def labelled_sample(pages: DataFrame, id_col: str, html_col: str, lang_col: str, per_language: int = TRAIN_PAGES) -> list[tuple[str, str]]:
-    """At most `per_language` pages of each label, chosen by hash: `(code, html)`."""
-    rows = pages.select(F.col(id_col).alias("id"), language_code(F.col(lang_col)).alias("code"), F.col(html_col).alias("html")).where(F.col("code").isNotNull() & F.col("id").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
+def labelled_sample(pages: DataFrame, id_col: str, html_col: str, lang_col: str, per_language: int = TRAIN_PAGES, chars: int = TRAIN_CHARS) -> list[tuple[str, list[str]]]:
+    """`(code, sentences)` of the pages of each label that come first in hash order, at most `per_language` and `chars`.
+
+    A threshold on 63 bits of the hash leaves about twice as many pages, whatever their number; their sentences are
+    taken out on the executors, so that no more than the bounded text reaches the driver.
+    """
+    rows = pages.select(F.col(id_col).cast("bigint").alias("id"), language_code(F.col(lang_col)).alias("code"), F.col(html_col).alias("html")).where(F.col("code").isNotNull() & F.col("id").isNotNull() & (F.length("html") <= SAMPLE_CHARS))
     sizes = {r["code"]: r["n"] for r in rows.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_000)) / 1_000_000
-    picked = None
+    draw = F.xxhash64(F.lit("language"), "id").bitwiseAND(F.lit((1 << 63) - 1))
+    picked = F.lit(False)
     for code, n in sorted(sizes.items()):
-        cond = (F.col("code") == code) & (draw <= per_language / n)
-        picked = cond if picked is None else picked | cond
-    if picked is None:
-        return []
-    out: dict[str, list[str]] = {}
-    for r in rows.where(picked).select("id", "code", "html").collect():
-        out.setdefault(r["code"], []).append((r["id"], r["html"]))
-    return [(code, page) for code, held in sorted(out.items()) for _, page in sorted(held)[:per_language]]
+        picked = picked | (F.col("code") == code) & (draw <= F.lit(draw_threshold(2 * per_language, n)))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [lines_joined(p) for p in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.string())), pa.array([sum(map(len, f)) for f in found], pa.int64())], names=["code", "draw", "id", "found", "chars"])
+
+    taken = rows.where(picked).select("code", draw.alias("draw"), "id", "html").mapInArrow(take, "code string, draw bigint, id bigint, found array<string>, chars bigint")
+    order = Window.partitionBy("code").orderBy("draw", "id")  # of some 2 x `per_language` pages a code
+    first = taken.withColumn("n", F.row_number().over(order)).withColumn("sum", F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    held = first.where((F.col("n") <= per_language) & (F.col("sum") <= chars)).select("code", "n", "found").collect()
+    return [(r["code"], r["found"]) for r in sorted(held, key=lambda r: (r["code"], r["n"]))]
+
+
+def draw_threshold(most: int, total: int) -> int:
+    """Greatest 63-bit hash that draws `most` of `total` rows on average."""
+    return (1 << 63) - 1 if total <= most else ((1 << 63) * most) // total
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", lang_col: str = "lang", per_language: int = TRAIN_PAGES) -> Model:
     """A model from a bounded, documented sample of labelled pages; without any, from the common words alone."""
-    sample = [(code, lines_joined(page)) for code, page in labelled_sample(pages, id_col, html_col, lang_col, per_language)]
+    sample = labelled_sample(pages, id_col, html_col, lang_col, per_language)
     model = fit([(code, " ".join(found)) for code, found in sample])
     return refit(model, [found for _, found in sample])
 

@@ -2,8 +2,8 @@
 
 Token counts give every source an exact quota. A splitting tree of multivariate hypergeometric draws divides the
 blocks of all sources among the output shards; each shard gets a random number of blocks of each source, the numbers
-add up exactly, and the blocks of a source, in permuted order, go to the shards in disjoint runs. Inside a shard the
-order is a hash order.
+add up exactly, and the blocks of a source, in the random order of a hash, go to the shards in disjoint runs. Inside a
+shard the order is a hash order.
 """
 
 from __future__ import annotations
@@ -12,18 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.llm.tokens import encoder, vocabulary_path
 from pagelode.operators.prefix import hash_running_sum
 from pagelode.session import broadcast_if_small, stored
 
-#: Blocks a source's copies are dealt in; also the bound of what the driver holds per source.
-BLOCKS = 256
-#: Tokens meant for one output shard; their number follows from the size of the mix, up to MAX_SHARDS.
-SHARD_TOKENS = 20_000_000
-MAX_SHARDS = 4096
+#: Tokens meant for one output shard, whose number follows from the size of the mix, and blocks a shard is made of.
+SHARD_TOKENS, SHARD_BLOCKS = 20_000_000, 64
+#: Nodes of the splitting tree that the driver grows, about; the rest grows on the executors.
+TOP_NODES = 1024
 
 
 def token_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str | None = None) -> DataFrame:
@@ -40,25 +39,48 @@ def token_counts(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text
     return rows.mapInArrow(count, "doc_id bigint, source string, n_tokens bigint")
 
 
-def splitting_tree(blocks: list[int], shards: int, seed: int) -> np.ndarray:
-    """How many blocks of each source every shard gets: `(shards, sources)`; columns add up to `blocks`.
+def split_node(first: int, last: int, have: np.ndarray, seed: int) -> tuple[int, np.ndarray]:
+    """The middle of the shards `first` to `last` and how many blocks of each source the left half gets.
 
-    Each inner node divides its blocks between two halves of its shards, in proportion to their numbers, by one
-    multivariate hypergeometric draw that is seeded by the node's place in the tree.
+    A multivariate hypergeometric draw in proportion to the numbers of shards, seeded by the node's place in the tree.
     """
-    out = np.zeros((shards, len(blocks)), dtype=np.int64)
-    todo = [(0, shards, np.asarray(blocks, dtype=np.int64))]
+    middle = (first + last) // 2
+    total = int(have.sum())
+    give = int(total * (middle - first) // (last - first))
+    return middle, np.random.default_rng([seed, first, last]).multivariate_hypergeometric(have, give, method="marginals") if total else have
+
+
+def grow(first: int, last: int, have: np.ndarray, seen: np.ndarray, seed: int, leaves: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Nodes `(first, last, blocks, blocks before)` of at most `leaves` shards below a node, from left to right."""
+    todo = [(first, last, have, seen)]
     while todo:
-        first, last, have = todo.pop()
-        if last - first == 1:
-            out[first] = have
+        first, last, have, seen = todo.pop()
+        if last - first <= leaves:
+            yield first, last, have, seen
             continue
-        middle = (first + last) // 2
-        total = int(have.sum())
-        give = total * (middle - first) // (last - first)
-        draw = np.random.default_rng([seed, first, last]).multivariate_hypergeometric(have, give, method="marginals") if total else have
-        todo += [(first, middle, draw), (middle, last, have - draw)]
-    return out
+        middle, draw = split_node(first, last, have, seed)
+        todo += [(middle, last, have - draw, seen + draw), (first, middle, draw, seen)]
+
+
+def splitting_tree(spark: SparkSession, blocks: list[int], shards: int, seed: int) -> DataFrame:
+    """`(source_no, block, shard)`: every block of every source goes to one shard.
+
+    The driver grows the top of the tree, at most some thousand nodes; the executors grow the rest. The blocks of a
+    source are in hash order, which is a random one, and each shard takes a run of them.
+    """
+    have = np.asarray(blocks, dtype=np.int64)
+    top = [(f, t, h.tolist(), s.tolist()) for f, t, h, s in grow(0, shards, have, np.zeros_like(have), seed, max(1, shards // TOP_NODES))]
+    nodes = spark.createDataFrame(top, "first bigint, last bigint, have array<bigint>, seen array<bigint>").repartition(min(len(top), spark.sparkContext.defaultParallelism))
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, held, before in zip(*(c.to_pylist() for c in batch.columns)):
+                for shard, _, n, seen in grow(first, last, np.array(held, dtype=np.int64), np.array(before, dtype=np.int64), seed):
+                    of = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(np.full(len(of), shard), pa.int64()), pa.array(seen[of]), pa.array(seen[of] + n[of] - 1)], names=["source_no", "shard", "from", "to"])
+
+    dealt = nodes.mapInArrow(expand, "source_no int, shard bigint, from bigint, to bigint")
+    return dealt.select("source_no", F.explode(F.sequence("from", "to")).alias("block"), "shard")
 
 
 def mix_quotas(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[dict]:
@@ -89,7 +111,7 @@ def _selected(counts: DataFrame, quotas: list[dict], seed: str) -> DataFrame:
     spark = counts.sparkSession
     plan = F.broadcast(spark.createDataFrame([(r["source"], r["full"], r["rest"]) for r in quotas], "source string, full bigint, rest bigint"))  # one row a source of the plan
     usable = counts.where("n_tokens > 0 and doc_id is not null").join(plan, "source")
-    summed = hash_running_sum(usable, ["source"], "doc_id", "n_tokens", "before", seed)
+    summed = hash_running_sum(usable, ["source"], "doc_id", "n_tokens", "before", seed, sum(r["docs"] for r in quotas))
     # In hash order, whole documents as long as they fit in the rest of the quota; then the one that fits the gap best.
     picked = stored(summed.withColumn("fits", F.col("before") + F.col("n_tokens") <= F.col("rest")), "picked")
     gaps = picked.groupBy("source").agg((F.max("rest") - F.sum(F.when(F.col("fits"), F.col("n_tokens")).otherwise(0))).alias("gap"))
@@ -100,7 +122,7 @@ def _selected(counts: DataFrame, quotas: list[dict], seed: str) -> DataFrame:
     return picked.withColumn("copies", copies.cast("bigint")).where("copies > 0")
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, blocks: int = BLOCKS, shard_tokens: int = SHARD_TOKENS, doc_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, shard_tokens: int = SHARD_TOKENS, doc_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokenizer: str | None = None) -> DataFrame:
     """`(doc_id, source, copy_no, n_tokens, shard, place)`: one row per occurrence of a document in the mix.
 
     `copy_no` counts from 1 and never exceeds the source's `max_repeats`; `place` is the row's position in its shard.
@@ -111,23 +133,20 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
     counts = stored(token_counts(docs, doc_col, text_col, source_col, tokenizer), "token-counts")
     quotas = mix_quotas(counts, targets, total_tokens)
     chosen = _selected(counts, quotas, str(seed))
-    copies = chosen.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("doc_id", "source", "copy_no", "n_tokens")
-    copies = copies.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "copy_no")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
-    # Only blocks that have rows take part in the draw: at most `blocks` a source.
-    sizes = copies.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")).collect()
-    by_source: dict[str, list[int]] = {}
-    for r in sizes:
-        by_source.setdefault(r["source"], []).append(r["block"])
-    names = sorted(by_source)
-    shards = int(min(MAX_SHARDS, max(1, -(-sum(r["tokens"] for r in sizes) // shard_tokens))))
-    dealt = splitting_tree([len(by_source[n]) for n in names], shards, seed)
-    rows = []
-    for k, name in enumerate(names):
-        order = np.random.default_rng([seed, k]).permutation(sorted(by_source[name]))
-        rows += [(name, int(b), int(s)) for b, s in zip(order, np.repeat(np.arange(shards), dealt[:, k]))]
-    deal = F.broadcast(spark.createDataFrame(rows, "source string, block int, shard int"))  # at most sources x `blocks` rows
-    out = copies.join(deal, ["source", "block"]).withColumn("one", F.lit(1)).withColumn("key", F.concat_ws("/", "doc_id", "copy_no"))
-    out = hash_running_sum(out, ["shard"], "key", "one", "place", f"place{seed}", 64)
+    copies = chosen.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("doc_id", "source", "copy_no", "n_tokens", F.concat_ws("/", "doc_id", "copy_no").alias("key"))
+    copies = stored(copies, "mix-copies")
+    sizes = {r["source"]: (r["tokens"], r["n"]) for r in copies.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()}  # a row a source of the plan
+    total, rows = sum(t for t, _ in sizes.values()), sum(n for _, n in sizes.values())
+    shards = max(1, -(-total // shard_tokens))
+    block_tokens = max(1, shard_tokens // SHARD_BLOCKS)
+    names = sorted(sizes)
+    numbered = F.broadcast(spark.createDataFrame(list(zip(names, range(len(names)))), "source string, source_no int"))  # a row a source of the plan
+    # A block is a run of a source's copies in hash order that begins within the same `block_tokens`.
+    placed = hash_running_sum(copies.join(numbered, "source"), ["source_no"], "key", "n_tokens", "at", f"block{seed}", rows)
+    blocks = placed.withColumn("block", F.floor(F.col("at") / block_tokens))
+    dealt = splitting_tree(spark, [-(-sizes[n][0] // block_tokens) for n in names], shards, seed)
+    out = blocks.join(broadcast_if_small(stored(dealt, "mix-deal")), ["source_no", "block"]).withColumn("one", F.lit(1))
+    out = hash_running_sum(out, ["shard"], "key", "one", "place", f"place{seed}")
     return out.select("doc_id", "source", "copy_no", "n_tokens", F.col("shard").cast("bigint").alias("shard"), F.col("place").cast("bigint").alias("place"))
 
 

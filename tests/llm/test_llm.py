@@ -497,9 +497,14 @@ def test_mix(spark):
     assert mixing.mix(d.limit(0), t).count() == 0 and mixing.mix(d, t.limit(0)).count() == 0
 
 
-def test_splitting_tree_adds_up():
-    got = mixing.splitting_tree([5, 0, 17, 100], 7, 3)
-    assert got.sum(axis=0).tolist() == [5, 0, 17, 100] and set(got.sum(axis=1)) <= {17, 18} and (got >= 0).all()
+@pytest.mark.parametrize("shards", [1, 7, 5000])
+def test_splitting_tree_adds_up(spark, shards):
+    blocks = [5, 0, 17, 100]
+    got = mixing.splitting_tree(spark, blocks, shards, 3)
+    dealt = got.collect()
+    assert sorted((r["source_no"], r["block"]) for r in dealt) == [(k, b) for k, n in enumerate(blocks) for b in range(n)]
+    sizes = Counter(r["shard"] for r in dealt)
+    assert set(sizes) <= set(range(shards)) and max(sizes.values()) <= -(-sum(blocks) // shards)
 
 
 # --- p10
