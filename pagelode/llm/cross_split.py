@@ -2,8 +2,9 @@
 
 Minwise hashes of word shingles with banded buckets. Pages with the same text are one class from the start; only
 classes on both sides of a bucket are paired; each pair is verified on its words: exact Jaccard similarity of the
-shingles and the share of words that agree in order. Buckets that hold very many texts are resolved exactly by the
-rarest words instead of pairing all their texts.
+shingles and the share of words that agree in order. A short text has so few shingles that a tenth of its words can
+change nearly all of them; such texts, and those of buckets with very many texts, are paired exactly by their rarest
+words instead.
 """
 
 from __future__ import annotations
@@ -15,17 +16,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelode.functions.html import visible_text
 from pagelode.functions.urls import address_key, host_key
-from pagelode.session import stored
-
-#: Words of a shingle, hashes per band and bands. A pair meets in a band with probability 0.9999 at a Jaccard
-#: similarity of 0.6, 0.99 at 0.48, 0.95 at 0.42 and 0.77 at 0.33, the least there can be in a long text: a tenth of
-#: the words changed, all more than a shingle apart.
-SHINGLE, ROWS, BANDS = 5, 3, 40
+from pagelode.session import broadcast_if_small, stored
+
+#: Words of a shingle, hashes per band and bands. A pair meets in a band with probability 0.99999 at a Jaccard
+#: similarity of 0.6, 0.998 at 0.48, 0.986 at 0.42, which is where a tenth of the words of a long text changed by chance
+#: leaves it, and 0.87 at 0.33, the least there can be: all changes more than a shingle apart.
+SHINGLE, ROWS, BANDS = 5, 3, 56
+#: Words of a text below which it is paired by its rarest words, and slots of the table of word frequencies.
+SHORT, SLOTS = 60, 1 << 18
+#: Texts with one key on one side beyond which they are spread over several tasks.
+HOT_KEY = 4096
 #: Least share of the longer text's words that agree in order.
 AGREEMENT = 0.9
 #: Texts in one bucket beyond which it is resolved by rare words.
@@ -104,35 +109,53 @@ def page_signatures(pages: DataFrame, id_col: str = "page_id", split_col: str =
                 keep.append(i)
                 ids.append(hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest())
                 counts.append(len(words))
-                words_of.append((hashes & np.uint64(0x7FFFFFFF)).astype(np.int32))
-                keys_of.append(band_keys(shingle_hashes(hashes), a, b))
+                words_of.append(hashes.view(np.int64))
+                keys_of.append(band_keys(shingle_hashes(hashes), a, b) if len(words) >= SHORT else np.zeros(0, np.int64))
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ids, pa.binary()), pa.array(counts, pa.int32()), pa.array(words_of, pa.list_(pa.int32())), pa.array(keys_of, pa.list_(pa.int64()))], names=["page_id", "train", "text_id", "n_words", "words", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(ids, pa.binary()), pa.array(counts, pa.int32()), pa.array(words_of, pa.list_(pa.int64())), pa.array(keys_of, pa.list_(pa.int64()))], names=["page_id", "train", "text_id", "n_words", "words", "keys"])
 
     rows = pages.where(F.col(id_col).isNotNull() & F.col(split_col).isNotNull() & F.col(html_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("bigint").alias("page_id"), (F.lower(F.trim(split_col)) == train).alias("train"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(sign, "page_id bigint, train boolean, text_id binary, n_words int, words array<int>, keys array<bigint>")
+    return rows.mapInArrow(sign, "page_id bigint, train boolean, text_id binary, n_words int, words array<bigint>, keys array<bigint>")
 
 
-def _rare_word_pairs(hot: DataFrame, words: DataFrame) -> DataFrame:
-    """All pairs of hot texts that can agree in enough words: such texts share one of their rarest distinct words.
+def rare_keys(texts: DataFrame, agreement: float = AGREEMENT) -> DataFrame:
+    """`(key, rep, n_words, in_train, in_eval)`: each text under its rarest words, so that texts that agree share one.
 
-    If a tenth of the words may differ, at least one of a text's `n_words // 10 + 1` rarest distinct words must be
-    in the other text, and among its rarest as well, in one order of all words by frequency.
+    If a tenth of the words may differ, at least one of a text's `n_words // 10 + 1` rarest distinct words must be in the
+    other text, and among its rarest as well, in one order of all words. Any order that all texts share will do; this
+    one goes by the texts that have a word of the same slot of a fixed table, then by the word's hash.
     """
-    have = stored(words.join(hot.select("rep", "in_train", "in_eval"), "rep"), "hot-texts")
-    each = have.select("rep", "n_words", "in_train", "in_eval", F.explode(F.array_distinct("words")).alias("word"))
-    seen = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    order = Window.partitionBy("rep").orderBy("df", "word")
-    rare = each.join(seen, "word").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= F.floor(F.col("n_words") * (1 - AGREEMENT) + 1e-9) + 1)
-    return rare.select(F.col("word").cast("bigint").alias("key"), "rep", "n_words", "in_train", "in_eval")
+    each = texts.select(F.explode(F.array_distinct("words")).alias("word")).select(F.col("word").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))
+    seen = np.zeros(SLOTS, np.int64)
+    for r in each.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():  # at most SLOTS rows
+        seen[r["slot"]] = r["n"]
+    shared = texts.sparkSession.sparkContext.broadcast(seen)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            keys = []
+            for n, words in zip(batch.column(1).to_pylist(), batch.column(4)):
+                known = np.unique(words.values.to_numpy())
+                order = np.lexsort((known, often[known & np.int64(SLOTS - 1)]))
+                keys.append(known[order[: int(n * (1 - agreement) + 1e-9) + 1]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keys, pa.list_(pa.int64()))], names=["rep", "n_words", "in_train", "in_eval", "keys"])
+
+    kept = texts.select("rep", "n_words", "in_train", "in_eval", "words").mapInArrow(rarest, "rep bigint, n_words int, in_train boolean, in_eval boolean, keys array<bigint>")
+    return kept.select(F.explode("keys").alias("key"), "rep", "n_words", "in_train", "in_eval")
 
 
 def _meetings(rows: DataFrame) -> DataFrame:
-    """Distinct pairs `(a, b)` of texts, a < b, that share a key, lie on both sides and are of similar length."""
-    left = rows.where("in_train").select("key", F.col("rep").alias("x"), F.col("n_words").alias("nx"))
-    right = rows.where("in_eval").select("key", F.col("rep").alias("y"), F.col("n_words").alias("ny"))
-    met = left.join(right, "key").where(F.col("x") != F.col("y")).where(F.least("nx", "ny") >= F.lit(AGREEMENT) * F.greatest("nx", "ny") - 1e-9)
+    """Distinct pairs `(a, b)` of texts, a < b, that share a key, lie on both sides and are of similar length.
+
+    Keys with very many texts are spread over several tasks: their train side is cut, the other goes to every cut.
+    """
+    hot = rows.where("in_train").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KEY).select("key", F.ceil(F.col("n") / HOT_KEY).cast("int").alias("cuts"))
+    cut = rows.join(broadcast_if_small(hot), "key", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    left = cut.where("in_train").select("key", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int").alias("cut"), F.col("rep").alias("x"), F.col("n_words").alias("nx"))
+    right = cut.where("in_eval").select("key", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.col("rep").alias("y"), F.col("n_words").alias("ny"))
+    met = left.join(right, ["key", "cut"]).where(F.col("x") != F.col("y")).where(F.least("nx", "ny") >= F.lit(AGREEMENT) * F.greatest("nx", "ny") - 1e-9)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -145,9 +168,11 @@ def near_texts(signed: DataFrame, texts: DataFrame, agreement: float = AGREEMENT
     words = signed.select(F.col("page_id").alias("rep"), "n_words", "words")
     live = bands.join(buckets, "key")
     pairs = _meetings(live.where("not hot").drop("hot"))
-    if not buckets.where("hot").isEmpty():
-        hot = live.where("hot").select("rep", "in_train", "in_eval").distinct()
-        pairs = pairs.unionByName(_meetings(_rare_word_pairs(hot, words))).distinct()
+    # The longer one of a pair with a short text is at most that much longer.
+    exact = reps.where(F.col("n_words") * agreement <= SHORT).select(F.col("page_id").alias("rep"))
+    exact = exact.unionByName(live.where("hot").select("rep")).distinct()
+    side = reps.select(F.col("page_id").alias("rep"), "n_words", "in_train", "in_eval", "words")
+    pairs = pairs.unionByName(_meetings(stored(rare_keys(stored(side.join(exact, "rep", "left_semi"), "exact-texts"), agreement), "rare-keys"))).distinct()
     pairs = stored(pairs, "text-pairs")
     need = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     held = words.join(need, "rep", "left_semi")
@@ -158,7 +183,7 @@ def near_texts(signed: DataFrame, texts: DataFrame, agreement: float = AGREEMENT
             similar, agree = [], []
             for x, y in zip(batch.column(2), batch.column(3)):
                 u, v = x.values.to_numpy(), y.values.to_numpy()
-                s = shingle_hashes(u.astype(np.uint64)), shingle_hashes(v.astype(np.uint64))
+                s = shingle_hashes(u.view(np.uint64)), shingle_hashes(v.view(np.uint64))
                 inter = len(np.intersect1d(*s, assume_unique=True))
                 similar.append(inter / (len(s[0]) + len(s[1]) - inter))
                 longest = max(len(u), len(v))

@@ -437,14 +437,30 @@ def test_overlaps_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(cross_split.near_texts, "__defaults__", (cross_split.AGREEMENT, hot))
     found = cross_split.cross_split_pairs(df)
     got = {tuple(r) for r in found.collect()}
-    grams = {k: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for k, w in words.items()}
-    alike = lambda a, b: a >= 100 or len(grams[a] & grams[b]) >= 0.6 * len(grams[a] | grams[b])
-    assert got <= want and {p for p in want if alike(*p)} <= got and len(got) >= 0.9 * len(want)
-    want = got
+    assert got == want  # texts of at most 60 words are paired exactly
     assert cross_split.overlap_report(found, df).agg(F.sum("n_pairs")).first()[0] == len(want)
     assert cross_split.cross_split_pairs(df.limit(0)).count() == 0
 
 
+def test_recall_at_the_limit_by_length(spark, monkeypatch):
+    monkeypatch.setattr(cross_split, "HOT_KEY", 50)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    data, pairs = [], defaultdict(list)
+    for size in (10, 12, 15, 20, 30, 60, 200):
+        for _ in range(60):
+            w = [word() for _ in range(size)]
+            v = list(w)
+            for j in rng.sample(range(size), size // 10):
+                v[j] = word()
+            k = len(data)
+            data += [(k, "train", f"<body>{' '.join(w)}</body>", f"http://h{k}.test"), (k + 1, "test", f"<body>{' '.join(v)}</body>", f"http://h{k + 1}.test")]
+            pairs[size].append((k, k + 1))
+    got = {tuple(r) for r in cross_split.cross_split_pairs(spark.createDataFrame(data, "page_id long, split string, html string, url string")).collect()}
+    for size, want in pairs.items():
+        assert len(got & set(want)) >= (1.0 if size < 60 else 0.95) * len(want), size
+
+
 # --- p8
 
 
