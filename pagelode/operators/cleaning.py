@@ -24,8 +24,8 @@ BAD_TITLES = (
     "bad request",
     "cloudflare",
     "just a moment...",
-    "warning! | there might",
-    "url shortener",
+    "warning! | there might be a problem with the requested link",
+    "url shortener, branded short links & analytics | tinyurl",
     "denied",
 )
 # Spellings of the two classes.

@@ -6,6 +6,7 @@ marks are dealt by `page_id mod 3`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eda.class_balance(cleaning.drop_bad_rows(flagged(spark, sf_dir)))
 
 
-_BAD = "|".join("400 404 410 403 found encontrada forbidden error suspended".split()) + r"|bad request|cloudflare|just a moment\.\.\.|warning! \| there might|url shortener|denied"
+_BAD = "|".join(map(re.escape, cleaning.BAD_TITLES))
 _FLAGS = f"(SELECT *, html IS NULL OR html = '' AS empty_html, coalesce(regexp_matches(title, '(?i){_BAD}'), false) AS bad_title, row_number() OVER (PARTITION BY url ORDER BY ingested_at, page_id) > 1 AS duplicate_url FROM {PAGES})"
 
 
@@ -572,12 +573,12 @@ def classification_report(spark, sf_dir):
 
 @query()
 def bootstrap_mean(spark, sf_dir):
-    return metrics.bootstrap_mean(pages(spark, sf_dir).groupBy("split", "date").agg(F.avg("score").alias("v")), "v", "split", 2000)
+    return metrics.bootstrap_mean(pages(spark, sf_dir).groupBy("split", "date").agg(F.avg("score").alias("v")), "v", "split")
 
 
 @query()
 def confidence_intervals(spark, sf_dir):
-    return metrics.confidence_intervals(pages(spark, sf_dir), replicates=500)
+    return metrics.confidence_intervals(pages(spark, sf_dir), replicates=10_000)
 
 
 @query()
@@ -622,7 +623,7 @@ def feature_lines(spark, sf_dir):
 def linear_scores(spark, sf_dir):
     p = pages(spark, sf_dir)
     rows = features.reduce_rows(p.select("sha256", "gt", F.explode(text.char_ngrams("te")("url")).alias("feature")), feature_dictionary(spark, sf_dir), ["sha256", "gt"])
-    weights, bias = features.train_linear(rows, label_col="gt", features_col="indices", iterations=5)
+    weights, bias = features.train_linear(rows, label_col="gt", features_col="indices")
     return features.decision_scores(weights, bias, rows, features_col="indices").withColumn("decision", F.round("decision", 4))
 
 
@@ -649,7 +650,7 @@ def html_feature_dictionary(spark, sf_dir):
 
 @query()
 def html_simplified(spark, sf_dir):
-    return table(spark, sf_dir, "release_pages").select("page_id", hf.simplified(300, True)("html").alias("s")).select("page_id", "s.stage", F.length("s.html").alias("n"))
+    return table(spark, sf_dir, "release_pages").select("page_id", hf.simplified(2500, True)("html").alias("s")).select("page_id", "s.stage", F.length("s.html").alias("n"))
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
