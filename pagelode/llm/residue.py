@@ -190,26 +190,32 @@ def is_filler(sentence: str) -> bool:
     latin = [w for w in stems if w in LOREM]
     if len(latin) >= LATIN * len(words) and len(set(latin)) > 1 and len(latin) > 2 * _speaks(words):
         return True
-    if sum(1 for w in words if MASH.match(w)) >= 0.8 * len(words):
+    # Of words that are four fifths mash, one more than a fifth cannot all be others.
+    if any(map(MASH.match, words[: len(words) // 5 + 1])) and sum(1 for w in words if MASH.match(w)) >= 0.8 * len(words):
         return True
     return len(words) >= 4 and len(set(words)) == 1
 
 
-def is_filler_paragraph(block: str) -> bool:
-    """Whether every sentence with words is filler; a paragraph of pseudo-Latin is judged as a whole, too."""
-    parts = [s for s in SENTENCE.split(block) if WORD.search(s)]
-    if not parts:
-        return False
-    if all(map(is_filler, parts)):
-        return True
-    words = WORD.findall(block.lower())
+def is_filler_paragraph(block: str, words: list[str] | None = None) -> bool:
+    """Whether every sentence with words is filler; a paragraph of pseudo-Latin is judged as a whole, too.
+
+    `words` are those of the block in small letters, if they are known already.
+    """
+    first = SENTENCE.split(block, maxsplit=1)[0]
+    if not WORD.search(first) or is_filler(first):
+        parts = [s for s in SENTENCE.split(block) if WORD.search(s)]
+        if not parts:
+            return False
+        if all(map(is_filler, parts)):
+            return True
+    words = WORD.findall(block.lower()) if words is None else words
     latin = [w for w in [w[:5] for w in words] if w in LOREM]
-    return len(words) >= 8 and len(latin) >= LATIN * 1.25 * len(words) and len(set(latin)) > 3 and len(latin) > 2 * _speaks(words)
+    return len(latin) > 3 and len(words) >= 8 and len(latin) >= LATIN * 1.25 * len(words) and len(set(latin)) > 3 and len(latin) > 2 * _speaks(words)
 
 
-def latin_words(line: str, sure: bool) -> list[str]:
+def latin_words(line: str, sure: bool, words: list[str] | None = None) -> list[str]:
     """Words of a paragraph of pseudo-Latin, or of one that may be: in small letters and without any common word."""
-    if not line.isascii():
+    if not line.isascii() or not sure and words is not None and not COMMON_WORDS.isdisjoint(words):
         return []
     words = WORD.findall(line)
     low = [w.lower() for w in words]
@@ -322,18 +328,22 @@ def page_facts(pages: DataFrame, id_col: str = "crawl_id", html_col: str = "html
                 title, heads, lines, frame = page_lines(page)
                 every = [title, *heads, *lines]
                 keys = [_mask(s) for s in every]
-                found, marked = [], []
+                found = []
+                words += ("\n", "\n")
+                parts = []
                 for line in [*every, *frame]:
                     if HINT.search(line):
                         found += [{"token": m[0], "strong": m["s"] is not None} for m in VARIABLE.finditer(line)]
                         line = VARIABLE.sub(" \x01 ", line)
-                    marked.append(line.lower())
-                words += PART.findall("\n\n" + "\n\n".join(marked) + "\n\n")
+                    parts.append(PART.findall(line.lower()))
+                    words += parts[-1]
+                    words += ("\n", "\n")
                 ends.append(len(words))
-                sure = [is_filler_paragraph(s) for s in lines]
                 first = len(keys) - len(lines)
+                spoken = parts[first : len(keys)]
+                sure = [is_filler_paragraph(s, w) for s, w in zip(lines, spoken)]
                 fill = [{"key": keys[k], "prev": keys[k - 1] if k else 0, "next": keys[k + 1] if k + 1 < len(keys) else 0} for k, ok in enumerate(sure, first) if ok]
-                latin = [{"sure": ok, "words": w} for s, ok in zip(lines, sure) if (w := latin_words(s, ok))]
+                latin = [{"sure": ok, "words": w} for s, ok, p in zip(lines, sure, spoken) if (w := latin_words(s, ok, p))]
                 plain = OWN.search(page) is None
                 bare = []
                 for s in lines or [s for s in [*heads, title] if s]:
