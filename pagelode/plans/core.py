@@ -693,8 +693,12 @@ def p7_lifespans(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from pagelode.plans import files  # noqa: F401 - registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from pagelode.plans import files  # noqa: F401 - registers its queries
+
     return dict(_SQL)

@@ -111,11 +111,13 @@ class ArrowFileReader(DataSourceReader):
         for path in sorted(glob.glob(self.path)):
             with pa.memory_map(path) as source:
                 found += [InputPartition((path, k)) for k in range(pa.ipc.open_file(source).num_record_batches)]
-        return found
+        return found or [InputPartition(None)]  # no batch at all
 
     def read(self, partition) -> Iterator:
         import pyarrow as pa
 
+        if partition.value is None:
+            return
         path, k = partition.value
         with pa.memory_map(path) as source:
             yield pa.ipc.open_file(source).get_batch(k).select(self.names)
