@@ -1,8 +1,10 @@
 """Splitting oversized items at natural boundaries (problem 10).
 
 Structure-tree packing. A text is a tree of sections (by heading level), blocks, list items, lines, sentences,
-clauses and words. Its levels are opened lazily: a node that fits stays whole, neighbours under one parent are
-merged up to the limit, and only an oversized node is opened one level further. Token counts of any stretch come
+clauses and words. From the bottom up, subtrees that stand side by side under one parent are merged as long as they
+fit; a parent that fits as a whole is what this gives of its own children, so only oversized nodes are ever opened, one
+level further. A section, block or item that had to be opened is not merged with what comes before or after it.
+Token counts of any stretch come
 from one tokenisation of the whole text, as all cuts lie between pre-tokens; only cuts inside one very long word
 need the tokenizer again.
 """
@@ -55,7 +57,9 @@ def _after(pattern: re.Pattern) -> callable:
     return lambda text, a, b: [m.end() for m in pattern.finditer(text, a, b)]
 
 
-#: Levels of the tree; the first two are opened again as long as they have inner levels.
+#: Levels of the tree; sections and items are opened again as long as they have inner levels. The first STRUCTURE of them
+#: are structure, the others running text.
+STRUCTURE = 3
 LEVELS = [(_headings, True), (_after(BLOCK), False), (_items, True), (_after(LINE), False), (_after(SENTENCE), False), (_after(CLAUSE), False), (_after(WORD), False)]
 
 
@@ -110,16 +114,18 @@ def natural_spans(counter: Counter, limit: int) -> list[tuple[int, int, bool]]:
         if not marks:
             return pack(a, b, na, nb, level + 1)
         out: list[tuple[int, int, int, int, bool]] = []
-        begin, n0 = a, na
+        begin, n0, opened = a, na, False
         for p, n1 in zip([*marks, b], [*counter.upto_all(marks), nb]):
             if n1 - n0 <= limit:
-                if out and n1 - out[-1][2] <= limit:
+                if out and not opened and n1 - out[-1][2] <= limit:
                     out[-1] = (out[-1][0], p, out[-1][2], n1, out[-1][4])
                 else:
                     out.append((begin, p, n0, n1, True))
+                opened = False
             else:
                 inner = pack(begin, p, n0, n1, level if again else level + 1)
-                if out and inner[0][3] - out[-1][2] <= limit:
+                opened = level < STRUCTURE
+                if out and not opened and inner[0][3] - out[-1][2] <= limit:
                     out[-1] = (out[-1][0], inner[0][1], out[-1][2], inner[0][3], out[-1][4] and inner[0][4])
                     out += inner[1:]
                 else:

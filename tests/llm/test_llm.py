@@ -550,6 +550,13 @@ def test_cuts_are_natural(enc, lengths):
     assert all(t[b:s].startswith("## H") for _, b, s, _ in pieces)
 
 
+def test_no_piece_reaches_across_an_opened_section(enc, lengths):
+    part = lambda k, n: f"## H{k}\n\n" + "Some words in a row here. " * n + "\n\n"
+    t = part(0, 2) + part(1, 30) + part(2, 2) + part(3, 2)
+    pieces = [t[b:s] for _, b, s, _ in chunking.cut(t, 50, 0, enc.encode_ordinary, lengths)]
+    assert pieces[0] == part(0, 2) and pieces[-1] == part(2, 2) + part(3, 2) and all("## H" not in x[1:] for x in pieces[:-1])
+
+
 def test_split_documents(spark):
     d = spark.createDataFrame([(1, "One two three. " * 80), (2, "short"), (3, None), (4, ""), (None, "x " * 900)], "doc_id long, text string").withColumn("stop", F.lit("clash"))
     lim = spark.createDataFrame([(1, 32, 0), (2, 64, 8)], "limit_id int, max_tokens int, overlap_tokens int")
