@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 MIN_WORDS = 12
 #: Most words of test items in one automaton (it has at most twice as many states); more items make more blocks.
 BLOCK_WORDS = 400_000
+#: Automata a task keeps; further ones are taken in turn, batch by batch.
+HELD_BLOCKS = 2
 #: A document with at least this share of its words inside leaked spans is dropped whole by `clean_documents`.
 MAX_COVERAGE = 0.5
 
@@ -128,32 +130,46 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, block_words: int) ->
         yield block
 
 
-def _matches(docs: DataFrame, block: list[tuple[int, list[str]]], doc_col: str, text_col: str, min_words: int, spans: bool) -> DataFrame:
-    auto = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, min_words))
+class Machines:
+    """The automata of all blocks of items for the executors: a task holds `held` of them at most and takes others in turn."""
 
+    def __init__(self, items: DataFrame, item_col: str, text_col: str, block_words: int, min_words: int, held: int = HELD_BLOCKS):
+        context = items.sparkSession.sparkContext
+        self.shared = [context.broadcast(SuffixAutomaton(block, min_words)) for block in _blocks(items, item_col, text_col, block_words)]
+        self.held = held
+
+    def __len__(self) -> int:
+        return len(self.shared)
+
+    def __iter__(self) -> Iterator[SuffixAutomaton]:
+        for k, one in enumerate(self.shared):
+            yield one.value
+            if k >= self.held and hasattr(one, "_value"):
+                del one._value  # read again for the next batch
+
+
+def _matches(docs: DataFrame, machines: Machines, doc_col: str, text_col: str, min_words: int, spans: bool) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = auto.value
         for batch in batches:
             ids, items, starts, stops = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = words_of(text)
-                if len(words) < min_words:
-                    continue
-                if spans:
-                    spans_of: list[list[int]] = []
-                    for end, n, _ in machine.runs(words, min_words):
-                        while spans_of and spans_of[-1][0] >= end - n + 1:
-                            spans_of.pop()
-                        if spans_of and spans_of[-1][1] >= end - n + 1:
-                            spans_of[-1][1] = end + 1
-                        else:
-                            spans_of.append([end - n + 1, end + 1])
-                    for a, b in spans_of:
-                        ids.append(doc), items.append(len(words)), starts.append(a), stops.append(b)
-                else:
-                    seen: set[int] = {machine.base[s] for _, _, s in machine.runs(words, min_words)}
-                    for item in sorted({i for s in seen for i in machine.items[s]}):
-                        ids.append(doc), items.append(item), starts.append(0), stops.append(0)
+            told = [(doc, words) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if len(words := words_of(text)) >= min_words]
+            for machine in machines:
+                for doc, words in told:
+                    if spans:
+                        spans_of: list[list[int]] = []
+                        for end, n, _ in machine.runs(words, min_words):
+                            while spans_of and spans_of[-1][0] >= end - n + 1:
+                                spans_of.pop()
+                            if spans_of and spans_of[-1][1] >= end - n + 1:
+                                spans_of[-1][1] = end + 1
+                            else:
+                                spans_of.append([end - n + 1, end + 1])
+                        for a, b in spans_of:
+                            ids.append(doc), items.append(len(words)), starts.append(a), stops.append(b)
+                    else:
+                        seen: set[int] = {machine.base[s] for _, _, s in machine.runs(words, min_words)}
+                        for item in sorted({i for s in seen for i in machine.items[s]}):
+                            ids.append(doc), items.append(item), starts.append(0), stops.append(0)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items, pa.int64()), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())], names=["doc_id", "item_id", "start", "stop"])
 
     rows = docs.where(F.col(doc_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(doc_col).cast("bigint"), text_col)
@@ -164,26 +180,16 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", tex
     """`(doc_id, item_id)`: documents that contain at least `min_words` consecutive words of an item.
 
     Null ids and texts and texts of fewer words match nothing; repeated documents under their own ids each count;
-    with no items the result is empty. The corpus is read once per block of items and never shuffled.
+    with no items the result is empty. The corpus is read once, whatever the number of items, and never shuffled.
     """
-    out: DataFrame | None = None
-    for block in _blocks(items, item_col, item_text, block_words):
-        part = _matches(docs, block, doc_col, text_col, min_words, spans=False).select("doc_id", "item_id")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return docs.select(F.col(doc_col).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("item_id")).limit(0)
-    return out
+    machines = Machines(items, item_col, item_text, block_words, min_words)
+    return _matches(docs, machines, doc_col, text_col, min_words, spans=False).select("doc_id", "item_id")
 
 
 def leaked_spans(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """`(doc_id, n_words, start, stop)`: maximal word spans (half open) covered by leaked runs, per block of items."""
-    out: DataFrame | None = None
-    for block in _blocks(items, item_col, item_text, block_words):
-        part = _matches(docs, block, doc_col, text_col, min_words, spans=True)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return docs.selectExpr("cast(null as bigint) as doc_id", "0L as n_words", "0L as start", "0L as stop").limit(0)
-    return out.select("doc_id", F.col("item_id").alias("n_words"), "start", "stop")
+    machines = Machines(items, item_col, item_text, block_words, min_words)
+    return _matches(docs, machines, doc_col, text_col, min_words, spans=True).select("doc_id", F.col("item_id").alias("n_words"), "start", "stop")
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -192,19 +198,19 @@ def clean_documents(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id",
     Leaked spans are cut out of the text word by word; a document of which they cover `max_coverage` or more is
     dropped (null text). Documents without a leak keep their text, also when it is null or empty.
     """
-    blocks = list(_blocks(items, item_col, item_text, block_words))
-    machines = [docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(b, min_words)) for b in blocks]
+    machines = Machines(items, item_col, item_text, block_words, min_words)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed, coverage, dropped = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                raw = text.split() if text else []
-                kept = [(i, w) for i, r in enumerate(raw) if (w := NOT_WORD.sub("", r.lower()))]
-                out: set[int] = set()
-                for m in machines:
-                    for end, n, _ in m.value.runs([w for _, w in kept], min_words):
+            every = batch.column(1).to_pylist()
+            words_in = [[(i, w) for i, r in enumerate(text.split() if text else []) if (w := NOT_WORD.sub("", r.lower()))] for text in every]
+            found: list[set[int]] = [set() for _ in every]
+            for machine in machines:
+                for kept, out in zip(words_in, found):
+                    for end, n, _ in machine.runs([w for _, w in kept], min_words):
                         out.update(range(end - n + 1, end + 1))
+            for text, kept, out in zip(every, words_in, found):
                 share = len(out) / len(kept) if kept else 0.0
                 drop = bool(out) and share >= max_coverage
                 if out and not drop:
