@@ -41,6 +41,10 @@ def page_features(page: str | None) -> tuple[list[str], list[str]]:
     return visible_text(page).lower().split(), [f"<{t}:{n.bit_length()}>" for t, n in counts.items()]
 
 
+#: Steps that a unit of a race key's logarithm is counted in; rows that may be sorted in one task.
+STEPS, SORTED = 64, 200_000
+
+
 def _minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for part in range(0, len(hashes), 4096):
@@ -107,10 +111,29 @@ def varied_subset(weighted: DataFrame, size: int, seed: str) -> DataFrame:
     """Exactly `size` rows (all, if there are fewer), drawn one after another with probability inverse to `density`.
 
     Exponential races: the row with the smallest `-ln(u) * density` wins, `u` from a hash of seed and id; equal keys
-    are decided by id.
+    are decided by id. The last winner is found by counting rows per step of the key's logarithm, finer inside the
+    step that it lies in, so that only the rows of one small step are ever sorted.
     """
     u = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2**52)) + F.lit(0.5)) / F.lit(float(2**52))
-    return weighted.withColumn("race", -F.log(u) * F.col("density")).orderBy("race", "id").limit(size)
+    raced = weighted.withColumn("race", -F.log(u) * F.col("density"))
+    pool, won, scale = raced, None, STEPS
+    while True:
+        step = F.floor(F.log("race") * scale)
+        counts = sorted((r["b"], r["n"]) for r in pool.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())  # the key's logarithm lies between -40 and 60
+        last, before = None, 0
+        for b, n in counts:
+            if before + n >= size:
+                last = b
+                break
+            before += n
+        if last is None:
+            return pool if won is None else won.unionByName(pool)
+        below = pool.where(step < last)
+        won = below if won is None else won.unionByName(below)
+        pool, size, held = pool.where(step == last), size - before, dict(counts)[last]
+        if held <= SORTED or scale >= 2**40:
+            return won.unionByName(pool.orderBy("race", "id").limit(size))
+        scale *= STEPS
 
 
 def choose_subsets(tables: dict[str, tuple[DataFrame, str, str, str]], plan: DataFrame, seed: str = "subset") -> DataFrame:
