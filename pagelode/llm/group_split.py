@@ -113,8 +113,9 @@ def components(edges: DataFrame, expansions: int = EXPANSIONS, salt_rows: int =
     rest = ranked.join(labelled.select("src"), "src", "left_anti").select("src", F.col("src").alias("label"))
     labelled = stored(labelled.unionByName(rest), "labelled")
     # Colliding labels: both ends of an edge are known now; distinct label pairs make the small graph.
-    ends = both.where("src < dst").join(labelled, "src").select("dst", F.col("label").alias("a"))
-    pairs = ends.join(labelled.select(F.col("src").alias("dst"), F.col("label").alias("b")), "dst").where("a <> b").select("a", "b").distinct()
+    # Each end sends its label to the edge, along the salted lists, so no hub meets all its edges in one task.
+    ends = adj.join(spread(labelled).select("src", "salt", "label"), ["src", "salt"]).groupBy(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    pairs = ends.where("a <> b").select("a", "b").distinct()
     roots = _min_labels(pairs)
     return labelled.join(roots.withColumnRenamed("node", "label"), "label", "left").select(F.col("src").alias("node"), F.coalesce("root", "label").alias("label"))
 
@@ -132,11 +133,17 @@ def related_groups(pages: DataFrame, aliases: DataFrame | None = None, id_col: s
     labels = components(rows.where("t is not null and h is not null").select(F.col("h").alias("a"), F.col("t").alias("b")))
     rows = rows.select("id", F.coalesce("h", "t").alias("node"))
     # Ids are brought together per node before the join, so a hot node costs one row per task.
-    firsts = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"))
-    joined = stored(firsts.join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")), "node-labels")
+    firsts = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    joined = stored(firsts.join(labels, "node", "left").select("node", "first", "n", F.coalesce("label", "node").alias("label")), "node-labels")
     tops = joined.groupBy("label").agg(F.min("first").alias("group_id"))
-    by_node = joined.join(tops, "label").select("node", "group_id")
-    return rows.join(by_node, "node", "left").select(F.col("id").alias(id_col), F.coalesce("group_id", "id").alias("group_id"))
+    by_node = stored(joined.join(tops, "label").select("node", "n", "group_id"), "node-groups")
+    # Nodes of a thousandth of the rows, of which there are a thousand at most, are broadcast to their rows.
+    bound = max(2, (by_node.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hot = F.broadcast(by_node.where(F.col("n") >= bound).select("node", F.col("group_id").alias("hot_id")))
+    marked = rows.join(hot, "node", "left")
+    rest = marked.where("hot_id is null").join(by_node.where(F.col("n") < bound).select("node", "group_id"), "node", "left").select("id", "group_id")
+    found = marked.where("hot_id is not null").select("id", F.col("hot_id").alias("group_id")).unionByName(rest)
+    return found.select(F.col("id").alias(id_col), F.coalesce("group_id", "id").alias("group_id"))
 
 
 def split_groups(groups: DataFrame, plan: DataFrame, id_col: str = "crawl_id", seed: str = "split") -> DataFrame:
