@@ -166,13 +166,14 @@ def near_texts(signed: DataFrame, texts: DataFrame, agreement: float = AGREEMENT
     buckets = bands.groupBy("key").agg(F.count_if("in_train").alias("nt"), F.count_if("in_eval").alias("ne"), F.count(F.lit(1)).alias("n")).where("nt > 0 and ne > 0 and n > 1")
     buckets = stored(buckets.select("key", (F.col("n") > hot_bucket).alias("hot")), "buckets")
     words = signed.select(F.col("page_id").alias("rep"), "n_words", "words")
-    live = bands.join(buckets, "key")
+    live = stored(bands.join(buckets, "key"), "live-bands")
     pairs = _meetings(live.where("not hot").drop("hot"))
     # The longer one of a pair with a short text is at most that much longer.
-    exact = reps.where(F.col("n_words") * agreement <= SHORT).select(F.col("page_id").alias("rep"))
-    exact = exact.unionByName(live.where("hot").select("rep")).distinct()
-    side = reps.select(F.col("page_id").alias("rep"), "n_words", "in_train", "in_eval", "words")
-    pairs = pairs.unionByName(_meetings(stored(rare_keys(stored(side.join(exact, "rep", "left_semi"), "exact-texts"), agreement), "rare-keys"))).distinct()
+    side = ["n_words", "in_train", "in_eval"]
+    exact = reps.where(F.col("n_words") * agreement <= SHORT).select(F.col("page_id").alias("rep"), *side)
+    exact = exact.unionByName(live.where("hot").select("rep", *side)).distinct()
+    known = stored(exact.join(words.select("rep", "words"), "rep").select("rep", *side, "words"), "exact-texts")
+    pairs = pairs.unionByName(_meetings(stored(rare_keys(known, agreement), "rare-keys"))).distinct()
     pairs = stored(pairs, "text-pairs")
     need = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
     held = words.join(need, "rep", "left_semi")
