@@ -7,46 +7,17 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from pagelode.functions import text
-from pagelode.operators import cleaning, eda, sampling, vectors
-from pagelode.session import build_session, ship_package, stored
+from pagelode.operators import cleaning, eda, sampling
+from pagelode.operators.leakage import LeakageConfig, leakage
+from pagelode.session import build_session, ship_package
 from pagelode.sources import readers, sinks
 
 
-@dataclass
-class LeakageConfig:
-    """CLI-04: which stages of the leakage pipeline run, and its parameters."""
-
-    planes_url: int = 8
-    planes_html: int = 16
-    radius: int = 2
-    url_limit: float = 0.1
-    html_limit: float = 0.2
-    max_features: int = 1_000_000
-    stages: list[str] = field(default_factory=lambda: ["vectors", "hash", "neighbours", "filter"])
-
-
-def leakage(train: DataFrame, test: DataFrame, config: LeakageConfig = LeakageConfig()) -> DataFrame:
-    """DED-05 end to end: ids of test pages that lie too near a train page by url or by html text."""
-    from pagelode.functions.html_features import html_text
-
-    def edges(column, terms, planes: int) -> DataFrame:
-        a, b = (df.select("sha256", column.alias("t")) for df in (train, test))
-        model = stored(vectors.fit_idf(a, "sha256", terms(F.col("t")), config.max_features), "idf")
-        wa, wb = (stored(vectors.tfidf(df, "sha256", terms(F.col("t")), model), "tfidf") for df in (a, b))
-        pairs = vectors.candidates(vectors.sparse_bins(wb, planes), vectors.sparse_bins(wa, planes), planes, config.radius)
-        return vectors.sparse_edges(pairs, wb, wa)
-
-    url = edges(F.lower("url"), vectors.char_terms, config.planes_url)
-    html = edges(html_text(F.col("html")), vectors.word_terms, config.planes_html)
-    return vectors.leakage_filter(url, html, config.url_limit, config.html_limit)
-
-
 def _clean(spark: SparkSession, a) -> None:
     pages = spark.read.parquet(a.input)
     flagged = cleaning.mark_duplicate_urls(cleaning.mark_bad_titles(cleaning.mark_empty_html(pages)), a.order.split(","))

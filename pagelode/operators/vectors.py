@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pagelode.functions.text import indel_ratio, length_match, let
 from pagelode.session import broadcast_if_small, stored
 
-# Words left out before word n-grams.
-STOP_WORDS = tuple("a an and are as at be but by for from has have he her his i if in is it its me my no not of on or our she so that the their them they this to was we were what when which who will with you your".split())
 #: Masks beyond which a Hamming ball is searched by pairs of occupied bins rather than by flipping bits.
 MASKS = 300
 
 
-def word_terms(text: Column, n: int = 3, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """VEC-01: lower-case words of two letters or more without stop words, then their 1- to n-grams, with repeats."""
+def word_terms(text: Column, n: int = 3, stop_words: tuple[str, ...] | None = None) -> Column:
+    """VEC-01: lower-case words of two letters or more without stop words, then their 1- to n-grams, with repeats.
+
+    The stop words are Spark's English ones unless given.
+    """
+    if stop_words is None:
+        stop_words = tuple(w for w in StopWordsRemover.loadDefaultStopWords("english") if len(w) > 1)
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(*stop_words))
     return let(words, lambda x: F.concat(x, *[_windows(x, F.size(x), k, lambda x, i, n: F.array_join(F.slice(x, i, n), " ")) for k in range(2, n + 1)]))
 
@@ -40,10 +48,26 @@ def fit_idf(docs: DataFrame, id_col: str, terms: Column, max_features: int | Non
     counted = docs.select(F.col(id_col).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     out = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     if max_features:
-        out = out.orderBy(F.desc("cf"), "term").limit(max_features)
+        out = most_frequent(stored(out, "terms"), max_features)
     return out.select("term", "df", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def most_frequent(terms: DataFrame, most: int, count: str = "cf", name: str = "term") -> DataFrame:
+    """The `most` rows of the greatest counts, ties by name; only rows of the last count are sorted.
+
+    Counts have few distinct values, of which only the numbers of rows come to the driver.
+    """
+    held, last = 0, None
+    for r in terms.groupBy(count).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(count)).toLocalIterator():
+        if held + r["n"] > most:
+            last = r[count]
+            break
+        held += r["n"]
+    if last is None:
+        return terms
+    return terms.where(F.col(count) > last).unionByName(terms.where(F.col(count) == last).orderBy(name).limit(most - held))
+
+
 def tfidf(docs: DataFrame, id_col: str, terms: Column, model: DataFrame) -> DataFrame:
     """VEC-01..05: long form `(id, term, weight)`, L2-normalised per document; documents without known terms have no row."""
     counted = docs.select(F.col(id_col).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -52,30 +76,45 @@ def tfidf(docs: DataFrame, id_col: str, terms: Column, model: DataFrame) -> Data
     return weighted.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def plane_weight(position: Column, plane: Column) -> Column:
-    """LSH-01: weight of a dimension in a plane, from both numbers: deterministic, and no matrix is kept."""
-    return F.pmod((position + 1) * 7919 + (plane + 1) * 104729 + (position + 1) * (plane + 1) * 31, F.lit(2001)) - 1000
+def random_planes(dimensions: int, planes: int, seed: int = 42) -> np.ndarray:
+    """LSH-01: normals of random planes, `(dimensions, planes)` standard normal entries."""
+    return np.random.default_rng(seed).standard_normal((dimensions, planes))
+
 
+def dense_bins(vectors: DataFrame, id_col: str, vector_col: str, planes: int, seed: int = 42) -> DataFrame:
+    """LSH-02, LSH-03, MTH-02: `(id, bin)` of dense vectors, a batch at a time by one matrix product; a zero vector has all bits set.
 
-def dense_bins(vectors: DataFrame, id_col: str, vector_col: str, planes: int) -> DataFrame:
-    """LSH-02, LSH-03, MTH-02: `(id, bin)` of dense vectors; a zero vector has all bits set."""
+    Planes are drawn for the longest vector of the batch, row by row, so that a dimension has the same entries whatever the
+    batch; null and empty vectors have all bits set, null elements count as 0.
+    """
     if planes > 62:
         raise ValueError("a bin has at most 62 bits")
 
-    def bit(p: int) -> Column:
-        dot = F.aggregate(F.transform(vector_col, lambda x, i: x.cast("double") * plane_weight(i, F.lit(p))), F.lit(0.0), lambda a, b: a + b)
-        return F.when(dot >= 0, 1 << (planes - 1 - p)).otherwise(0).cast("bigint")
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = np.left_shift(np.int64(1), np.arange(planes - 1, -1, -1, dtype=np.int64))
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+            wide = max(1, int(sizes.max(initial=0)))
+            x = np.zeros((len(sizes), wide))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            x[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.nan_to_num(lists.flatten().to_numpy(zero_copy_only=False).astype(float))
+            found = ((x @ random_planes(wide, planes, seed)) >= 0) @ power
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "bin"])
+
+    rows = vectors.select(F.col(id_col).alias("id"), vector_col)
+    return rows.mapInArrow(bits, StructType([rows.schema["id"], StructField("bin", LongType())]))
+
 
-    total = bit(0)
-    for p in range(1, planes):
-        total = total + bit(p)
-    return vectors.select(F.col(id_col).alias("id"), total.alias("bin"))
+def gauss(seed: Column, term: Column) -> Column:
+    """LSH-01: a standard normal number for a term and a plane, from two hashes: no matrix is kept for unbounded vocabularies."""
+    even = lambda salt: (F.xxhash64(F.lit(salt), seed, term).bitwiseAND(F.lit(2**52 - 1)) + F.lit(0.5)) / F.lit(float(2**52))
+    return F.sqrt(-2 * F.log(even("radius"))) * F.cos(F.lit(2 * math.pi) * even("angle"))
 
 
-def sparse_bins(weights: DataFrame, planes: int) -> DataFrame:
-    """LSH-01..03: `(id, bin)` of long-form vectors; each term has a hash-seeded sign and size per plane."""
-    draw = lambda p: (F.pmod(F.xxhash64(F.lit(p), "term"), F.lit(2001)) - 1000) * F.col("weight")
-    sums = weights.groupBy("id").agg(*[F.sum(draw(p)).alias(f"d{p}") for p in range(planes)])
+def sparse_bins(weights: DataFrame, planes: int, table: int = 0) -> DataFrame:
+    """LSH-01..03: `(id, bin)` of long-form vectors; each term has a normal entry per plane, drawn by hash for each table."""
+    sums = weights.groupBy("id").agg(*[F.sum(gauss(F.lit(table * planes + p), F.col("term")) * F.col("weight")).alias(f"d{p}") for p in range(planes)])
     total = F.lit(0).cast("bigint")
     for p in range(planes):
         total = total + F.when(F.col(f"d{p}") >= 0, 1 << (planes - 1 - p)).otherwise(0)

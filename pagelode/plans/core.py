@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagelode.functions import html_features as hf
 from pagelode.functions import prompts, text, urls
-from pagelode.operators import cleaning, eda, features, metrics, sampling, schema_drift, vectors
+from pagelode.operators import cleaning, eda, features, leakage, metrics, sampling, schema_drift, vectors
 from pagelode.session import table
 from pagelode.sources import feeds
 from pagelode.streaming import quota
@@ -413,7 +413,8 @@ def packed_requests(spark, sf_dir):
 
 
 def _bins_sql(n: int) -> str:
-    bit = lambda p: f"CASE WHEN list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * ((((i) * 7919 + {p + 1} * 104729 + i * {p + 1} * 31) % 2001) - 1000))) >= 0 THEN {1 << (n - 1 - p)} ELSE 0 END"
+    planes = vectors.random_planes(64, n)
+    bit = lambda p: f"CASE WHEN list_dot_product(embedding::DOUBLE[], {[float(x) for x in planes[:, p]]}::DOUBLE[]) >= 0 THEN {1 << (n - 1 - p)} ELSE 0 END"
     return f"(SELECT vec_id AS id, embedding, label, CAST({' + '.join(bit(p) for p in range(n))} AS BIGINT) AS bin FROM embeddings)"
 
 
@@ -466,16 +467,16 @@ def leakage_counts(spark, sf_dir):
     return vectors.leakage_counts(_edges(spark, sf_dir, 8, 2), _edges(spark, sf_dir, 16, 2), 0.7, 0.8)
 
 
-@query(f"SELECT DISTINCT query_id AS id FROM {_edges_sql(16, 4)} WHERE distance <= 0.6 AND cand_id > query_id")
+@query(f"SELECT DISTINCT query_id AS id FROM {_edges_sql(16, 5)} WHERE distance <= 0.6 AND cand_id > query_id")
 def diversity_drop(spark, sf_dir):
     order = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("rank"))
-    return vectors.diversity_drop(_edges(spark, sf_dir, 16, 4), order, 0.6)
+    return vectors.diversity_drop(_edges(spark, sf_dir, 16, 5), order, 0.6)
 
 
 @query(f"""SELECT threshold, count(*) AS n, round(quantile_cont(distance, 0.5), 6) AS median FROM (SELECT t.threshold, e.distance, row_number() OVER (PARTITION BY t.threshold ORDER BY distance DESC, query_id, cand_id) AS rn
- FROM {_edges_sql(16, 2)} e JOIN (SELECT unnest([0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold) t ON e.distance <= t.threshold) WHERE rn <= 100 GROUP BY threshold""")
+ FROM {_edges_sql(16, 2)} e JOIN (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])::DOUBLE AS threshold) t ON e.distance <= t.threshold) WHERE rn <= 100 GROUP BY threshold""")
 def threshold_sweep(spark, sf_dir):
-    return vectors.threshold_sweep(_edges(spark, sf_dir, 16, 2), [0.3, 0.5, 0.7, 0.9])
+    return vectors.threshold_sweep(_edges(spark, sf_dir, 16, 2), [k / 10 for k in range(1, 10)])
 
 
 @query(f"""SELECT label AS "group", count(*) AS pairs, round(avg(CASE WHEN distance <= 0.6 THEN 1.0 ELSE 0.0 END), 6) AS share FROM {_edges_sql(16, 4)} e JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = cand_id AND a.label = b.label GROUP BY a.label""".replace("SELECT label", "SELECT a.label"))
@@ -497,7 +498,7 @@ def tfidf_urls(spark, sf_dir):
 def tfidf_words(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     terms = vectors.word_terms(F.col("text"))
-    return vectors.tfidf(d, "doc_id", terms, vectors.fit_idf(d, "doc_id", terms, 20_000)).withColumn("weight", F.round("weight", 6))
+    return vectors.tfidf(d, "doc_id", terms, vectors.fit_idf(d, "doc_id", terms, 1_000_000)).withColumn("weight", F.round("weight", 6))
 
 
 @query()
@@ -507,6 +508,12 @@ def sparse_bins(spark, sf_dir):
     return vectors.sparse_bins(vectors.tfidf(p, "page_id", terms, vectors.fit_idf(p, "page_id", terms)), 8)
 
 
+@query()
+def page_leakage(spark, sf_dir):
+    p = table(spark, sf_dir, "release_pages").select(F.col("page_id").alias("id"), "url", "html", "split")
+    return leakage.leakage(p.where("split = 'train'"), p.where("split = 'test'"), id_col="id")
+
+
 @query()
 def indel_pairs(spark, sf_dir):
     p = table(spark, sf_dir, "release_pages").withColumn("rank", F.col("page_id"))

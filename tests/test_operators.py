@@ -305,3 +305,49 @@ def test_jobs(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "clean")).count() == 1 and spark.read.json(str(tmp_path / "names")).count() == 2
     near = cli.leakage(pages, pages.where("sha256 = 'a'").withColumn("sha256", F.lit("t")))
     assert [r["query_id"] for r in near.collect()] == ["t"]
+
+
+def test_sparse_neighbours_against_brute_force(spark):
+    import math
+    import random
+
+    from pagelode.operators import leakage
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [[word() for _ in range(60)] for _ in range(40)]
+    pages = []
+    for k in range(160):
+        w = list(base[k % 40])
+        for _ in range(rng.randint(0, 8) if k >= 40 else 0):
+            w[rng.randrange(60)] = word()
+        pages.append((k, " ".join(w)))
+    pages += [(900, None), (901, ""), (None, "x y")]
+    df = spark.createDataFrame(pages, "id long, html string").withColumn("term", F.lit("clash"))
+    train, test = df.where("id < 80 or id >= 900 or id is null"), df.where("id >= 80 and id < 900")
+    found = {(r["query_id"], r["cand_id"]): r["distance"] for r in leakage.sparse_neighbours(test, train, "id", "html", vectors.word_terms, 16, 2, 6).collect()}
+
+    weights = {r["id"]: {} for r in df.where("id is not null").collect()}
+    model = vectors.fit_idf(train.where("id is not null"), "id", vectors.word_terms(F.col("html")))
+    for r in vectors.tfidf(df.where("id is not null"), "id", vectors.word_terms(F.col("html")), model).collect():
+        weights[r["id"]][r["term"]] = r["weight"]
+    exact = {(q, c): 1 - math.fsum(w * weights[c].get(t, 0.0) for t, w in weights[q].items()) for q in range(80, 160) for c in range(80)}
+    near = {p for p, d in exact.items() if d < 0.2}
+    assert len(near) > 30 and len(near & set(found)) >= 0.9 * len(near)
+    assert all(abs(found[p] - exact[p]) < 1e-5 for p in found if p in exact) and not {900, 901} & {p[1] for p in found}
+
+
+def test_planes_are_normal_and_dimensions_keep_their_entries(spark):
+    p = vectors.random_planes(400, 32)
+    assert abs(p.mean()) < 0.03 and abs(p.std() - 1) < 0.03 and (vectors.random_planes(10, 32) == p[:10]).all()
+    df = spark.createDataFrame([(1, [1.0, -2.0, 3.0]), (2, [1.0, -2.0, 3.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0])], "id long, v array<double>")
+    bins = {r["id"]: r["bin"] for r in vectors.dense_bins(df, "id", "v", 8).collect()}
+    assert bins[1] == bins[2] and bins[3] == bins[4] == bins[5] == 255
+    drawn = spark.range(20_000).select(vectors.gauss(F.lit(1), F.col("id").cast("string")).alias("x")).agg(F.avg("x"), F.stddev("x")).first()
+    assert abs(drawn[0]) < 0.03 and abs(drawn[1] - 1) < 0.03
+
+
+def test_most_frequent_sorts_only_the_last_count(spark):
+    df = spark.createDataFrame([(t, c) for t, c in zip("abcdefg", [5, 3, 3, 3, 1, 1, 9])], "term string, cf long")
+    assert sorted(r["term"] for r in vectors.most_frequent(df, 4).collect()) == ["a", "b", "c", "g"]
+    assert vectors.most_frequent(df, 100).count() == 7 and vectors.most_frequent(df, 0).count() == 0
