@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from pagelode.functions.text import indel_ratio, length_match, let
 from pagelode.session import broadcast_if_small, stored
@@ -106,19 +106,40 @@ def dense_bins(vectors: DataFrame, id_col: str, vector_col: str, planes: int, se
     return rows.mapInArrow(bits, StructType([rows.schema["id"], StructField("bin", LongType())]))
 
 
-def gauss(seed: Column, term: Column) -> Column:
-    """LSH-01: a standard normal number for a term and a plane, from two hashes: no matrix is kept for unbounded vocabularies."""
-    even = lambda salt: (F.xxhash64(F.lit(salt), seed, term).bitwiseAND(F.lit(2**52 - 1)) + F.lit(0.5)) / F.lit(float(2**52))
-    return F.sqrt(-2 * F.log(even("radius"))) * F.cos(F.lit(2 * math.pi) * even("angle"))
+def hashed_normals(keys: np.ndarray, count: int) -> np.ndarray:
+    """LSH-01: `(keys, count)` standard normal entries drawn from the hashes of terms: no matrix is kept for open vocabularies."""
+    pairs = np.arange(-(-count // 2), dtype=np.uint64)
+    z = keys.view(np.uint64)[:, None] + (pairs + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ z >> np.uint64(shift)) * np.uint64(factor)
+    z ^= z >> np.uint64(31)
+    radius = np.sqrt(-2 * np.log(((z >> np.uint64(32)).astype(float) + 0.5) / 2**32))
+    angle = (z & np.uint64(0xFFFFFFFF)).astype(float) * (2 * np.pi / 2**32)
+    return np.concatenate([radius * np.cos(angle), radius * np.sin(angle)], axis=1)[:, :count]
 
 
-def sparse_bins(weights: DataFrame, planes: int, table: int = 0) -> DataFrame:
-    """LSH-01..03: `(id, bin)` of long-form vectors; each term has a normal entry per plane, drawn by hash for each table."""
-    sums = weights.groupBy("id").agg(*[F.sum(gauss(F.lit(table * planes + p), F.col("term")) * F.col("weight")).alias(f"d{p}") for p in range(planes)])
-    total = F.lit(0).cast("bigint")
-    for p in range(planes):
-        total = total + F.when(F.col(f"d{p}") >= 0, 1 << (planes - 1 - p)).otherwise(0)
-    return sums.select("id", total.alias("bin"))
+def sparse_sketches(weights: DataFrame, planes: int, tables: int = 1) -> DataFrame:
+    """LSH-01..03: `(id, bins array<bigint>)` of long-form vectors: a bin of `planes` bits in each of `tables` hash tables."""
+    if planes > 62:
+        raise ValueError("a bin has at most 62 bits")
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = np.left_shift(np.int64(1), np.arange(planes - 1, -1, -1, dtype=np.int64))
+        for batch in batches:
+            found = []
+            for terms in batch.column(1):
+                held = terms.values
+                sums = held.field(1).to_numpy() @ hashed_normals(held.field(0).to_numpy(), planes * tables)
+                found.append((sums.reshape(tables, planes) >= 0) @ power)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "bins"])
+
+    held = weights.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("term").alias("k"), "weight"))).alias("terms"))  # of one document
+    return held.mapInArrow(bits, StructType([held.schema["id"], StructField("bins", ArrayType(LongType()))]))
+
+
+def sparse_bins(weights: DataFrame, planes: int) -> DataFrame:
+    """LSH-01..03: `(id, bin)` of long-form vectors in one hash table."""
+    return sparse_sketches(weights, planes).select("id", F.get("bins", F.lit(0)).alias("bin"))
 
 
 def ball_masks(planes: int, radius: int) -> int:
