@@ -91,5 +91,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1].isdigit()}
 
 
+_WORDS = r"list_filter(list_transform(regexp_split_to_array(trim(text), '[\s\v\p{Z}\x{85}]+'), lambda w: regexp_replace(lower(w), '[^\p{L}\p{N}]', '', 'g')), lambda w: w <> '')"
+
+
+def _runs(key: str, table: str) -> str:
+    """SQL of the runs of twelve words of a table."""
+    return f"SELECT DISTINCT {key} AS id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS run FROM (SELECT {key}, {_WORDS} AS w FROM {table} WHERE text IS NOT NULL AND {key} IS NOT NULL) WHERE len(w) >= 12"
+
+
+_LEAKED = f"SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM ({_runs('doc_id', 'documents')}) d JOIN ({_runs('item_id', 'bench_items')}) i USING (run)"
+_PLAIN = r"regexp_replace(lower({c}), '[\s-]', '', 'g')"
+_HOST = r"nullif(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)', 1)), '^.*@', ''), ':\d*$', ''), '(^www\.)|(\.$)', '', 'g'), '')"
+_GROUPS = f"""WITH RECURSIVE k AS (SELECT crawl_id, 'h:' || {_HOST} AS h, 't:' || coalesce(a.t, p.t) AS t FROM (SELECT crawl_id, url, CASE WHEN {_PLAIN.format(c='target')} NOT IN ('', 'unknown', 'other', 'n/a') THEN {_PLAIN.format(c='target')} END AS t FROM crawl_pages) p
+  LEFT JOIN (SELECT {_PLAIN.format(c='alias')} AS a, min({_PLAIN.format(c='target')}) AS t FROM target_aliases GROUP BY 1) a ON p.t = a.a),
+ e AS (SELECT DISTINCT h AS x, t AS y FROM k WHERE h IS NOT NULL AND t IS NOT NULL), n AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+ r(node, reached) AS (SELECT coalesce(h, t) AS node, coalesce(h, t) AS reached FROM k WHERE coalesce(h, t) IS NOT NULL UNION SELECT node, y FROM r JOIN n ON reached = x),
+ f AS (SELECT coalesce(h, t) AS node, min(crawl_id) AS id FROM k GROUP BY 1), g AS (SELECT r.node, min(f.id) AS group_id FROM r JOIN f ON r.reached = f.node GROUP BY 1)
+ SELECT crawl_id, coalesce(group_id, crawl_id) AS group_id FROM k LEFT JOIN g ON coalesce(k.h, k.t) = g.node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": _GROUPS, "p8_found": _LEAKED}
