@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelode.session import broadcast_if_small
+from pagelode.session import broadcast_if_small, stored
 
 # What titles of error pages contain.
 BAD_TITLES = (
@@ -148,14 +148,15 @@ def review(pages: DataFrame, edges: DataFrame, decide: Callable[[DataFrame], str
             if answer not in ("k", "r"):
                 return table
             ids = near.unionByName(near.sparkSession.createDataFrame([(picked[0],)], near.schema)) if answer == "k" or include_self else near
-            table = update_keep(table, ids, answer == "k", id_col).checkpoint()
+            table = stored(update_keep(table, ids, answer == "k", id_col), "review")
             budget -= 1
     return table
 
 
 def add_index(pages: DataFrame, order_by: list[str], name: str = "index") -> DataFrame:
     """PRJ-02: 0-based position in the given order, by sums over order ranges rather than one global window."""
-    ordered = pages.orderBy(*order_by).withColumn("__part", F.spark_partition_id())
+    # Written once, so that every use sees the same partitions, also after lost executors.
+    ordered = stored(pages.orderBy(*order_by).withColumn("__part", F.spark_partition_id()), "ordered")
     counted = ordered.withColumn("__pos", F.row_number().over(Window.partitionBy("__part").orderBy(*order_by)))
     sizes = counted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     total = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

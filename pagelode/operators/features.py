@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelode.operators.vectors import most_frequent
 from pagelode.session import broadcast_if_small, stored
 
 
@@ -33,13 +34,13 @@ def parse_index_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def feature_dictionary(features: DataFrame, feature_col: str = "feature", min_count: int = 10, max_features: int | None = None) -> DataFrame:
-    """AGG-20, AGG-21, SRC-29: `(feature, n, idx)` of features that occur more than `min_count` times, by count and name."""
+    """AGG-20, AGG-21, SRC-29: a stored table `(feature, n, idx)` of features that occur more than `min_count` times, by count and name."""
     counted = features.groupBy(F.col(feature_col).alias("feature")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_count)
     if max_features:
-        counted = counted.orderBy(F.desc("n"), "feature").limit(max_features)
+        counted = most_frequent(stored(counted, "features"), max_features, "n", "feature")
     from pagelode.operators.cleaning import add_index
 
-    return add_index(counted.withColumn("__k", -F.col("n")), ["__k", "feature"], "idx").drop("__k")
+    return stored(add_index(counted.withColumn("__k", -F.col("n")), ["__k", "feature"], "idx").drop("__k"), "dictionary")
 
 
 def reduce_rows(rows: DataFrame, dictionary: DataFrame, id_cols: list[str], feature_col: str = "feature", compat_drop_zero: bool = False) -> DataFrame:

@@ -43,13 +43,13 @@ def char_terms(text: Column, n: int = 3) -> Column:
 
 
 def fit_idf(docs: DataFrame, id_col: str, terms: Column, max_features: int | None = None) -> DataFrame:
-    """VEC-05: `(term, df, idf)` with idf = ln((1 + N) / (1 + df)) + 1; at most `max_features` terms by corpus frequency, ties by term."""
+    """VEC-05: a stored table `(term, df, idf)` with idf = ln((1 + N) / (1 + df)) + 1; at most `max_features` terms by corpus frequency, ties by term."""
     total = docs.count()
     counted = docs.select(F.col(id_col).alias("id"), F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     out = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     if max_features:
         out = most_frequent(stored(out, "terms"), max_features)
-    return out.select("term", "df", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf"))
+    return stored(out.select("term", "df", (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
 
 
 def most_frequent(terms: DataFrame, most: int, count: str = "cf", name: str = "term") -> DataFrame:

@@ -11,8 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows a side may have to be broadcast.
-BROADCAST_ROWS = 200_000
+#: Most rows and bytes, as text, that a side may have to be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def build_session(name: str = "pagelode", master: str | None = None, **conf: str) -> SparkSession:
@@ -94,6 +94,11 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     _remove(spark, path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that `df` has at most `rows` rows; else leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after counting that `df` has at most `rows` rows and `size` bytes; else leave the join to shuffle.
+
+    The count runs the plan of `df` once more: what is dear to compute should be a stored table.
+    """
+    width = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    held = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), width.alias("bytes")).first()
+    return F.broadcast(df) if held["n"] <= rows and held["bytes"] <= size else df
