@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelode.session import stored
+
+#: Distinct scores whose counts one task of the bootstrap holds.
+RANGE_SCORES = 100_000
+
 
 def _curve(rows: DataFrame, gt: str, score: str, group: list[str]) -> DataFrame:
     """WIN-05: cumulative true and false positives per distinct score, from the highest down; null scores are left out.
@@ -118,39 +121,49 @@ def bootstrap_mean(rows: DataFrame, value: str, group: str, replicates: int = 10
     return rows.groupBy(group).applyInPandas(run, f"{group} string, mean double, low double, high double")
 
 
-def confidence_intervals(rows: DataFrame, gt: str = "gt", score: str = "score", replicates: int = 1000, level: float = 0.95, seed: int = 42, recall: float = 0.9) -> DataFrame:
+def confidence_intervals(rows: DataFrame, gt: str = "gt", score: str = "score", replicates: int = 1000, level: float = 0.95, seed: int = 42, recall: float = 0.9, range_scores: int = RANGE_SCORES) -> DataFrame:
     """MET-10, SMP-12: stratified bootstrap intervals of average precision and precision at recall.
 
-    A resample only changes how often each distinct score of each class occurs. Replicates are rows: each draws those
-    counts from the one table of distinct scores, which is broadcast if it is small enough and else raises.
+    A resample only changes how often each distinct score of each class occurs. Scores lie in ranges; how many resampled
+    rows fall into each range is one multinomial draw a replicate, small enough to be drawn alike by every task, and the
+    counts inside a range are another. Tasks are ranges times blocks of replicates, so no task sees all scores.
     """
     import numpy as np
 
     bad = rows.where(~F.col(gt).isin(0, 1) | F.col(gt).isNull()).limit(1).count()
     if bad:
         raise ValueError(f"{gt} must be 0 or 1")
-    table = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(gt) == 1).alias("p"), F.count_if(F.col(gt) == 0).alias("q"))
-    if table.count() > 1_000_000:
-        raise ValueError("round the scores: more than a million distinct values")
-    held = table.orderBy(F.desc(score)).toPandas()
-    shared = rows.sparkSession.sparkContext.broadcast((held["p"].to_numpy(), held["q"].to_numpy()))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p, q = shared.value
-        for frame in frames:
-            out = []
-            for k in frame["id"]:
-                rng = np.random.default_rng([seed, int(k)])
-                a = rng.multinomial(p.sum(), p / max(1, p.sum())) if p.sum() else p
-                b = rng.multinomial(q.sum(), q / max(1, q.sum())) if q.sum() else q
-                tp, fp = a.cumsum(), b.cumsum()
-                pos = max(1, int(p.sum()))
-                precision = tp / np.maximum(1, tp + fp)
-                reached = tp >= recall * pos
-                out.append((float((a / pos * precision).sum()), float(precision[reached & (a + b > 0)].max()) if p.sum() and reached.any() else 0.0))
-            yield pd.DataFrame(out, columns=["average_precision", "precision"])
-
-    draws = rows.sparkSession.range(replicates).mapInPandas(run, "average_precision double, precision double")
+    from pagelode.operators.cleaning import add_index
+
+    table = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("__score")).agg(F.count_if(F.col(gt) == 1).alias("p"), F.count_if(F.col(gt) == 0).alias("q"))
+    placed = add_index(table.withColumn("__down", -F.col("__score")), ["__down"], "i").withColumn("r", F.floor(F.col("i") / range_scores).cast("long"))
+    held = stored(placed.select("r", "i", "p", "q"), "score-counts")
+    ranges = held.groupBy("r").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).orderBy("r").toPandas()  # one row a range
+    totals = ranges["p"].to_numpy(np.int64), ranges["q"].to_numpy(np.int64)
+    blocks = max(1, min(replicates, rows.sparkSession.sparkContext.defaultParallelism * 4))
+
+    def draw(rng, n: int, sizes):
+        return rng.multinomial(n, sizes / sizes.sum()) if n and sizes.sum() else np.zeros(len(sizes), np.int64)
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        r, block = int(key[0]), int(key[1])
+        frame = frame.sort_values("i")
+        p, q, (all_p, all_q) = frame["p"].to_numpy(), frame["q"].to_numpy(), totals
+        pos, out = max(1, int(all_p.sum())), []
+        for k in range(block, replicates, blocks):
+            first = np.random.default_rng([seed, k])
+            of_p, of_q = draw(first, int(all_p.sum()), all_p), draw(first, int(all_q.sum()), all_q)
+            rng = np.random.default_rng([seed, k, r + 1])
+            a, b = draw(rng, int(of_p[r]), p), draw(rng, int(of_q[r]), q)
+            tp, fp = a.cumsum() + of_p[:r].sum(), b.cumsum() + of_q[:r].sum()
+            precision = tp / np.maximum(1, tp + fp)
+            reached = (tp >= recall * pos) & (a + b > 0)
+            out.append((k, float((a / pos * precision).sum()), float(precision[reached].max()) if all_p.sum() and reached.any() else 0.0))
+        return pd.DataFrame(out, columns=["k", "average_precision", "precision"])
+
+    spread = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    parts = spread.groupBy("r", "block").applyInPandas(run, "k long, average_precision double, precision double")
+    draws = parts.groupBy("k").agg(F.sum("average_precision").alias("average_precision"), F.max("precision").alias("precision")).drop("k")
     long = draws.unpivot([], ["average_precision", "precision"], "metric", "value")
     return long.groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", F.lit((1 - level) / 2)), 6).alias("low"), F.round(F.percentile("value", F.lit((1 + level) / 2)), 6).alias("high"))
 

@@ -158,6 +158,8 @@ def test_metrics_against_plain_python(spark):
     assert abs(metrics.roc_auc(df).first()[0] - auc) < 1e-6
     assert metrics.precision_at_recall(df.where("gt = 0")).first()[0] == 0.0
     ci = {r["metric"]: r for r in metrics.confidence_intervals(df, replicates=200).collect()}
+    cut = {r["metric"]: r for r in metrics.confidence_intervals(df, replicates=200, range_scores=7).collect()}
+    assert all(abs(ci[m][k] - cut[m][k]) < 0.05 for m in ci for k in ("mean", "low", "high"))
     assert ci["average_precision"]["low"] < ap < ci["average_precision"]["high"]
     with pytest.raises(ValueError):
         metrics.confidence_intervals(spark.createDataFrame([(2, 0.5)], "gt int, score double"))
