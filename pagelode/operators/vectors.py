@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from pagelode.functions.text import indel_ratio, length_match, let
 from pagelode.session import broadcast_if_small, stored
@@ -81,6 +81,15 @@ def random_planes(dimensions: int, planes: int, seed: int = 42) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dimensions, planes))
 
 
+def _matrix(lists: pa.ListArray, wide: int = 1) -> np.ndarray:
+    """Rows of lists as one matrix, filled up with 0 to the longest; null lists and elements are 0."""
+    sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    out = np.zeros((len(sizes), max(wide, int(sizes.max(initial=0)))))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.nan_to_num(lists.flatten().to_numpy(zero_copy_only=False).astype(float))
+    return out
+
+
 def dense_bins(vectors: DataFrame, id_col: str, vector_col: str, planes: int, seed: int = 42) -> DataFrame:
     """LSH-02, LSH-03, MTH-02: `(id, bin)` of dense vectors, a batch at a time by one matrix product; a zero vector has all bits set.
 
@@ -93,13 +102,8 @@ def dense_bins(vectors: DataFrame, id_col: str, vector_col: str, planes: int, se
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = np.left_shift(np.int64(1), np.arange(planes - 1, -1, -1, dtype=np.int64))
         for batch in batches:
-            lists = batch.column(1)
-            sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
-            wide = max(1, int(sizes.max(initial=0)))
-            x = np.zeros((len(sizes), wide))
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            x[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = np.nan_to_num(lists.flatten().to_numpy(zero_copy_only=False).astype(float))
-            found = ((x @ random_planes(wide, planes, seed)) >= 0) @ power
+            x = _matrix(batch.column(1))
+            found = ((x @ random_planes(x.shape[1], planes, seed)) >= 0) @ power
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "bin"])
 
     rows = vectors.select(F.col(id_col).alias("id"), vector_col)
@@ -188,10 +192,22 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def dense_edges(pairs: DataFrame, vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """`(query_id, cand_id, distance)` of candidate pairs."""
+    """`(query_id, cand_id, distance)` of candidate pairs, a batch at a time; distances are those of `cosine_distance`."""
     a = vectors.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("va"))
     b = vectors.select(F.col(id_col).alias("cand_id"), F.col(vector_col).alias("vb"))
-    return pairs.join(a, "query_id").join(b, "cand_id").select("query_id", "cand_id", F.round(cosine_distance(F.col("va"), F.col("vb")), 6).alias("distance"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(2))
+            y = _matrix(batch.column(3), x.shape[1])
+            x = np.pad(x, ((0, 0), (0, y.shape[1] - x.shape[1])))
+            size = np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))
+            cos = np.divide((x * y).sum(axis=1), size, out=np.zeros(len(size)), where=size > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.clip(1 - cos, 0, 2))], names=["query_id", "cand_id", "distance"])
+
+    both = pairs.join(a, "query_id").join(b, "cand_id").select("query_id", "cand_id", "va", "vb")
+    schema = StructType([both.schema["query_id"], both.schema["cand_id"], StructField("distance", DoubleType())])
+    return both.mapInArrow(measure, schema).withColumn("distance", F.round("distance", 6))
 
 
 def sparse_edges(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
