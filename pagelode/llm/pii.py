@@ -688,19 +688,25 @@ def fit(spans: DataFrame, most: int = TRAIN_SPANS) -> SpanModel:
 
 
 def _decided(pages: DataFrame, id_col: str, html_col: str, url_col: str) -> DataFrame:
-    """`(row, page_id, field, places)` with the places `(kind, start, stop)` of each field that has any."""
+    """`(row, page_id, field, places)` with the places `(kind, start, stop, nth)` of each field that has any."""
     spans = stored(with_gazetteer(stored(_spans(pages, id_col, html_col, url_col), "pii-spans")), "pii-votes")
     shared = pages.sparkSession.sparkContext.broadcast(fit(spans))
-    places = pa.list_(pa.struct([("kind", pa.int8()), ("start", pa.int64()), ("stop", pa.int64())]))
+    places = pa.list_(pa.struct([("kind", pa.int8()), ("start", pa.int64()), ("stop", pa.int64()), ("nth", pa.int64())]))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            kept = [[{"kind": k, "start": a, "stop": b} for k, a, b in m.keeps([(x["kind"], x["start"], x["stop"], x["votes"], x["context"]) for x in found])] for found in batch.column(3).to_pylist()]
+            kept = []
+            for found in batch.column(3).to_pylist():
+                nth: Counter[int] = Counter()
+                kept.append([])
+                for k, a, b in m.keeps([(x["kind"], x["start"], x["stop"], x["votes"], x["context"]) for x in found]):
+                    nth[k] += 1
+                    kept[-1].append({"kind": k, "start": a, "stop": b, "nth": nth[k]})
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(kept, places)], names=["row", "page_id", "field", "places"])
 
     fields = spans.groupBy("row", "page_id", "field").agg(F.collect_list(F.struct("kind", "start", "stop", "votes", "context")).alias("found"))  # of one field of one page
-    return fields.mapInArrow(decide, "row bigint, page_id bigint, field string, places array<struct<kind: tinyint, start: bigint, stop: bigint>>").where(F.size("places") > 0)
+    return fields.mapInArrow(decide, "row bigint, page_id bigint, field string, places array<struct<kind: tinyint, start: bigint, stop: bigint, nth: bigint>>").where(F.size("places") > 0)
 
 
 def find_places(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
@@ -709,10 +715,9 @@ def find_places(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     Positions are characters of the raw field. Null, empty and blank fields have no places; rows with null ids are
     left out; a value that occurs twice counts twice, and repeated pages each count.
     """
-    found = _decided(pages, id_col, html_col, url_col).select("page_id", "field", F.posexplode("places").alias("i", "p"), "places")
-    nth = F.size(F.filter(F.slice("places", F.lit(1), F.col("i") + 1), lambda q: q["kind"] == F.col("p.kind")))
+    found = _decided(pages, id_col, html_col, url_col).select("page_id", "field", F.explode("places").alias("p"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("p.kind") + 1)
-    return found.select("page_id", "field", kind.alias("kind"), nth.cast("bigint").alias("nth"), "p.start", "p.stop")
+    return found.select("page_id", "field", kind.alias("kind"), "p.nth", "p.start", "p.stop")
 
 
 def redact(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
