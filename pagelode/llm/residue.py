@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -196,10 +196,10 @@ def is_filler(sentence: str) -> bool:
     return len(words) >= 4 and len(set(words)) == 1
 
 
-def is_filler_paragraph(block: str, words: list[str] | None = None) -> bool:
+def is_filler_paragraph(block: str, words: list[str] | None = None, latin_known: set[str] | None = None) -> bool:
     """Whether every sentence with words is filler; a paragraph of pseudo-Latin is judged as a whole, too.
 
-    `words` are those of the block in small letters, if they are known already.
+    `words` are those of the block in small letters and `latin_known` all pseudo-Latin ones, if they are known already.
     """
     first = SENTENCE.split(block, maxsplit=1)[0]
     if not WORD.search(first) or is_filler(first):
@@ -209,6 +209,8 @@ def is_filler_paragraph(block: str, words: list[str] | None = None) -> bool:
         if all(map(is_filler, parts)):
             return True
     words = WORD.findall(block.lower()) if words is None else words
+    if latin_known is not None and latin_known.isdisjoint(words):
+        return False
     latin = [w for w in [w[:5] for w in words] if w in LOREM]
     return len(latin) > 3 and len(words) >= 8 and len(latin) >= LATIN * 1.25 * len(words) and len(set(latin)) > 3 and len(latin) > 2 * _speaks(words)
 
@@ -260,10 +262,18 @@ def page_lines(page: str) -> tuple[str, list[str], list[str], list[str]]:
     found = TITLE.search(page)
     title = " ".join(entities.unescape(found[1]).split()) if found else ""
     body = CODE.sub(" ", HIDDEN.sub("\n", body_of(page)))
-    frame = [" ".join(entities.unescape(TAG.sub(" ", m[0])).split()) for m in FRAME.finditer(body)]
-    body = FRAME.sub("\n", body)
-    heads = [" ".join(entities.unescape(TAG.sub(" ", m[0])).split()) for m in HEADINGS.finditer(body)]
-    text = TAG.sub("\n", INLINE.sub("", HEADINGS.sub("\n", body).replace("\r", " ").replace("\n", " ")))
+    frame: list[str] = []
+    heads: list[str] = []
+
+    def taken(out: list[str]) -> Callable[[re.Match], str]:
+        def keep(m: re.Match) -> str:
+            out.append(" ".join(entities.unescape(TAG.sub(" ", m[0])).split()))
+            return "\n"
+
+        return keep
+
+    body = HEADINGS.sub(taken(heads), FRAME.sub(taken(frame), body))
+    text = TAG.sub("\n", INLINE.sub("", body.replace("\r", " ").replace("\n", " ")))
     if "&" in text:
         text = entities.unescape(text)
     if not text.isascii():
@@ -271,18 +281,27 @@ def page_lines(page: str) -> tuple[str, list[str], list[str], list[str]]:
     return title, heads, [s for b in text.split("\n") if (s := " ".join(b.split()))], frame
 
 
-def _word_codes(words: list[str]) -> np.ndarray:
-    """A code per word, and 0 for the end of a line, 1 for a variable."""
-    from pandas.util import hash_array
+class WordCodes(dict):
+    """A code of 31 bits per word, and 0 for the end of a line, 1 for a variable; remembers what it has seen.
 
-    if not words:
-        return np.zeros(0, np.int32)
-    named = np.array(words, dtype=object)
-    codes = (hash_array(named) >> np.uint64(33)).astype(np.int32)
-    codes[codes < 2] = 2
-    codes[named == "\n"] = 0
-    codes[named == "\x01"] = 1
-    return codes
+    `latin` has the words with a stem of pseudo-Latin among them.
+    """
+
+    def __init__(self) -> None:
+        super().__init__({"\n": 0, "\x01": 1})
+        self.latin: set[str] = set()
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = max(2, zlib.crc32(word.encode("utf-8", "surrogatepass")) >> 1)
+        if word[:5] in LOREM:
+            self.latin.add(word)
+        return code
+
+    def forget(self, most: int = 1_000_000) -> None:
+        """Begin anew if there are too many words."""
+        if len(self) > most:
+            self.clear()
+            self.__init__()
 
 
 def _contexts(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +339,9 @@ def page_facts(pages: DataFrame, id_col: str = "crawl_id", html_col: str = "html
     kinds = [pa.int64(), pa.string(), struct(token=pa.string(), strong=pa.bool_(), ctx=pa.int64()), pa.list_(pa.int32()), struct(key=pa.int64(), prev=pa.int64(), next=pa.int64()), struct(sure=pa.bool_(), words=pa.list_(pa.string())), pa.list_(pa.int64()), struct(key=pa.int64(), kind=pa.int32()), pa.bool_()]
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordCodes()
         for batch in batches:
+            known.forget()
             rows, words, ends = [], [], []
             for page_id, host, page in zip(*(c.to_pylist() for c in batch.columns)):
                 if page.isspace() or not page:
@@ -329,19 +350,20 @@ def page_facts(pages: DataFrame, id_col: str = "crawl_id", html_col: str = "html
                 every = [title, *heads, *lines]
                 keys = [_mask(s) for s in every]
                 found = []
-                words += ("\n", "\n")
+                words += (0, 0)
                 parts = []
+                hinted = HINT.search("\n".join([*every, *frame])) is not None
                 for line in [*every, *frame]:
-                    if HINT.search(line):
+                    if hinted and HINT.search(line):
                         found += [{"token": m[0], "strong": m["s"] is not None} for m in VARIABLE.finditer(line)]
                         line = VARIABLE.sub(" \x01 ", line)
                     parts.append(PART.findall(line.lower()))
-                    words += parts[-1]
-                    words += ("\n", "\n")
+                    words += map(known.__getitem__, parts[-1])
+                    words += (0, 0)
                 ends.append(len(words))
                 first = len(keys) - len(lines)
                 spoken = parts[first : len(keys)]
-                sure = [is_filler_paragraph(s, w) for s, w in zip(lines, spoken)]
+                sure = [is_filler_paragraph(s, w, known.latin) for s, w in zip(lines, spoken)]
                 fill = [{"key": keys[k], "prev": keys[k - 1] if k else 0, "next": keys[k + 1] if k + 1 < len(keys) else 0} for k, ok in enumerate(sure, first) if ok]
                 latin = [{"sure": ok, "words": w} for s, ok, p in zip(lines, sure, spoken) if (w := latin_words(s, ok, p))]
                 plain = OWN.search(page) is None
@@ -352,7 +374,7 @@ def page_facts(pages: DataFrame, id_col: str = "crawl_id", html_col: str = "html
                         bare = []  # has content of its own
                         break
                 rows.append([page_id, host, found, None, fill, latin, keys, bare, plain])
-            codes = _word_codes(words)
+            codes = np.array(words, dtype=np.int32)
             context, fits = _contexts(codes, 1)
             begin = 0
             for row, end in zip(rows, ends):
