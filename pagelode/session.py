@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Most rows and bytes, as text, that a side may have to be broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+#: Spark's setting to remove the shuffle files of a query when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(name: str = "pagelode", master: str | None = None, **conf: str) -> SparkSession:
@@ -75,19 +77,27 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def write_scratch(df: DataFrame, name: str) -> str:
-    """Write `df` under the shared folder and return the path: it cuts lineage and survives lost executors."""
+def write_scratch(df: DataFrame, name: str, tidy: bool = False) -> str:
+    """Write `df` under the shared folder and return the path: it cuts lineage and survives lost executors.
+
+    `tidy` removes the shuffle files of the write when it is done, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, str(tidy or before == "true").lower())
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     atexit.register(_remove, spark, path)
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """`df` as a written table in the shared folder."""
     schema = df.schema
-    return df.sparkSession.read.schema(schema).parquet(write_scratch(df, name))
+    return df.sparkSession.read.schema(schema).parquet(write_scratch(df, name, tidy))
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:

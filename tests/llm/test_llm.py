@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -461,6 +462,62 @@ def test_recall_at_the_limit_by_length(spark, monkeypatch):
         assert len(got & set(want)) >= (1.0 if size < 60 else 0.95) * len(want), size
 
 
+def test_pairs_that_cannot_agree_are_not_verified(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    common = [word() for _ in range(60)]
+    data, want = [], set()
+    for k in range(120):  # half of each text is boilerplate: they meet in bands, but none agrees with another
+        own = common + [word() for _ in range(60)]
+        data.append((k, "train" if k % 2 else "test", f"<body>{' '.join(own)}</body>", f"http://h{k}.test"))
+        if k < 20:
+            near = own[:-10] + [word() for _ in range(10)]
+            data.append((k + 500, "test" if k % 2 else "train", f"<body>{' '.join(near)}</body>", f"http://h{k + 500}.test"))
+            want.add((k, k + 500))
+    df = spark.createDataFrame(data, "page_id long, split string, html string, url string")
+    kept = {}
+
+    def stored(table, name, **options):
+        out = session_stored(table, name, **options)
+        kept[name] = kept.get(name, 0) + out.count()
+        return out
+
+    session_stored = cross_split.stored
+    monkeypatch.setattr(cross_split, "stored", stored)
+    for rows in (cross_split.MEET_ROWS, 200):
+        monkeypatch.setattr(cross_split, "MEET_ROWS", rows, raising=False)
+        kept.clear()
+        assert {tuple(r) for r in cross_split.cross_split_pairs(df).collect()} == want
+        assert kept["text-pairs"] < 200 if rows > 200 else kept["pairs"] < 200  # of some 5,000 that meet
+
+
+def test_sketches_rule_out_no_pair_that_agrees():
+    rng = np.random.default_rng(3)
+    for size in (60, 90, 300, 900):
+        for _ in range(50):
+            a = rng.integers(0, 2**63, size, dtype=np.uint64)
+            b = a.copy()
+            b[rng.choice(size, size // 10, replace=False)] = rng.integers(0, 2**63, size // 10, dtype=np.uint64)
+            b = np.delete(b, 0) if rng.random() < 0.5 and cross_split.agreeing_words(a.tolist(), b[1:].tolist()) >= 0.9 * size else b
+            x, y = (cross_split.word_sketch(t).view(np.uint64) for t in (a, b))
+            least = 0.9 * max(len(a), len(b)) - 1e-6
+            assert np.bitwise_count(x & ~y).sum() <= len(a) - least and np.bitwise_count(y & ~x).sum() <= len(b) - least
+
+
+def test_tidy_tables_leave_no_shuffle_files(spark):
+    from pagelode.session import stored
+
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    count = lambda: files.getAllFiles().mkString(" ").count("/shuffle_")
+    before = count()
+    made = stored(spark.range(10_000).repartition(7).groupBy((F.col("id") % 100).alias("k")).count(), "tidy", tidy=True)
+    for _ in range(50):  # files go in the background
+        if count() <= before:
+            break
+        time.sleep(0.1)
+    assert count() <= before and len(made.collect()) == 100
+
+
 # --- p8
 
 
