@@ -18,8 +18,10 @@ from pagelode.session import stored
 SAME_CONTENT = 0.4
 #: Names the page itself is known to go by, whatever the files show.
 PAGE_NAMES = ("html", "html_content", "content")
-#: Most characters of a value that its content kind is read from; kinds are decided by how a value begins.
-KIND_CHARS = 200
+#: Longest drawn shape that is a kind of its own; of longer ones the marks in them are.
+SHAPE = 12
+#: Text that lists words or numbers. Groups are possessive here and below: they repeat without recursion on long texts.
+LISTED = r'^[\p{L}\d"]++(?:"?\s*+,\s*+"?[\p{L}\d]++)++"?$'
 
 
 def readable(files: DataFrame, payload: str = "payload") -> DataFrame:
@@ -29,32 +31,57 @@ def readable(files: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def _kind_of(text: Column) -> Column:
-    """What sort of content a scalar is; short words and small numbers stand for themselves."""
+    """What sort of content a scalar is, by all of it; short words and small numbers stand for themselves."""
     t = F.trim(text)
+    drawn = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"\p{Lu}+", "A"), r"\p{Ll}+", "a"), r"\d+", "9")
+    marks = F.array_join(F.array_sort(F.array_distinct(F.split(drawn, ""))), "")
     return (
         F.when(t == "", F.lit("empty"))
         .when(t.rlike(r"^<[!A-Za-z]"), "markup")
-        .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://|^www\."), "url")
+        .when(t.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://|www\.)\S*$"), "url")
         .when(t.rlike(r"^[0-9a-fA-F]{32,128}$"), "digest")
         .when(t.rlike(r"^[^\s@]+@[^\s@]+$"), "mail")
         .when(t.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
-        .when(t.rlike(r"^\d{4}-\d\d-\d\d") | t.rlike(r"^1\d{9}(\d{3})?$"), "time")
+        .when(t.rlike(r"^\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d[\d:.,]*\s*(?:Z|UTC|GMT|[+-]\d\d:?\d\d)?)?$") | t.rlike(r"^1\d{9}(\d{3})?$"), "time")
         .when(t.rlike(r"(?i)^(true|false)$"), F.concat(F.lit("is:"), F.lower(t)))
         .when(t.rlike(r"^[+-]?\d{1,3}$"), F.concat(F.lit("number:"), t))
         .when(t.rlike(r"^[+-]?\d+$"), F.concat(F.lit("digits:"), F.length(t).cast("string")))
         .when(t.rlike(r"^[+-]?\d*\.\d+([eE][+-]?\d+)?$"), F.lit("decimal"))
         .when(t.rlike(r"^[A-Za-z]{1,4}\d+$"), F.concat(F.lit("code:"), F.regexp_replace(t, r"\d+", ""), F.length(t).cast("string")))
         .when(t.rlike(r"^\p{L}{1,20}$"), F.concat(F.lit("word:"), t))
-        .when(t.rlike(r"^\p{Lu}[\p{L}'\-]*(\s+\p{Lu}[\p{L}'\-]*)+$"), "title phrase")
-        .when(t.rlike(r"^[\p{Ll}'\-]+(\s+[\p{Ll}'\-]+)+$"), "lower phrase")
-        .otherwise(F.concat(F.lit("shape:"), F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring(t, 1, 12), r"\p{Lu}+", "A"), r"\p{Ll}+", "a"), r"\d+", "9")))
+        .when(t.rlike(r"^\p{Lu}[\p{L}'\-]*+(?:\s++\p{Lu}[\p{L}'\-]*+)++$"), "title phrase")
+        .when(t.rlike(r"^[\p{Ll}'\-]++(?:\s++[\p{Ll}'\-]++)++$"), "lower phrase")
+        .otherwise(F.concat(F.lit("shape:"), F.when(F.length(drawn) <= SHAPE, drawn).otherwise(marks)))
     )
 
 
+def _unwrapped(text: Column) -> Column:
+    """The value of a text: of a list the first item, of an object the longest value, else the text itself."""
+    longest = lambda m: F.array_max(F.transform(F.map_values(m), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    return F.when(text.rlike(r"^\s*\["), F.coalesce(F.get(F.from_json(text, "array<string>"), 0), text)).when(text.rlike(r"^\s*\{"), F.coalesce(longest(F.from_json(text, "map<string,string>")), text)).otherwise(text)
+
+
+def _facts(text: Column) -> Column:
+    """Which types the value of a text fits as a whole, and how it begins; types are those that `consistent_table` casts to."""
+    t = F.trim(_unwrapped(text))
+    time = t.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d") & t.try_cast("timestamp").isNotNull() | t.rlike(r"^1\d{9}$")
+    tests = {
+        "filled": t != "",
+        "int": t.rlike(r"^[+-]?\d{1,18}$"),
+        "num": t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"),
+        "bool": t.rlike(r"(?i)^(true|false)$"),
+        "time": time,
+        "iso": t.rlike(r"^\d{4}-"),
+        "markup": t.startswith("<"),
+    }
+    return F.struct(*(c.alias(n) for n, c in tests.items()))
+
+
 def field_values(files: DataFrame) -> DataFrame:
-    """`(feed, file_id, line_no, name, type, scalar, many)`: one row per field of each readable record.
+    """`(feed, file_id, line_no, name, type, kinds, facts, many)`: one row per field of each readable record.
 
-    `scalar` is cut and only good for the kind of content; `many` tells of the whole value whether it is a list of several.
+    All are read from the whole value, which itself is not kept: `kinds` are the kinds of content of its items, `facts`
+    the types it fits, `many` tells whether it is a list of several.
     """
     rows = readable(files.select("feed", "file_id", "line_no", "payload")).select("feed", "file_id", "line_no", "v")
     out = rows.sparkSession.sql("select feed, file_id, line_no, key as name, schema_of_variant(value) as s, value from {rows}, lateral variant_explode(v) as t(pos, key, value)", rows=rows)
@@ -65,13 +92,17 @@ def field_values(files: DataFrame) -> DataFrame:
         .when(F.col("s") == "BOOLEAN", "boolean")
         .when(F.col("s") != "VOID", "number")
     )
-    text = F.substring(F.expr("try_variant_get(value, '$', 'string')"), 1, KIND_CHARS)
+    text = F.expr("try_variant_get(value, '$', 'string')")
     # An object stands for its first text, else for its first value; a list for its items.
-    bare = F.regexp_replace(text, r'^\s*\{(?:\s*"[^"]*"\s*:\s*[^"\[{,]+,)*\s*"[^"]*"\s*:\s*"', "")
-    bare = F.regexp_replace(bare, r'^\s*(?:\[\s*|\{\s*"(?:[^"\\]|\\.)*"\s*:\s*)"?', "")
-    bare = F.when(kind.isin("object", "array"), F.regexp_replace(bare, r'"?\s*[\]}]\s*$', "")).otherwise(text)
+    listed = F.expr("transform(try_variant_get(value, '$', 'array<variant>'), x -> try_variant_get(x, '$', 'string'))")
+    held = "map_values(try_variant_get(value, '$', 'map<string,variant>'))"
+    first = F.expr(f"try_variant_get(coalesce(get(filter({held}, x -> schema_of_variant(x) = 'STRING'), 0), get({held}, 0)), '$', 'string')")
+    items = F.when(kind == "array", F.filter(listed, F.isnotnull)).when(kind == "object", F.array(first)).otherwise(F.split(text, r'"?\s*,\s*"?'))
+    several = kind.isin("array", "object") | text.rlike(LISTED)
+    whole = F.transform(F.when(F.size(items) > 0, items).otherwise(F.array(F.lit(""))), lambda x: _kind_of(F.coalesce(x, F.lit(""))))
+    kinds = F.when(several, whole).when(text.isNotNull(), F.array(_kind_of(text)))
     many = F.when(kind == "array", F.expr("size(try_variant_get(value, '$', 'array<variant>'))") > 1).otherwise(F.lit(False))
-    return out.select("feed", "file_id", "line_no", "name", kind.alias("type"), bare.alias("scalar"), many.alias("many"))
+    return out.select("feed", "file_id", "line_no", "name", kind.alias("type"), kinds.alias("kinds"), _facts(text).alias("facts"), many.alias("many"))
 
 
 def catalogue(values: DataFrame, files: DataFrame) -> DataFrame:
@@ -99,10 +130,8 @@ def lifespans(cat: DataFrame) -> DataFrame:
 
 def _profiles(values: DataFrame) -> DataFrame:
     """`(feed, name, kind, share)`: how the values of a field spread over kinds of content, over its lifespan."""
-    parts = F.split(F.col("scalar"), r'"?\s*,\s*"?')
-    listed = F.col("scalar").rlike(r'^[\p{L}\d"]+("?\s*,\s*"?[\p{L}\d]+)+"?$')
-    items = values.where("scalar is not null").select("feed", "name", F.explode(F.when(listed, parts).otherwise(F.array("scalar"))).alias("item"))
-    counted = items.groupBy("feed", "name", _kind_of(F.col("item")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    items = values.where("kinds is not null").select("feed", "name", F.explode("kinds").alias("kind"))
+    counted = items.groupBy("feed", "name", "kind").agg(F.count(F.lit(1)).alias("n"))
     whole = counted.groupBy("feed", "name").agg(F.sum("n").alias("total"))
     return counted.join(whole, ["feed", "name"]).select("feed", "name", "kind", (F.col("n") / F.col("total")).alias("share"))
 
@@ -115,7 +144,7 @@ def changes(files: DataFrame, values: DataFrame | None = None, threshold: float
     most similar contents are taken, ties by name, and each field takes part in one only.
     """
     if values is None:
-        values = stored(field_values(files), "field-values")
+        values = stored(field_values(files).drop("facts", "many"), "field-values")
     cat = stored(catalogue(values, files), "catalogue")
     last = files.groupBy("feed").agg(F.countDistinct("file_id").alias("last"))
     spans = Window.partitionBy("feed", "name").orderBy("file_no")
@@ -199,14 +228,12 @@ def consistent_table(files: DataFrame, values: DataFrame | None = None, aliases:
         values = stored(field_values(files), "field-values")
     if aliases is None:
         aliases = alias_table(changes(files, values), values)
-    t = F.trim("scalar")
-    time = t.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d") | t.rlike(r"^1\d{9}$")
-    fits = [F.count_if(~c).alias(n) for n, c in (("int", t.rlike(r"^[+-]?\d{1,18}$")), ("num", t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), ("bool", t.rlike(r"(?i)^(true|false)$")), ("time", time))]
-    facts = {r["name"]: r for r in values.where("many or scalar is not null and trim(scalar) <> ''").groupBy("name").agg(*fits, F.count_if("many").alias("many"), F.count_if(t.rlike(r"^\d{4}-")).alias("iso"), F.count_if(t.startswith("<")).alias("markup")).collect()}
+    fits = [F.count_if(~F.col(f"facts.{n}")).alias(n) for n in ("int", "num", "bool", "time")]
+    seen = [F.count_if(f"facts.{n}").alias(n) for n in ("iso", "markup")]
+    facts = {r["name"]: r for r in values.where("many or facts.filled").groupBy("name").agg(*fits, *seen, F.count_if("many").alias("many")).collect()}
     best = Window.partitionBy("file_id", "line_no").orderBy(F.col("loaded_at").desc_nulls_last(), F.length("payload").desc())
     rows = readable(files).withColumn("rn", F.row_number().over(best)).where("rn = 1")
     fixed = ["file_id", "feed", "file_time", "line_no"]
-    longest = lambda m: F.array_max(F.transform(F.map_values(m), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     out = []
     for canonical, names in aliases.items():
         known = [facts[n] for n in names if n in facts]
@@ -214,7 +241,7 @@ def consistent_table(files: DataFrame, values: DataFrame | None = None, aliases:
         quoted = [F.lit("$['" + n.replace("\\", "\\\\").replace("'", "\\'") + "']") for n in names]
         raw = [F.call_function("try_variant_get", F.col("v"), q, F.lit("string")) for q in quoted]
         text = F.coalesce(*raw)
-        unwrapped = F.when(text.rlike(r"^\s*\["), F.coalesce(F.get(F.from_json(text, "array<string>"), 0), text)).when(text.rlike(r"^\s*\{"), F.coalesce(longest(F.from_json(text, "map<string,string>")), text)).otherwise(text)
+        unwrapped = _unwrapped(text)
         if known and total("many") and total("markup"):  # a page that came in pieces
             value = F.when(text.rlike(r"^\s*\["), F.array_join(F.from_json(text, "array<string>"), "")).otherwise(unwrapped)
         elif known and total("many"):

@@ -247,6 +247,30 @@ def test_pages_in_long_pieces_stay_whole(spark):
     assert sorted(got.values()) == sorted([("".join(pieces(k)), [str(k), str(k + 1)]) for k in range(4)] + [("<p>one</p>", ["7"])])
 
 
+def test_whole_values_decide_types_and_kinds(spark):
+    note, pad = "2025-01-01 10:00 and then more", "7" * 250
+    recs = [(1, "a", "2025-01-01", [{"code": pad + "x", "at": note, "size": " " * 250 + "big"} for _ in range(3)])]
+    table = schema_drift.consistent_table(files(spark, recs))
+    assert {(r["code"], r["at"], r["size"].strip()) for r in table.collect()} == {(pad + "x", note, "big")}
+
+    first, later = "a" * 120, ["b" * 120, "c" * 120]
+    small = lambda k: " ".join(["word"] * 60)
+    mixed = lambda k: small(k) + " 12 END; " + small(k)
+    recs = [
+        (1, "a", "2025-01-01", [{"x": mixed(k), "y": [first, *later, "http://h.test/1", "http://h.test/2", "http://h.test/3"]} for k in range(4)]),
+        (2, "a", "2025-01-02", [{"u": small(k), "v": [first, *later, "1", "2", "3"]} for k in range(4)]),
+        (3, "a", "2025-01-03", [{"w": mixed(k), "z": ",".join(["one", "two"] * 8000)} for k in range(4)]),
+        (4, "a", "2025-01-04", [{"w": "Word " * 20_000 + "End", "z": {f"k{n}": n for n in range(3000)}} for k in range(4)]),
+    ]
+    values = schema_drift.field_values(files(spark, recs))
+    kinds = {(r["file_id"], r["name"]): r["kinds"] for r in values.collect()}
+    noted = schema_drift.field_values(files(spark, [(1, "a", "2025-01-01", [{"at": note, "from": "http://h.test/ as seen"}])])).collect()
+    assert all(r["kinds"][0].startswith("shape:") for r in noted)
+    assert kinds[1, "x"] == kinds[3, "w"] != kinds[2, "u"] == ["lower phrase"]
+    assert kinds[1, "y"][3:] == ["url"] * 3 and kinds[2, "v"][3:] == ["number:1", "number:2", "number:3"]
+    assert len(kinds[3, "z"]) == 16_000 and kinds[4, "w"] == ["title phrase"] and kinds[4, "z"] == ["number:0"]
+
+
 def test_readers_and_sinks(spark, tmp_path):
     folder = tmp_path / "phishing"
     folder.mkdir()
