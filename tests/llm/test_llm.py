@@ -484,7 +484,7 @@ def test_pairs_that_cannot_agree_are_not_verified(spark, monkeypatch):
 
     session_stored = cross_split.stored
     monkeypatch.setattr(cross_split, "stored", stored)
-    for rows in (cross_split.MEET_ROWS, 200):
+    for rows in (20_000_000, 200):
         monkeypatch.setattr(cross_split, "MEET_ROWS", rows, raising=False)
         kept.clear()
         assert {tuple(r) for r in cross_split.cross_split_pairs(df).collect()} == want
