@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import cache
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 TAG_SEEN = r"<\s*\w+[^>]*>"
+#: Distinct features of a channel that a task holds before it hands them on, and those of one batch; characters counted at once.
+HELD_FEATURES, BATCH_FEATURES, HELD_CHARS = 300_000, 20_000, 500_000
 # Tags without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -126,7 +132,7 @@ def part_lengths(page: str | None) -> tuple[int, int, int] | None:
     return sums["head"], sums["img"], sums["script"]
 
 
-def xpaths(page: str, n: int = 4, compat: bool = True) -> list[str]:
+def xpaths(page: str | Tree, n: int = 4, compat: bool = True) -> list[str]:
     """HTM-08: windows of absolute paths, distinct per page and sorted.
 
     A path is split at `/` (its first part is empty); with fewer than n parts it comes whole. With `compat` a path
@@ -146,28 +152,28 @@ def xpaths(page: str, n: int = 4, compat: bool = True) -> list[str]:
                 todo.append((c, [*path, c.tag if same[c.tag] == 1 else f"{c.tag}[{seen[c.tag]}]"]))
 
     todo: list[tuple[Node, list[str]]] = []
-    visit(Tree(page).root, [""])
+    visit((Tree(page) if isinstance(page, str) else page).root, [""])
     while todo:
         node, path = todo.pop()
         if len(path) < n:
             found.add("/".join(path))
-        else:
-            found.update("/".join(path[i : i + n]) for i in range(len(path) - n + (not compat)))
-        visit(node, path)
+        elif (last := len(path) - n - compat) >= 0:  # the earlier windows are those of the nodes above
+            found.add("/".join(path[last : last + n]))
+        if node.children:
+            visit(node, path)
     return sorted(found)
 
 
-def channel_features(page: str | None, n: int = 4, compat: bool = True) -> list[str]:
-    """HTM-07: n-grams of seven channels and path windows of a page.
+def channels(page: str | Tree) -> dict[str, str]:
+    """HTM-07: the texts of seven channels of a page in small letters.
 
     Channels: te text, ta tag names, sc script text, ss script sources, li link targets, is image sources, id image
-    data attributes. The page is put in small letters first. Null and empty pages give no n-grams, only `body`.
+    data attributes.
     """
-    page = (page or "").lower()
-    root = Tree(page).root
+    root = (Tree(page) if isinstance(page, str) else page).root
     nodes = list(walk(root))
     clean = lambda parts: " ".join(" ".join(p for p in parts if p).split())
-    channels = {
+    return {
         "te": clean(texts(root)),
         "ta": clean(x.tag for x in nodes),
         "sc": clean(c for x in nodes if x.tag == "script" for c in x.children if isinstance(c, str)),
@@ -176,10 +182,119 @@ def channel_features(page: str | None, n: int = 4, compat: bool = True) -> list[
         "is": clean(v for x in nodes if x.tag == "img" for k, v in x.attrs.items() if k.startswith("src")),
         "id": clean(v for x in nodes if x.tag == "img" for k, v in x.attrs.items() if k.startswith("data-")),
     }
-    out = [f"{name}_{t[i : i + n]}" for name, t in channels.items() for i in range(len(t) - n + (not compat))]
+
+
+def channel_features(page: str | None, n: int = 4, compat: bool = True) -> list[str]:
+    """HTM-07: n-grams of seven channels and path windows of a page.
+
+    The page is put in small letters first. Null and empty pages give no n-grams, only `body`.
+    """
+    page = (page or "").lower()
+    out = [f"{name}_{t[i : i + n]}" for name, t in channels(page).items() for i in range(len(t) - n + (not compat))]
     return out + (xpaths(page, n, compat) if page else ["body"])
 
 
+class GramCounts:
+    """Counts of the n-grams of texts: of up to four characters as sorted numbers, of others in a dictionary."""
+
+    def __init__(self, n: int):
+        self.n, self.texts, self.chars = n, [], 0
+        self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.rest: Counter[str] = Counter()
+
+    def add(self, text: str) -> None:
+        """Count all n-grams of a text, once there are enough characters."""
+        self.texts.append(text)
+        self.chars += len(text)
+        if self.chars >= HELD_CHARS:
+            self.settle()
+
+    def settle(self) -> None:
+        texts = [t for t in self.texts if len(t) >= self.n]
+        self.texts, self.chars = [], 0
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(codes):
+            return
+        if self.n > 4 or codes.max() > 0xFFFF or not codes.min():
+            if len(texts) > 1:
+                for t in texts:
+                    self.texts = [t]
+                    self.settle()
+            else:
+                self.rest.update([texts[0][i : i + self.n] for i in range(len(texts[0]) - self.n + 1)])
+            return
+        ends = np.cumsum([len(t) for t in texts])
+        starts = np.ones(len(codes), bool)
+        for k in range(1, self.n):
+            starts[ends - k] = False
+        at = np.flatnonzero(starts)
+        keys = np.zeros(len(at), np.uint64)
+        for k in range(self.n):
+            keys = keys << np.uint64(16) | codes[at + k]
+        keys, counts = np.unique(keys, return_counts=True)
+        keys, where = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+        self.counts = np.bincount(where, np.concatenate([self.counts, counts]), len(keys)).astype(np.int64)
+        self.keys = keys
+
+    def __len__(self) -> int:
+        return len(self.keys) + len(self.rest)
+
+    def take(self) -> Iterator[tuple[list[str], list[int]]]:
+        """N-grams and counts in batches; nothing is left."""
+        self.settle()
+        for at in range(0, len(self.keys), BATCH_FEATURES):
+            keys = self.keys[at : at + BATCH_FEATURES]
+            shifts = np.arange(self.n - 1, -1, -1, dtype=np.uint64) * np.uint64(16)
+            grams = (keys[:, None] >> shifts & np.uint64(0xFFFF)).astype(np.uint32).view(f"<U{self.n}")[:, 0]
+            yield grams.tolist(), self.counts[at : at + BATCH_FEATURES].tolist()
+        rest = list(self.rest.items())
+        for at in range(0, len(rest), BATCH_FEATURES):
+            part = rest[at : at + BATCH_FEATURES]
+            yield [f for f, _ in part], [k for _, k in part]
+        self.__init__(self.n)
+
+
+def channel_counts(pages: DataFrame, html_col: str, n: int = 4, compat: bool = True) -> DataFrame:
+    """HTM-07: `(feature, n)` of the features of all pages, counted where they are found; a feature has several rows.
+
+    A task holds the counts of some `HELD_FEATURES` features a channel and of the characters and paths just counted.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams: dict[str, GramCounts] = {}
+        paths: Counter[str] = Counter()
+
+        def flush(name: str) -> Iterator[pa.RecordBatch]:
+            for found, counts in grams[name].take():
+                yield pa.RecordBatch.from_arrays([pa.array([f"{name}_{f}" for f in found], pa.string()), pa.array(counts, pa.int64())], names=["feature", "n"])
+
+        def flush_paths() -> Iterator[pa.RecordBatch]:
+            held = list(paths.items())
+            paths.clear()
+            for at in range(0, len(held), BATCH_FEATURES):
+                part = held[at : at + BATCH_FEATURES]
+                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in part], pa.string()), pa.array([k for _, k in part], pa.int64())], names=["feature", "n"])
+
+        for batch in batches:
+            for value in batch.column(0):
+                tree = Tree((value.as_py() or "").lower())
+                for name, t in channels(tree).items():
+                    last = len(t) - n + (not compat)
+                    for at in range(0, last, HELD_CHARS):
+                        held = grams.setdefault(name, GramCounts(n))
+                        held.add(t[at : min(last, at + HELD_CHARS) + n - 1])
+                        if len(held) >= HELD_FEATURES:
+                            yield from flush(name)
+                paths.update(xpaths(tree, n, compat) if tree.page else ["body"])
+                if len(paths) >= HELD_FEATURES:
+                    yield from flush_paths()
+        for name in grams:
+            yield from flush(name)
+        yield from flush_paths()
+
+    return pages.select(html_col).mapInArrow(count, "feature string, n bigint")
+
+
 # Tags that simplification keeps.
 IMPORTANT = frozenset("html head title body form input button a img iframe h1 h2 h3 p li label select option textarea meta link".split())
 
@@ -240,11 +355,10 @@ def _udf(kind: str):
         rows = [part_lengths(p) or (None, None, None) for p in pages]
         return pd.DataFrame(rows, columns=["head_len", "img_len", "script_len"]).astype("Int64")
 
-    @pandas_udf("array<string>")
-    def channels(urls: pd.Series, pages: pd.Series) -> pd.Series:
-        return pd.Series([channel_features(p) for p in pages])
+    # Not by Arrow: the lists of a batch are many times as large as its pages, and this way a batch has 100 rows.
+    listed = F.udf(lambda url, page: channel_features(page), "array<string>", useArrow=False)
 
-    return {"text": text, "raw": raw, "lengths": lengths, "channels": channels}[kind]
+    return {"text": text, "raw": raw, "lengths": lengths, "channels": listed}[kind]
 
 
 def html_text(html: Column) -> Column:
@@ -263,7 +377,7 @@ def html_part_lengths(html: Column) -> Column:
 
 
 def html_channels(url: Column, html: Column) -> Column:
-    """HTM-07."""
+    """HTM-07: the features of a page; `channel_counts` counts them without lists."""
     return _udf("channels")(url, html)
 
 

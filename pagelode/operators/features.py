@@ -33,9 +33,13 @@ def parse_index_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.where(F.length(column) > 0).select((F.get(parts, 0).try_cast("int") == 1).cast("int").alias("label"), F.filter(idx, lambda i: i.isNotNull()).alias("indices"))
 
 
-def feature_dictionary(features: DataFrame, feature_col: str = "feature", min_count: int = 10, max_features: int | None = None) -> DataFrame:
-    """AGG-20, AGG-21, SRC-29: a stored table `(feature, n, idx)` of features that occur more than `min_count` times, by count and name."""
-    counted = features.groupBy(F.col(feature_col).alias("feature")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_count)
+def feature_dictionary(features: DataFrame, feature_col: str = "feature", min_count: int = 10, max_features: int | None = None, count_col: str | None = None) -> DataFrame:
+    """AGG-20, AGG-21, SRC-29: a stored table `(feature, n, idx)` of features that occur more than `min_count` times, by count and name.
+
+    Each row is one occurrence, or as many as `count_col` says.
+    """
+    times = F.sum(count_col) if count_col else F.count(F.lit(1))
+    counted = features.groupBy(F.col(feature_col).alias("feature")).agg(times.alias("n")).where(F.col("n") > min_count)
     if max_features:
         counted = most_frequent(stored(counted, "features"), max_features, "n", "feature")
     from pagelode.operators.cleaning import add_index

@@ -58,11 +58,11 @@ def most_frequent(terms: DataFrame, most: int, count: str = "cf", name: str = "t
     Counts have few distinct values, of which only the numbers of rows come to the driver.
     """
     held, last = 0, None
-    for r in terms.groupBy(count).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc(count)).toLocalIterator():
-        if held + r["n"] > most:
-            last = r[count]
+    for value, n in terms.groupBy(count).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc(count)).toLocalIterator():
+        if held + n > most:
+            last = value
             break
-        held += r["n"]
+        held += n
     if last is None:
         return terms
     return terms.where(F.col(count) > last).unionByName(terms.where(F.col(count) == last).orderBy(name).limit(most - held))

@@ -651,8 +651,8 @@ def html_feature_lengths(spark, sf_dir):
 
 @query()
 def html_feature_dictionary(spark, sf_dir):
-    rows = table(spark, sf_dir, "release_pages").select(F.explode(hf.html_channels("url", "html")).alias("feature"))
-    return features.feature_dictionary(rows, max_features=300_000)
+    counts = hf.channel_counts(table(spark, sf_dir, "release_pages"), "html")
+    return features.feature_dictionary(counts, max_features=300_000, count_col="n")
 
 
 @query()

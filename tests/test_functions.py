@@ -110,6 +110,41 @@ def test_html_functions(spark):
     assert [r[0] for r in titled] == ["a b", None, None]
 
 
+def test_channel_counts_are_those_of_the_lists(spark, monkeypatch):
+    from collections import Counter
+
+    pages = [None, "", " ", "<p>a", PAGE, PAGE.replace("Menu", "\U0001f600 caf\u00e9 \u4e2d\u6587\u5b57\u5178"), "<p>x\x00yz w</p>" * 3, "<p>" + "ab cd " * 90 + "</p>"]
+    for n, compat, chars, most in [(4, True, 500_000, 300_000), (4, False, 37, 20), (6, True, 37, 20)]:
+        monkeypatch.setattr(hf, "HELD_CHARS", chars)
+        monkeypatch.setattr(hf, "HELD_FEATURES", most)
+        monkeypatch.setattr(hf, "BATCH_FEATURES", 7)
+        want = Counter(f for p in pages for f in hf.channel_features(p, n, compat))
+        count, got = _counting(hf, pages, n, compat), Counter()
+        for batch in count:
+            assert batch.num_rows <= 7
+            for f, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                got[f] += k
+        assert got == want
+    monkeypatch.undo()
+    df = spark.createDataFrame([(p,) for p in pages], "h string")
+    found = hf.channel_counts(df, "h").groupBy("feature").sum("n")
+    assert {r[0]: r[1] for r in found.collect()} == Counter(f for p in pages for f in hf.channel_features(p))
+
+
+def _counting(hf, pages, n, compat):
+    """The batches of the function that `channel_counts` gives to Spark, here."""
+    import pyarrow as pa
+
+    class Pages:
+        def select(self, _):
+            return self
+
+        def mapInArrow(self, function, _):
+            return function(iter([pa.RecordBatch.from_arrays([pa.array(pages, pa.string())], names=["h"])]))
+
+    return hf.channel_counts(Pages(), "h", n, compat)
+
+
 def test_prompts(spark):
     reply = '{"custom_id":"a","response":{"body":{"usage":{"prompt_tokens":1000000,"completion_tokens":10},"choices":[{"message":{"content":"```json\\n{\\"score\\": 3}\\n```"}}]}}}'
     lines = spark.createDataFrame([(reply,), ("broken",)], "value string")

@@ -378,3 +378,11 @@ def test_most_frequent_sorts_only_the_last_count(spark):
     df = spark.createDataFrame([(t, c) for t, c in zip("abcdefg", [5, 3, 3, 3, 1, 1, 9])], "term string, cf long")
     assert sorted(r["term"] for r in vectors.most_frequent(df, 4).collect()) == ["a", "b", "c", "g"]
     assert vectors.most_frequent(df, 100).count() == 7 and vectors.most_frequent(df, 0).count() == 0
+
+
+def test_dictionary_of_counted_features_is_cut_by_rows_not_by_counts(spark):
+    df = spark.createDataFrame([(f"f{k}", n) for k in range(6) for n in (20 - k, 5)], "feature string, n long")
+    got = features.feature_dictionary(df, max_features=4, count_col="n")
+    assert rows(got) == [(f"f{k}", 25 - k, k) for k in range(4)]
+    each = df.select("feature", F.explode(F.sequence(F.lit(1), "n")))
+    assert rows(features.feature_dictionary(each, max_features=30)) == [(f"f{k}", 25 - k, k) for k in range(6)]
