@@ -17,6 +17,8 @@ from pagelode.session import broadcast_if_small, stored
 
 #: Masks beyond which a Hamming ball is searched by pairs of occupied bins rather than by flipping bits.
 MASKS = 300
+#: Leading bits of the numbers of grams by which their occurrences are counted.
+GRAM_BITS = 18
 
 
 def word_terms(text: Column, n: int = 3, stop_words: tuple[str, ...] | None = None) -> Column:
@@ -297,30 +299,108 @@ def same_value_pairs(rows: DataFrame, id_col: str, column: str) -> DataFrame:
     return rows.join(groups, column).select(id_col, "group_id", (F.col("n") - 1).alias("others"))
 
 
+def gram_numbers(text: str, q: int) -> np.ndarray:
+    """A number of 64 bits for each q-gram of a text, the same for the same gram."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    z = np.zeros(max(0, len(codes) - q + 1), np.uint64)
+    for k in range(q):
+        z = (z + codes[k : k + len(z)] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return z ^ z >> np.uint64(29)
+
+
+def rare_grams(text: str, q: int, edits: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Numbers and places of the rarest q-grams of a text that `edits` insertions and deletions cannot all break; null if they can break all.
+
+    Rarer is what has a lower count in `held`, by leading bits of the numbers, then a lower number: one order for all texts.
+    """
+    z = gram_numbers(text, q)
+    order = np.lexsort((z, held[z >> np.uint64(64 - GRAM_BITS)]))
+    z = z[order]
+
+    def needed(k: int) -> int:
+        n, stop = 0, 0
+        for at in sorted(order[:k].tolist()):
+            if at >= stop:
+                n, stop = n + 1, at + q
+        return n
+
+    low, high = edits + 1, len(z)
+    if high < low or needed(high) <= edits:
+        return None
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if needed(mid) > edits else (mid + 1, high)
+    while low < len(z) and z[low] == z[low - 1]:
+        low += 1
+    return z[:low], order[:low]
+
+
 def indel_edges(rows: DataFrame, id_col: str, text_col: str, rank_col: str, ratio: float = 0.95, gram: int = 8) -> DataFrame:
     """DED-01, DED-02, JON-07: `(query_id, cand_id, ratio)` of texts of similarity `ratio` or more, the candidate later in order.
 
-    Equal texts are one text throughout. Lengths are compared in buckets whose neighbours cover the bound of FLT-14;
-    within a bucket two texts meet only if they share one of the pieces between their edits: cut in `m` pieces, a text
-    with fewer than `m` deletions keeps one whole, which the other text then has near the same place. Made for urls and
-    other texts of some hundred characters, as every text is cut at each of its places; long texts belong to shingles.
+    Equal texts are one text throughout. Each other text is known by its rarest grams (of `gram` characters at most) that
+    more edits would be needed to break than a similar text can have; of two similar texts at least one such gram is
+    common to both. Where texts meet, lengths (FLT-14), the shift of the gram and the numbers of letters rule pairs out
+    that cannot agree. Texts that so many edits break wholly, as the limit is low, meet all texts of like length.
     """
-    texts = rows.where(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("t")).agg(F.max(F.struct(rank_col, id_col)).alias("last"))
-    texts = texts.select("t", F.length("t").alias("n"), F.xxhash64("t").alias("h"))
-    # Two texts of similarity r differ by at most (la + lb)(1 - r) deletions and insertions.
-    pieces = lambda n: F.floor(2 * n * (1 - ratio) / ratio).cast("int") + 1
-    base = math.log(ratio / (2 - ratio))
-    bucket = lambda n: F.floor(F.log(F.greatest(n, F.lit(1))) / F.lit(-base)).cast("int")
-    m = pieces(F.col("n"))
-    cuts = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.struct(F.floor(F.col("n") * i / m).cast("int").alias("a"), F.floor(F.col("n") * (i + 1) / m).cast("int").alias("b")))
-    left = texts.select("h", "t", "n", bucket(F.col("n")).alias("k"), F.explode(cuts).alias("c"))
-    left = left.select("h", "n", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"), F.col("c.a").alias("a"), F.expr("substr(t, c.a + 1, c.b - c.a)").alias("piece")).where("piece <> ''")
-    lengths = left.select("k", F.length("piece").alias("p")).distinct()
-    reach = F.floor(F.col("n") * (1 - ratio) * 2 / ratio).cast("int") + 1
-    right = texts.select("h", "t", "n", bucket(F.col("n")).alias("k")).join(broadcast_if_small(lengths), "k").where(F.col("p") <= F.col("n"))
-    grams = right.select(F.col("h").alias("h2"), F.col("n").alias("n2"), "k", reach.alias("reach"), F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("p") + 1), lambda i: F.substring("t", i, F.col("p")))).alias("at", "piece"))
-    met = left.join(grams, ["k", "piece"]).where((F.abs(F.col("at") - F.col("a")) <= F.col("reach")) & (F.col("h") != F.col("h2")) & length_match(F.col("n"), F.col("n2"), ratio))
-    pairs = stored(met.select(F.least("h", "h2").alias("x"), F.greatest("h", "h2").alias("y")).distinct(), "indel-pairs")
+    most = 1 - ratio + 1e-6  # a ratio that is rounded up to the limit counts
+    q = max(1, min(gram, int(0.45 * (1 - most) / (2 * most))))
+    texts = rows.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")).distinct()
+    texts = stored(texts.select("t", F.length("t").alias("n"), F.xxhash64("t").alias("h")), "indel-texts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << GRAM_BITS, np.int64)
+        for batch in batches:
+            places, n = np.unique(gram_numbers("".join(batch.column(0).to_pylist()), q) >> np.uint64(64 - GRAM_BITS), return_counts=True)
+            held[places.astype(np.int64)] += n
+        found = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(held[found])], names=["place", "n"])
+
+    counts = texts.select("t").mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    held = np.zeros(1 << GRAM_BITS, np.int32)
+    held[counts.column("place").to_numpy()] = np.minimum(counts.column("n").to_numpy(), 2**31 - 1)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                out: list[list[np.ndarray]] = [[], [], [], [], []]
+                loose = []
+                for h, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    edits = int(2 * len(t) * most / (1 - most) + 1e-9)
+                    if not edits:  # none but an equal text is so similar
+                        continue
+                    found = rare_grams(t, q, edits, held)
+                    if found is None:
+                        loose.append((h, len(t)))
+                        continue
+                    # How often letters occur, in bits: the numbers of unlike bits and of edits differ in one direction only.
+                    letters = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 32, minlength=32)
+                    bits = ((1 << np.minimum(letters, 8)) - 1).astype(np.uint8).view(np.int64)
+                    k = len(found[0])
+                    for held_in, x in zip(out, (np.full(k, h, np.int64), found[0].view(np.int64), found[1], np.full(k, len(t)), np.tile(bits, (k, 1)))):
+                        held_in.append(x)
+                if out[0]:
+                    h, g, at, n, bits = (np.concatenate(x) for x in out)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), *[pa.array(bits[:, k]) for k in range(4)]], names=names)
+                if loose:
+                    none = lambda kind: pa.nulls(len(loose), kind)  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in loose], pa.int64()), none(pa.int64()), none(pa.int32()), pa.array([n for _, n in loose], pa.int32()), *[none(pa.int64())] * 4], names=names)
+
+    names = ["h", "g", "at", "n", "b0", "b1", "b2", "b3"]
+    grams = stored(texts.select("h", "t").mapInArrow(cut, "h bigint, g bigint, at int, n int, b0 bigint, b1 bigint, b2 bigint, b3 bigint"), "indel-grams")
+    a, b = (grams.where("g is not null").select("g", *[F.col(c).alias(c + side) for c in names if c != "g"]) for side in "xy")
+    edits = (F.col("nx") + F.col("ny")) * F.lit(most)
+    shift = F.abs(F.col("atx") - F.col("aty")) + F.abs(F.col("nx") - F.col("atx") - F.col("ny") + F.col("aty"))
+    unlike = sum((F.bit_count(F.col(f"b{k}x").bitwiseXOR(F.col(f"b{k}y"))) for k in range(1, 4)), F.bit_count(F.col("b0x").bitwiseXOR(F.col("b0y"))))
+    met = a.join(b, (a["g"] == b["g"]) & (F.col("hx") < F.col("hy")) & (shift <= edits) & (unlike <= edits)).select(F.col("hx").alias("x"), F.col("hy").alias("y"))
+    # Two texts of similarity r differ by at most (la + lb)(1 - r) in length: buckets of such a width, and the next ones.
+    width = math.log((1 + most) / (1 - most))
+    bucket = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / F.lit(width)).cast("int")
+    near = grams.where("g is null").select("h", "n", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("k"))
+    other = texts.select(F.col("h").alias("h2"), F.col("n").alias("n2"), bucket.alias("k"))
+    loose = near.join(other, "k").where((F.col("h") != F.col("h2")) & length_match(F.col("n"), F.col("n2"), 1 - most))
+    pairs = stored(met.unionByName(loose.select(F.least("h", "h2").alias("x"), F.greatest("h", "h2").alias("y"))).distinct(), "indel-pairs")
     a, b = texts.select(F.col("h").alias("x"), F.col("t").alias("tx")), texts.select(F.col("h").alias("y"), F.col("t").alias("ty"))
     scored = pairs.join(a, "x").join(b, "y").withColumn("ratio", F.round(indel_ratio()("tx", "ty"), 6)).where(F.col("ratio") >= ratio).select("x", "y", "ratio")
     same = texts.select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(1.0).alias("ratio"))

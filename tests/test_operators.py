@@ -386,3 +386,34 @@ def test_dictionary_of_counted_features_is_cut_by_rows_not_by_counts(spark):
     assert rows(got) == [(f"f{k}", 25 - k, k) for k in range(4)]
     each = df.select("feature", F.explode(F.sequence(F.lit(1), "n")))
     assert rows(features.feature_dictionary(each, max_features=30)) == [(f"f{k}", 25 - k, k) for k in range(6)]
+
+
+def test_indel_edges_meet_by_rare_grams_and_lose_no_pair(spark):
+    rng = random.Random(9)
+    made = lambda n: "".join(rng.choice("abcdefghijklmnop0123456789") for _ in range(n))
+    texts = []
+    for k in range(60):
+        t = f"https://www.some-common-host.example/{rng.choice(['account', 'session', 'catalog'])}/{made(rng.choice([3, 9, 30]))}/index.html?\U0001f600={k % 3}"
+        texts.append(t)
+        for _ in range(3):
+            u = list(t)
+            for _ in range(rng.randint(0, 7)):
+                i = rng.randrange(len(u))
+                u[i : i + 1] = rng.choice([[], [rng.choice("xyz")], [u[i], "q"]])
+            texts.append("".join(u))
+    texts += ["", "", "a", "ab", "abcd", "abcde", "x" * 40, "x" * 41, "x" * 39]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(9999, None)], "id int, t string").withColumn("r", F.col("id"))
+    for ratio in (0.95, 0.9, 0.55):
+        got = {(r[0], r[1]): r[2] for r in vectors.indel_edges(df, "id", "t", "r", ratio).collect()}
+        every = {(i, j): round(indel_similarity(texts[i], texts[j]), 6) for i in range(len(texts)) for j in range(i + 1, len(texts))}
+        assert got == {p: s for p, s in every.items() if s >= ratio}
+
+
+def test_rare_grams_outlast_the_edits():
+    held = np.zeros(1 << vectors.GRAM_BITS, np.int32)
+    for g in vectors.gram_numbers("https://www.", 4):
+        held[int(g) >> 64 - vectors.GRAM_BITS] = 1000
+    # Of texts that all begin alike, none meets by its beginning.
+    _, at = vectors.rare_grams("https://www.k3ksdukje-wvu38v-halrafy-r29k.test/", 4, 5, held)
+    assert at.min() >= 9 and len(set(at.tolist())) == len(at)
+    assert vectors.rare_grams("abcdefgh", 4, 2, held) is None and vectors.rare_grams("abc", 4, 0, held) is None
